@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from quantloom.llm import line_dedup
+from quantloom.llm import decontamination, line_dedup
 
 QUERIES = {
+    "op6_benchmark_decontamination": decontamination.op6_benchmark_decontamination,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
 ORACLE_SQL = {
+    "op6_benchmark_decontamination": decontamination.SQL,
     "op10_line_dedup": line_dedup.SQL,
 }
