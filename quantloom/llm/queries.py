@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from quantloom.llm import decontamination, line_dedup
+from quantloom.llm import decontamination, line_dedup, packing, token_files
 
 QUERIES = {
     "op6_benchmark_decontamination": decontamination.op6_benchmark_decontamination,
+    "op8_token_files": token_files.op8_token_files,
+    "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 

@@ -7,9 +7,10 @@ of code; the alphabet (sorted ids as base-128 differences); u16 code words.
 
 Within a block an id is a place in its alphabet. For each id three predictors share the coding interval:
 the id that last followed the two ids before it (order 2), the id that last followed the one before it
-(order 1), and the counts of ids so far (order 0, renewed every 512 ids). Their shares adapt to how often
-each was right at the same confidences. The interval is coded by a range coder of 48 bits with 16-bit
-words. Blocks do not depend on one another, so numpy codes one id of many blocks at each step.
+(order 1), and the counts of ids so far (order 0). Every 512 ids the shares are renewed from how often each
+order was right at the same confidences, and the counts of order 0 from the block so far. The interval is
+coded by a range coder of 48 bits with 16-bit words. Blocks do not depend on one another, so numpy codes one
+id of many blocks at each step.
 
 Null and empty texts have the end id only. Rows are written in ascending order of document id, missing ids
 first; rows of one id stay separate. A bad checksum raises ValueError. An empty table gives no records.
@@ -31,161 +32,175 @@ from quantloom.llm.common import raw_texts, shared_path, small_side, table
 from quantloom.llm.tokens import default_tokenizer, encoder
 
 BLOCK, REFRESH, RECENT = 4096, 512, 4096
-LANES = 1024
+#: Blocks coded side by side.
+LANES = 1536
 SHARE_BITS = 12
+SHARES = 1 << SHARE_BITS
 MAGIC = b"QTB1"
-TOP, BOTTOM, MASK = np.uint64(32), np.uint64(1 << 26), np.uint64((1 << 48) - 1)
-WORD, SHARES = np.uint64(16), np.uint64(SHARE_BITS)
-#: Texts are tokenized and coded in portions of about this size.
-PORTION_BYTES = 8 << 20
+#: The interval is at least 2**32 units before each id, and a code word holds 16 bits.
+LEAST = 1 << 32
+#: Texts are tokenized in portions of about this size.
+PORTION_BYTES = 4 << 20
 RECORD = "part int, seq int, start long, n_ids long, record binary"
 
 
 class _Model:
-    """Predictors of many blocks at once; all arrays are flat, lane after lane."""
+    """Predictors of many blocks at once; all arrays are flat, lane after lane.
+
+    A prediction is confidence << 16 | id, confidence 0 (never used) to 3. A state is the confidences of
+    both predictions and whether they agree; ``right`` counts, by state, which order was right.
+    """
 
     def __init__(self, sizes: np.ndarray, slots: bool):
         n, self.width = len(sizes), int(sizes.max())
-        self.lane = np.arange(n)
-        self.at0, self.at1, self.at2, self.at3 = self.lane * (self.width + 1), self.lane * self.width, self.lane * RECENT, self.lane * 32
-        self.first = np.zeros(n * self.width, np.uint32)
-        self.second = np.zeros(n * RECENT, np.uint32)
-        self.right = np.tile(np.array([4, 1, 1], np.uint32), (n * 32, 1))
+        lane = np.arange(n)
+        self.at0, self.at1, self.at2, self.at3 = lane * (self.width + 1), lane * self.width, lane * RECENT, lane * 32
+        self.first = np.zeros(n * self.width, np.int32)
+        self.second = np.zeros(n * RECENT, np.int32)
+        self.right = np.tile(np.array([4, 1, 1, 0], np.int32), n * 32)
         self.counts = (np.arange(self.width)[None, :] < sizes[:, None]).astype(np.int32)
         self.flat = self.counts.reshape(-1)
         self.slots = slots
+        state = np.arange(32)
+        self.can2 = np.tile(state >> 3 > 0, n)
+        self.can1 = np.tile(((state >> 1) & 3 > 0) & ((state & 1 == 0) | (state >> 3 == 0)), n)
         self.refresh()
 
     def refresh(self) -> None:
-        n = len(self.lane)
-        self.below = np.zeros((n, self.width + 1), np.int32)
-        np.cumsum(self.counts, axis=1, out=self.below[:, 1:])
-        self.total = self.below[:, -1].astype(np.uint64)
-        self.below = self.below.reshape(-1)
+        """Shares of the interval from what was right so far, and order-0 counts."""
+        n = len(self.counts)
+        seen = self.right.reshape(-1, 4)
+        unit = (SHARES - 64) / seen.sum(1)
+        two = np.where(self.can2, (seen[:, 2] * unit).astype(np.int64), 0)
+        self.shares = two | (two + np.where(self.can1, (seen[:, 1] * unit).astype(np.int64), 0)) << 16
+        below = np.zeros((n, self.width + 1), np.int64)
+        np.cumsum(self.counts, axis=1, out=below[:, 1:])
+        self.total = below[:, -1].copy()
+        self.below = below.reshape(-1)
         if self.slots:
             self.slot = np.repeat(np.tile(np.arange(self.width, dtype=np.uint16), n), self.flat)
-            self.slot_at = np.concatenate([[0], np.cumsum(self.total.astype(np.int64))[:-1]])
-
-    def predict(self, m: int, one: np.ndarray, two: np.ndarray):
-        """For the first m lanes: where the predictions are, the predictions, and the shares of orders 2 and 1."""
-        i1 = self.at1[:m] + one
-        i2 = self.at2[:m] + ((two * 2654435761 + one * 40503) & (RECENT - 1))
-        p1, p2 = self.first[i1], self.second[i2]
-        c1, c2 = p1 & 0xFFFF, p2 & 0xFFFF
-        state = self.at3[:m] + (p2 >> 16) * 8 + (p1 >> 16) * 2 + (c1 == c2)
-        seen = self.right[state]
-        all_ = seen[:, 0] + seen[:, 1] + seen[:, 2]
-        w2 = np.where(p2 >> 16, (seen[:, 2] << (SHARE_BITS - 1)) // all_ << 1, 0)
-        w1 = np.where((p1 >> 16 != 0) & ((c1 != c2) | (p2 >> 16 == 0)), (seen[:, 1] << (SHARE_BITS - 1)) // all_ << 1, 0)
-        return i1, i2, p1, p2, c1, c2, state, w2.astype(np.int64), w1.astype(np.int64)
-
-    def learn(self, m: int, x: np.ndarray, i1, i2, p1, p2, c1, c2, state, kind) -> None:
-        self.right[state, kind] += 2
-        self.first[i1] = np.where(c1 == x, np.minimum(p1 + 65536, 0x30000 | c1), x | 65536)
-        self.second[i2] = np.where(c2 == x, np.minimum(p2 + 65536, 0x30000 | c2), x | 65536)
+            self.slot_at = np.cumsum(self.total) - self.total
+
+    def predict(self, m: int, one: np.ndarray, two: np.ndarray) -> None:
+        """For the first m lanes: both predictions, and where the shares of orders 2 and 1 end."""
+        self.i1 = self.at1[:m] + one
+        self.i2 = self.at2[:m] + ((two * 40503 + one * 2477) & (RECENT - 1))
+        self.p1, self.p2 = self.first.take(self.i1), self.second.take(self.i2)
+        self.c1, self.c2 = self.p1 & 0xFFFF, self.p2 & 0xFFFF
+        self.state = self.at3[:m] + (((self.p2 >> 16) << 3) | ((self.p1 >> 16) << 1) | (self.c1 == self.c2))
+        shares = self.shares.take(self.state)
+        self.end2, self.end1 = shares & 0xFFFF, shares >> 16
+
+    def learn(self, m: int, x: np.ndarray, kind: np.ndarray) -> None:
+        self.right[(self.state << 2) + kind] += 2
+        fresh = x.astype(np.int32) | 0x10000
+        self.first[self.i1] = np.where(self.c1 == x, np.minimum(self.p1 + 0x10000, self.c1 | 0x30000), fresh)
+        self.second[self.i2] = np.where(self.c2 == x, np.minimum(self.p2 + 0x10000, self.c2 | 0x30000), fresh)
         self.flat[self.at1[:m] + x] += 1
 
 
+def _active(lengths: np.ndarray) -> list[int]:
+    """How many lanes have an id at each step; lengths descend."""
+    return np.searchsorted(-lengths, -np.arange(int(lengths[0])), "left").tolist()
+
+
 def _encode_lanes(ids: np.ndarray, sizes: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
     """ids: places in the alphabet, a row for each block; lengths descend. The code words of each block."""
     n, model = len(lengths), _Model(sizes, slots=False)
-    out, pos = np.zeros((n, 2 * BLOCK + 8), np.uint16), np.zeros(n, np.int64)
-    low, size = np.zeros(n, np.uint64), np.full(n, MASK)
+    stride = 2 * int(lengths[0]) + 8
+    out, pos = np.zeros(n * stride, np.int32), np.arange(n) * stride + 1  # the first word only takes a carry
+    low, size = np.zeros(n, np.int64), np.full(n, (1 << 48) - 1)
+    columns = np.ascontiguousarray(ids.T)
     one = two = np.zeros(n, np.int64)
-    active = np.searchsorted(-lengths, -np.arange(int(lengths[0])), "left")
-    for t in range(int(lengths[0])):
+    for t, m in enumerate(_active(lengths)):
         if t and t % REFRESH == 0:
             model.refresh()
-        m = int(active[t])
-        x, one, two = ids[:m, t], one[:m], two[:m]
-        i1, i2, p1, p2, c1, c2, state, w2, w1 = model.predict(m, one, two)
-        kind = np.where((c2 == x) & (w2 > 0), 2, np.where((c1 == x) & (w1 > 0), 1, 0))
-        start = np.where(kind == 2, 0, np.where(kind == 1, w2, w2 + w1)).astype(np.uint64)
-        width = np.where(kind == 2, w2, np.where(kind == 1, w1, (1 << SHARE_BITS) - w2 - w1)).astype(np.uint64)
-        unit = size[:m] >> SHARES
+        x, one, two = columns[t, :m], one[:m], two[:m]
+        model.predict(m, one, two)
+        end2, end1 = model.end2, model.end1
+        hit2 = (model.c2 == x) & (end2 > 0)
+        hit1 = hit2 | ((model.c1 == x) & (end1 > end2))
+        start = np.where(hit2, 0, np.where(hit1, end2, end1))
+        unit = size[:m] >> SHARE_BITS
         low[:m] += unit * start
-        size[:m] = unit * width
-        if (rest := np.flatnonzero(kind == 0)).size:
-            unit = size[rest] // model.total[rest]
-            at = model.at0[rest] + x[rest]
-            below = model.below[at]
-            low[rest] += unit * below.astype(np.uint64)
-            size[rest] = unit * (model.below[at + 1] - below).astype(np.uint64)
-        lanes = None
-        while True:
-            lo, sz = (low[:m], size[:m]) if lanes is None else (low[lanes], size[lanes])
-            settled = ((lo ^ (lo + sz)) >> TOP) == 0
-            due = np.flatnonzero(settled | (sz < BOTTOM))
-            if not due.size:
-                break
-            lanes = due if lanes is None else lanes[due]
-            lo, sz = lo[due], sz[due]
-            sz = np.where(settled[due], sz, (~lo + np.uint64(1)) & (BOTTOM - np.uint64(1)))
-            out[lanes, pos[lanes]] = (lo >> TOP).astype(np.uint16)
-            pos[lanes] += 1
-            low[lanes], size[lanes] = (lo << WORD) & MASK, sz << WORD
-        model.learn(m, x, i1, i2, p1, p2, c1, c2, state, kind)
+        size[:m] = unit * (np.where(hit2, end2, np.where(hit1, end1, SHARES)) - start)
+        rest = np.flatnonzero(~hit1)
+        unit = size[rest] // model.total[rest]
+        at = model.at0[rest] + x[rest]
+        below = model.below.take(at)
+        low[rest] += unit * below
+        size[rest] = unit * (model.below.take(at + 1) - below)
+        due = np.flatnonzero(size[:m] < LEAST)
+        while due.size:
+            lo = low[due]
+            at = pos[due]
+            out[at] = lo >> 32  # with any carry, which _carried passes on
+            pos[due] = at + 1
+            low[due] = (lo & 0xFFFFFFFF) << 16
+            size[due] = sz = size[due] << 16
+            due = due[sz < LEAST]
+        model.learn(m, x, hit2.view(np.int8) + hit1)
         one, two = x, one
     for shift in (32, 16, 0):
-        out[np.arange(n), pos] = ((low >> np.uint64(shift)) & np.uint64(0xFFFF)).astype(np.uint16)
+        out[pos] = low >> 32 if shift == 32 else (low >> shift) & 0xFFFF
         pos += 1
-    return [out[i, : pos[i]] for i in range(n)]
+    return [out[i * stride : pos[i]] for i in range(n)]
+
+
+def _carried(words: np.ndarray) -> np.ndarray:
+    while (over := words >> 16).any():
+        words = words & 0xFFFF
+        words[:-1] += over[1:]
+    return words[1:].astype("<u2")
 
 
 def _decode_lanes(codes: list[np.ndarray], sizes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     n, model = len(lengths), _Model(sizes, slots=True)
-    words = np.zeros((n, max(map(len, codes)) + 8), np.uint64)
-    for i, c in enumerate(codes):
-        words[i, : len(c)] = c
-    stride, words = words.shape[1], words.reshape(-1)
+    stride = max(map(len, codes)) + 8
+    words = np.zeros((n, stride), np.int64)
+    for row, c in zip(words, codes, strict=True):
+        row[: len(c)] = c
+    words = words.reshape(-1)
     pos = np.arange(n) * stride
-    code = (words[pos] << TOP) | (words[pos + 1] << WORD) | words[pos + 2]
+    code = (words[pos] << 32) | (words[pos + 1] << 16) | words[pos + 2]
     pos += 3
-    low, size = np.zeros(n, np.uint64), np.full(n, MASK)
-    ids = np.zeros((n, int(lengths[0])), np.int64)
+    size = np.full(n, (1 << 48) - 1)
+    columns = np.zeros((int(lengths[0]), n), np.int64)
     one = two = np.zeros(n, np.int64)
-    active = np.searchsorted(-lengths, -np.arange(int(lengths[0])), "left")
-    for t in range(int(lengths[0])):
+    for t, m in enumerate(_active(lengths)):
         if t and t % REFRESH == 0:
             model.refresh()
-        m = int(active[t])
         one, two = one[:m], two[:m]
-        i1, i2, p1, p2, c1, c2, state, w2, w1 = model.predict(m, one, two)
-        unit = size[:m] >> SHARES
-        value = ((code[:m] - low[:m]) // unit).astype(np.int64)
-        kind = np.where(value < w2, 2, np.where(value < w2 + w1, 1, 0))
-        start = np.where(kind == 2, 0, np.where(kind == 1, w2, w2 + w1)).astype(np.uint64)
-        width = np.where(kind == 2, w2, np.where(kind == 1, w1, (1 << SHARE_BITS) - w2 - w1)).astype(np.uint64)
-        low[:m] += unit * start
-        size[:m] = unit * width
-        x = np.where(kind == 2, c2, c1).astype(np.int64)
-        if (rest := np.flatnonzero(kind == 0)).size:
-            total, lo = model.total[rest], low[rest]
-            unit = size[rest] // total
-            value = np.minimum((code[rest] - lo) // unit, total - np.uint64(1)).astype(np.int64)
-            found = model.slot[model.slot_at[rest] + value].astype(np.int64)
-            at = model.at0[rest] + found
-            below = model.below[at]
-            low[rest] = lo + unit * below.astype(np.uint64)
-            size[rest] = unit * (model.below[at + 1] - below).astype(np.uint64)
-            x[rest] = found
-        lanes = None
-        while True:
-            lo, sz = (low[:m], size[:m]) if lanes is None else (low[lanes], size[lanes])
-            settled = ((lo ^ (lo + sz)) >> TOP) == 0
-            due = np.flatnonzero(settled | (sz < BOTTOM))
-            if not due.size:
-                break
-            lanes = due if lanes is None else lanes[due]
-            lo, sz = lo[due], sz[due]
-            sz = np.where(settled[due], sz, (~lo + np.uint64(1)) & (BOTTOM - np.uint64(1)))
-            code[lanes] = ((code[lanes] << WORD) & MASK) | words[pos[lanes]]
-            pos[lanes] += 1
-            low[lanes], size[lanes] = (lo << WORD) & MASK, sz << WORD
-        model.learn(m, x, i1, i2, p1, p2, c1, c2, state, kind)
-        ids[:m, t] = x
+        model.predict(m, one, two)
+        end2, end1 = model.end2, model.end1
+        unit = size[:m] >> SHARE_BITS
+        value = (code[:m] / unit).astype(np.int64)  # exact: both are below 2**48
+        hit2, hit1 = value < end2, value < end1
+        start = np.where(hit2, 0, np.where(hit1, end2, end1))
+        code[:m] -= unit * start
+        size[:m] = unit * (np.where(hit2, end2, np.where(hit1, end1, SHARES)) - start)
+        x = np.where(hit2, model.c2, model.c1).astype(np.int64)
+        rest = np.flatnonzero(~hit1)
+        total, left = model.total[rest], code[rest]
+        unit = size[rest] // total
+        value = np.minimum((left / unit).astype(np.int64), total - 1)
+        found = model.slot.take(model.slot_at[rest] + value)
+        at = model.at0[rest] + found
+        below = model.below.take(at)
+        code[rest] = left - unit * below
+        size[rest] = unit * (model.below.take(at + 1) - below)
+        x[rest] = found
+        due = np.flatnonzero(size[:m] < LEAST)
+        while due.size:
+            at = pos[due]
+            code[due] = (code[due] << 16) | words.take(at)
+            pos[due] = at + 1
+            size[due] = sz = size[due] << 16
+            due = due[sz < LEAST]
+        model.learn(m, x, hit2.view(np.int8) + hit1)
+        columns[t, :m] = x
         one, two = x, one
-    return ids
+    return np.ascontiguousarray(columns.T)
 
 
 def _packed(alphabet: np.ndarray) -> bytes:
@@ -220,9 +235,9 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
         for row, p in zip(dense, places, strict=True):
             row[: len(p)] = p
         codes = _encode_lanes(dense, np.array([len(a) for a in alphabets]), lengths)
-        for i, a, c in zip(part, alphabets, codes, strict=True):
+        for i, a, c in zip(part, alphabets, map(_carried, codes), strict=True):
             raw = _packed(a)
-            out[i] = struct.pack("<5I", len(blocks[i]), len(a), zlib.crc32(blocks[i].astype("<u4").tobytes()), len(raw), len(c)) + raw + c.astype("<u2").tobytes()
+            out[i] = struct.pack("<5I", len(blocks[i]), len(a), zlib.crc32(blocks[i].astype("<u4").tobytes()), len(raw), len(c)) + raw + c.tobytes()
     return out
 
 
@@ -284,12 +299,26 @@ def portions(batch: pa.RecordBatch) -> Iterator[tuple[list, list[bytes | None]]]
 def _write(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, part, seq, start = encoder(path), TaskContext.get().partitionId(), 0, 0
+        keys, ids, lengths = [], [], []
+
+        def record() -> pa.RecordBatch:
+            nonlocal seq, start
+            row = [part, seq, start, total := sum(map(len, ids)), encode_record(keys, np.concatenate(lengths), np.concatenate(ids))]
+            seq, start = seq + 1, start + total
+            for x in (keys, ids, lengths):
+                x.clear()
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "seq", "start", "n_ids", "record"])
+
         for batch in batches:
-            for keys, texts in portions(batch):
-                ids, lengths = tool.encode_all(texts, end_id)
-                record = encode_record(keys, lengths, ids)
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([start], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([record], pa.binary())], ["part", "seq", "start", "n_ids", "record"])
-                seq, start = seq + 1, start + len(ids)
+            for own, texts in portions(batch):
+                coded, sizes = tool.encode_all(texts, end_id)
+                keys += own
+                ids.append(coded)
+                lengths.append(sizes)
+                if sum(map(len, ids)) >= LANES * BLOCK:
+                    yield record()
+        if keys:
+            yield record()
 
     return run
 
