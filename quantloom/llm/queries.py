@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quantloom.llm import decontamination, line_dedup, packing, token_files
+from quantloom.llm import decontamination, line_dedup, packing, secrets, token_files
 
 QUERIES = {
+    "op3_secret_scan": secrets.op3_secret_scan,
     "op6_benchmark_decontamination": decontamination.op6_benchmark_decontamination,
     "op8_token_files": token_files.op8_token_files,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
