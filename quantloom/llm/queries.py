@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quantloom.llm import decontamination, line_dedup, packing, secrets, token_files
+from quantloom.llm import decontamination, jaccard_join, line_dedup, packing, secrets, token_files
 
 QUERIES = {
+    "op2_jaccard_join": jaccard_join.op2_jaccard_join,
     "op3_secret_scan": secrets.op3_secret_scan,
     "op6_benchmark_decontamination": decontamination.op6_benchmark_decontamination,
     "op8_token_files": token_files.op8_token_files,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_jaccard_join": jaccard_join.SQL,
     "op6_benchmark_decontamination": decontamination.SQL,
     "op10_line_dedup": line_dedup.SQL,
 }
