@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from quantloom.llm import decontamination, jaccard_join, line_dedup, packing, secrets, token_files
+from quantloom.llm import decontamination, jaccard_join, line_dedup, lm_scoring, packing, quality, secrets, token_files
 
 QUERIES = {
     "op2_jaccard_join": jaccard_join.op2_jaccard_join,
     "op3_secret_scan": secrets.op3_secret_scan,
+    "op4_lm_scoring": lm_scoring.op4_lm_scoring,
+    "op5_quality_classifier": quality.op5_quality_classifier,
     "op6_benchmark_decontamination": decontamination.op6_benchmark_decontamination,
     "op8_token_files": token_files.op8_token_files,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
