@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quantloom.llm import decontamination, jaccard_join, line_dedup, lm_scoring, packing, quality, secrets, token_files
+from quantloom.llm import ann, decontamination, jaccard_join, line_dedup, lm_scoring, packing, quality, secrets, token_files
 
 QUERIES = {
     "op2_jaccard_join": jaccard_join.op2_jaccard_join,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_lm_scoring": lm_scoring.op4_lm_scoring,
     "op5_quality_classifier": quality.op5_quality_classifier,
     "op6_benchmark_decontamination": decontamination.op6_benchmark_decontamination,
+    "op7_nearest_neighbours": ann.op7_nearest_neighbours,
     "op8_token_files": token_files.op8_token_files,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_line_dedup": line_dedup.op10_line_dedup,
