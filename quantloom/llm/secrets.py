@@ -40,6 +40,9 @@ SIZE = len(SYMBOLS) + 1
 CODES = np.zeros(256, np.int64)
 CODES[[ord(c) for c in SYMBOLS]] = np.arange(1, SIZE)
 
+#: Characters counted at once.
+PORTION = 1 << 20
+
 Span = tuple[str, int, int]
 
 
@@ -76,18 +79,31 @@ def transitions(values: bytes) -> np.ndarray:
 
 def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros((2, SIZE**3), np.int64)
+    secrets: list[bytes] = []
+    plain: list[bytes] = []
+
+    def add() -> None:
+        words = b" ".join(plain)
+        # Words joined by underscores stand for compound identifiers.
+        for label, values in ((0, words), (0, words.replace(b" ", b"_")), (1, b" ".join(secrets))):
+            for at in range(0, len(values), PORTION):
+                counts[label] += np.bincount(transitions(values[at : at + PORTION]), minlength=SIZE**3)
+        plain.clear()
+        secrets.clear()
+
+    held = 0
     for batch in batches:
-        secrets, plain = [], []
         for text in batch.column(0).to_pylist():
-            flat = bytearray(_bytes(text or ""))
-            for span in base_spans(text or "", bytes(flat)):
+            text = text or ""
+            flat = bytearray(_bytes(text))
+            for span in base_spans(text, bytes(flat)):
                 secrets.append(_bytes(_value(text, span)))
                 flat[span[1] : span[2]] = b" " * (span[2] - span[1])
             plain.append(bytes(flat))
-        words = b" ".join(plain)
-        # Words joined by underscores stand for compound identifiers.
-        for label, values in ((0, words), (0, words.replace(b" ", b"_")), (1, b" ".join(secrets))):
-            counts[label] += np.bincount(transitions(values), minlength=SIZE**3)
+            if (held := held + len(flat)) >= PORTION:
+                add()
+                held = 0
+    add()
     label, code = counts.nonzero()
     yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(code, pa.int32()), pa.array(counts[label, code])], ["label", "code", "n"])
 
