@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quantloom.llm import ann, decontamination, jaccard_join, line_dedup, lm_scoring, packing, quality, secrets, token_files
+from quantloom.llm import ann, decontamination, html_text, jaccard_join, line_dedup, lm_scoring, packing, quality, secrets, token_files
 
 QUERIES = {
+    "op1_html_extraction": html_text.op1_html_extraction,
     "op2_jaccard_join": jaccard_join.op2_jaccard_join,
     "op3_secret_scan": secrets.op3_secret_scan,
     "op4_lm_scoring": lm_scoring.op4_lm_scoring,
