@@ -99,7 +99,7 @@ PARTS = {
     ),
     "art": (
         f"art AS (SELECT doc_id AS article_id, substr(split_part(text, chr(10), 1), 1, 120) AS title, CASE WHEN doc_id % 3 = 0 THEN '<p>' || substr(text, 1, 400) || '</p>' WHEN doc_id % 5 = 0 THEN substr(text, 1, 10) ELSE substr(text, 1, 400) END AS description, "
-        f"CASE WHEN doc_id % 19 <> 0 THEN source END AS source_name, CASE WHEN doc_id % 23 <> 0 THEN TIMESTAMP '{ASOF_NEWS}' - to_hours(CAST(doc_id % 400 AS INTEGER)) END AS at, doc_id % 400 AS hours, CASE WHEN doc_id % 2 = 0 THEN 'primary' ELSE 'backup' END AS feed, doc_id AS pos, lang, "
+        f"CASE WHEN doc_id % 19 <> 0 THEN source END AS source_name, CASE WHEN doc_id % 23 <> 0 THEN TIMESTAMP '{ASOF_NEWS}' - to_hours(CAST(doc_id % 400 AS INTEGER)) END AS pub, doc_id % 400 AS hours, CASE WHEN doc_id % 2 = 0 THEN 'primary' ELSE 'backup' END AS feed, doc_id AS pos, lang, "
         f"CASE WHEN doc_id % 23 = 0 THEN 'unknown' WHEN doc_id % 4 = 1 THEN strftime(TIMESTAMP '{ASOF_NEWS}' - to_hours(CAST(doc_id % 400 AS INTEGER)), '%a, %d %b %Y %H:%M:%S GMT') ELSE strftime(TIMESTAMP '{ASOF_NEWS}' - to_hours(CAST(doc_id % 400 AS INTEGER)), '%Y-%m-%dT%H:%M:%SZ') END AS published_at FROM documents)"
     ),
     "ticks": "ticks AS (SELECT user_id AS symbol, ts, value AS price, event_id FROM events)",
@@ -146,7 +146,7 @@ def keyword_sql(c: str) -> str:
 
 
 MATCH = "(keywords IS NULL OR len(list_filter(keywords, lambda k: contains(lower(coalesce(title, '')), k) OR contains(lower(coalesce(description, '')), k))) > 0)"
-RECENT = f"(at IS NULL OR at >= TIMESTAMP '{ASOF_NEWS}' - INTERVAL 7 DAY)"
+RECENT = f"(pub IS NULL OR pub >= TIMESTAMP '{ASOF_NEWS}' - INTERVAL 7 DAY)"
 STOP = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
 
 
@@ -163,7 +163,7 @@ sim AS (SELECT pr.query, pr.article_id, coalesce(CASE WHEN na > 0 AND nq > 0 THE
 rel AS (SELECT sim.query, sim.article_id, similarity, title, pos, similarity
   + 0.2e0 * len(list_filter(regexp_split_to_array(lower(sim.query), '\\s+'), lambda w: length(w) > 3 AND contains(lower(title), w)))
   + 0.1e0 * len(list_filter([{", ".join(f"'{w}'" for w in IMPORTANT)}], lambda w: contains(lower(title), w)))
-  + coalesce(CASE WHEN at IS NULL THEN NULL WHEN floor(hours / 24e0) <= 1 THEN 0.3e0 WHEN floor(hours / 24e0) <= 3 THEN 0.2e0 END, 0e0) AS relevance
+  + coalesce(CASE WHEN pub IS NULL THEN NULL WHEN floor(hours / 24e0) <= 1 THEN 0.3e0 WHEN floor(hours / 24e0) <= 3 THEN 0.2e0 END, 0e0) AS relevance
   FROM sim JOIN {articles} a ON a.article_id = sim.article_id)"""
 
 

@@ -85,10 +85,10 @@ def bars_lookback(spark, sf):
     return out
 
 
-@query("quotes_snapshot", o.sql("q", f"SELECT symbol, name AS \"longName\", cur AS \"currentPrice\", reg AS \"regularMarketPrice\", {_r('change', 'change_pct')}, volume, {_r('pe')}, {_r('peg')}, hi, lo, sector, industry, staff FROM q"))
+@query("quotes_snapshot", o.sql("q", f"SELECT symbol, name AS \"longName\", cur AS \"currentPrice\", reg AS \"regularMarketPrice\", {_r('change', 'change_pct')}, volume, pe, peg, hi, lo, sector, industry, CAST(staff AS DOUBLE) AS staff FROM q"))
 def quotes_snapshot(spark, sf):
     q = src.quotes(spark, sf)
-    return q.select("symbol", "longName", "currentPrice", "regularMarketPrice", r4("regularMarketChangePercent", "change_pct"), "volume", r4("trailingPE", "pe"), r4("pegRatio", "peg"), F.col("fiftyTwoWeekHigh").alias("hi"), F.col("fiftyTwoWeekLow").alias("lo"), "sector", "industry", F.col("fullTimeEmployees").alias("staff"))
+    return q.select("symbol", "longName", "currentPrice", "regularMarketPrice", r4("regularMarketChangePercent", "change_pct"), "volume", F.col("trailingPE").alias("pe"), F.col("pegRatio").alias("peg"), F.col("fiftyTwoWeekHigh").alias("hi"), F.col("fiftyTwoWeekLow").alias("lo"), "sector", "industry", F.col("fullTimeEmployees").cast("double").alias("staff"))
 
 
 # ---- indicators
@@ -192,9 +192,9 @@ def scan_momentum(spark, sf):
 _STRONG = "CASE WHEN total >= 5 THEN 'BUY' WHEN total <= -5 THEN 'SELL' ELSE '' END AS strong"
 
 
-@query("scan_market", o.sql("scan", f"SELECT symbol, substr(coalesce(name, CAST(symbol AS VARCHAR)), 1, 35) AS name, close AS price, CAST(t AS INTEGER) AS tech_score, CAST(f AS INTEGER) AS fund_score, CAST(m AS INTEGER) AS ml_score, CAST(total AS INTEGER) AS total_score, {_STRONG}, {_r('coalesce(pe, 0e0)', 'pe')} FROM scan"))
+@query("scan_market", o.sql("scan", f"SELECT symbol, substr(coalesce(name, CAST(symbol AS VARCHAR)), 1, 35) AS name, close AS price, CAST(t AS INTEGER) AS tech_score, CAST(f AS INTEGER) AS fund_score, CAST(m AS INTEGER) AS ml_score, CAST(total AS INTEGER) AS total_score, {_STRONG}, coalesce(pe, 0e0) AS pe FROM scan"))
 def scan_market(spark, sf):
-    return _scan(spark, sf).select("symbol", "name", "price", "tech_score", "fund_score", "ml_score", "total_score", "strong", r4("pe", "pe"))
+    return _scan(spark, sf).select("symbol", "name", "price", "tech_score", "fund_score", "ml_score", "total_score", "strong", "pe")
 
 
 @query("scan_reasons", o.sql("scan", f"SELECT symbol, {o._reasons(o.TECH, 3)} AS tech_reasons, {o._reasons(o.FUND, 2)} AS fund_reasons, {o._reasons(o.MOMENTUM, 2)} AS ml_reasons FROM scan"))
@@ -230,9 +230,9 @@ def _signals(spark, sf):
 _LABEL = "CASE WHEN score >= 3 THEN 'STRONG BUY' WHEN score >= 1 THEN 'BUY' WHEN score <= -3 THEN 'STRONG SELL' WHEN score <= -1 THEN 'SELL' WHEN score = 0 THEN 'NEUTRAL' END AS signal"
 
 
-@query("tech_signal", o.sql("sig", f"SELECT symbol, price, CAST(score AS INTEGER) AS tech_score, {_LABEL} FROM sig"))
+@query("tech_signal", o.sql("sig", f"SELECT symbol, price, CAST(score AS DOUBLE) AS tech_score, {_LABEL} FROM sig"))
 def tech_signal(spark, sf):
-    return _signals(spark, sf).select("symbol", "price", "tech_score", "signal")
+    return _signals(spark, sf).select("symbol", "price", F.col("tech_score").cast("double").alias("tech_score"), "signal")
 
 
 @query("insights", o.sql("sig", "SELECT symbol, array_to_string(list_filter([CASE WHEN rsi < 30 THEN 'oversold' WHEN rsi > 70 THEN 'overbought' END, CASE WHEN pe > 0 AND pe < 15 THEN 'attractive valuation' WHEN pe > 30 THEN 'high valuation' END, CASE WHEN price > ma_20 AND ma_20 > ma_50 THEN 'bullish trend' WHEN price < ma_20 AND ma_20 < ma_50 THEN 'bearish trend' END], lambda x: x IS NOT NULL), '; ') AS insights FROM sig"))
@@ -338,10 +338,9 @@ def symbol_resolve(spark, sf):
 _PRICE2 = "'$' || printf('%.2f', floor(mcap / 1e7 + 0.5e0) / 100) || 'B'"
 
 
-@query("instrument_card", o.sql("q", f"SELECT symbol, coalesce(cur, reg) AS price, CASE WHEN mcap > 1e9 THEN {_PRICE2} ELSE 'N/A' END AS market_cap, {_r('CASE WHEN pe <> 0 THEN pe END', 'pe')}, {_r('eps')}, {_r('yield * 100', 'dividend_pct')}, hi AS high_52w, lo AS low_52w, coalesce(volume, 0e0) AS volume, coalesce(sector, 'N/A') AS sector, substr(coalesce(industry, 'N/A'), 1, 25) AS industry, CASE WHEN staff > 0 THEN format('{{:,}}', staff) ELSE 'N/A' END AS employees FROM q"))
+@query("instrument_card", o.sql("q", f"SELECT symbol, coalesce(cur, reg) AS price, CASE WHEN mcap > 1e9 THEN {_PRICE2} ELSE 'N/A' END AS market_cap, CASE WHEN pe <> 0 THEN pe END AS pe, eps, {_r('yield * 100', 'dividend_pct')}, hi AS high_52w, lo AS low_52w, coalesce(volume, 0e0) AS volume, coalesce(sector, 'N/A') AS sector, substr(coalesce(industry, 'N/A'), 1, 25) AS industry, CASE WHEN staff > 0 THEN format('{{:,}}', staff) ELSE 'N/A' END AS employees FROM q"))
 def instrument_card(spark, sf):
-    df = cards.instrument_card(src.quotes(spark, sf))
-    return df.withColumns({c: r4(c) for c in ("pe", "eps", "dividend_pct")})
+    return cards.instrument_card(src.quotes(spark, sf)).withColumn("dividend_pct", r4("dividend_pct"))
 
 
 @query("ticker_strip", o.sql("q", f"SELECT symbol, coalesce(cur, reg, 0e0) AS price, {_r('abs(coalesce(change, 0e0))', 'change_abs')}, CASE WHEN coalesce(change, 0e0) >= 0 THEN 'up' ELSE 'down' END AS direction FROM q WHERE symbol IN ({', '.join(map(str, TICKERS))})"))
@@ -404,7 +403,7 @@ def news_summary(spark, sf):
 _SECS = "(hours * 3600)"
 
 
-@query("news_time_ago", o.sql("art", f"SELECT article_id, CASE WHEN at IS NULL THEN substr(published_at, 1, 10) WHEN {_SECS} < 3600 THEN CAST({_SECS} // 60 AS VARCHAR) || 'm ago' WHEN {_SECS} // 86400 = 0 THEN CAST({_SECS} // 3600 AS VARCHAR) || 'h ago' WHEN {_SECS} // 86400 = 1 THEN 'Yesterday' WHEN {_SECS} // 86400 < 7 THEN CAST({_SECS} // 86400 AS VARCHAR) || 'd ago' ELSE strftime(at, '%b %d, %Y') END AS ago FROM art"))
+@query("news_time_ago", o.sql("art", f"SELECT article_id, CASE WHEN pub IS NULL THEN substr(published_at, 1, 10) WHEN {_SECS} < 3600 THEN CAST({_SECS} // 60 AS VARCHAR) || 'm ago' WHEN {_SECS} // 86400 = 0 THEN CAST({_SECS} // 3600 AS VARCHAR) || 'h ago' WHEN {_SECS} // 86400 = 1 THEN 'Yesterday' WHEN {_SECS} // 86400 < 7 THEN CAST({_SECS} // 86400 AS VARCHAR) || 'd ago' ELSE strftime(pub, '%b %d, %Y') END AS ago FROM art"))
 def news_time_ago(spark, sf):
     at = fn.published(F.col("published_at"))
     return src.articles(spark, sf).select("article_id", fn.time_ago(F.col("published_at"), at, F.to_timestamp(F.lit(ASOF_NEWS))).alias("ago"))
