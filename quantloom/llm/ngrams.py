@@ -110,9 +110,8 @@ def score_docs(docs: DataFrame, symbols: Vocabulary, order: int, table: DataFram
         schema = schema.add(v, "double")
     if table.limit(MAX_SHARED + 1).count() <= MAX_SHARED:
         rows = table.select("gram", *[F.col(v).cast("float").alias(v) for v in values]).toArrow()
-        order = np.argsort(rows["gram"].to_numpy())
-        held = spark.sparkContext.broadcast((rows["gram"].to_numpy()[order], np.stack([rows[v].to_numpy()[order] for v in values], axis=1)))
-        del rows, order
+        by_gram = np.argsort(rows["gram"].to_numpy())
+        held = spark.sparkContext.broadcast((rows["gram"].to_numpy()[by_gram], np.stack([rows[v].to_numpy()[by_gram] for v in values], axis=1)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known, found = held.value
