@@ -2,8 +2,8 @@
 
 The ids are the tokenizers library's own. Most of its time goes into normalizing and splitting text, so
 texts are cut at ASCII white space and each distinct chunk is encoded once; the cache is emptied when it is full.
-A chunk of Latin letters and closing marks needs no normalizing but lower case, so many such words go to
-the library's BPE in one call; any other chunk is encoded by the unchanged tokenizer. Cutting is safe as the
+A chunk of lower-case Latin letters needs no normalizing, so many such words go to the library's BPE in one
+call; any other chunk is encoded by the unchanged tokenizer. Cutting is safe as the
 tokenizer's normalizer (NFC, white space, lower case) and its split never join text across white space.
 """
 
@@ -12,14 +12,17 @@ from __future__ import annotations
 import gc
 import os
 import re
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Words of these letters are their own NFC form and one piece of the split.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)").fullmatch
+#: Lower-case words of these letters are their own NFC form and one piece of the split.
+PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
+#: Texts without these hold no letters but Latin ones, no special tokens, no control characters and no two marks in a row. In such a
+#: text A-Z may be lower-cased and full stops and commas stand alone without a change of ids.
+INVOLVED = re.compile(rb"[!-/:-@\[-`{-~]{2}|[\x00-\x08\x0e-\x1f\x7f\xc2\xc4-\xff]|\xc3[\x97\xb7]").search
 MAX_CACHED = 1_000_000
 #: Words a library call encodes.
 AT_ONCE = 4096
@@ -31,6 +34,12 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _chunks(text: bytes) -> list[bytes]:
+    if INVOLVED(text) is None:
+        text = text.lower().replace(b".", b" . ").replace(b",", b" , ")
+    return text.split()
+
+
 class ChunkEncoder:
     """encode_all(texts) gives the ids that tokenizers gives for the whole texts.
 
@@ -48,56 +57,34 @@ class ChunkEncoder:
 
     def _forget(self) -> None:
         self.place: dict[bytes, int] = {}
-        self.marks: dict[str, list[int]] = {"": []}
         self.flat, self.start = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def _of_marks(self, marks: str) -> list[int]:
-        if marks not in self.marks:
-            self.marks[marks] = self.whole.encode(marks, add_special_tokens=False).ids
-        return self.marks[marks]
-
     def learn(self, chunks: set[bytes]) -> None:
         """Give a place to chunks that have none."""
         new = chunks.difference(self.place)
         if len(self.place) + len(new) > MAX_CACHED:
             self._forget()
             new = chunks
-        plain: dict[str, list[tuple[bytes, str]]] = {}
-        other = []
-        for c in new:
-            if m := PLAIN(c.decode()):
-                plain.setdefault(m[1].lower(), []).append((c, m[2]))
-            else:
-                other.append(c)
-        flat: list[int] = []
-        ends: list[int] = []
-        at_first = len(self.place)
-        names = list(plain)
-        for at in range(0, len(names), AT_ONCE):
-            part = names[at : at + AT_ONCE]
-            coded = self.words.encode(" ".join(part), add_special_tokens=False)
-            ids = coded.ids
-            cuts = np.searchsorted(np.array(coded.word_ids), np.arange(len(part) + 1)).tolist()
-            for i, name in enumerate(part):
-                own = ids[cuts[i] : cuts[i + 1]]
-                for c, marks in plain[name]:
-                    flat += own
-                    if marks:
-                        flat += self._of_marks(marks)
-                    ends.append(len(flat))
-                    self.place[c] = at_first + len(ends) - 1
+        plain = [c for c in new if PLAIN(c)]
+        other = list(new.difference(plain))
+        flat, ends, size = [self.flat], [self.start], self.flat.size
+        for at in range(0, len(plain), AT_ONCE):
+            part = plain[at : at + AT_ONCE]
+            coded = self.words.encode(b" ".join(part).decode(), add_special_tokens=False)
+            flat.append(np.array(coded.ids, np.uint32))
+            ends.append(size + np.searchsorted(np.array(coded.word_ids), np.arange(1, len(part) + 1)))
+            size += len(flat[-1])
         for at in range(0, len(other), AT_ONCE):
-            part = other[at : at + AT_ONCE]
-            for c, coded in zip(part, self.whole.encode_batch_fast([c.decode() for c in part], add_special_tokens=False), strict=True):
-                flat += coded.ids
-                ends.append(len(flat))
-                self.place[c] = at_first + len(ends) - 1
-        self.start = np.concatenate([self.start, np.array(ends, np.int64) + self.flat.size])
-        self.flat = np.concatenate([self.flat, np.array(flat, np.uint32)])
+            coded = [x.ids for x in self.whole.encode_batch_fast([c.decode() for c in other[at : at + AT_ONCE]], add_special_tokens=False)]
+            flat.append(np.fromiter(chain.from_iterable(coded), np.uint32))
+            ends.append(size + np.cumsum([len(x) for x in coded]))
+            size += len(flat[-1])
+        self.place.update(zip(chain(plain, other), count(len(self.place))))
+        self.flat, self.start = np.concatenate(flat), np.concatenate(ends)
 
     def encode_all(self, texts: list[bytes | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all UTF-8 texts in a row, each followed by end_id, and how many each text has."""
-        parts = [(t or b"").split() for t in texts]
+        parts = [_chunks(t or b"") for t in texts]
         on = gc.isenabled()
         gc.disable()  # else Python searches the many new small objects for cycles again and again
         try:
