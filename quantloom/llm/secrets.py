@@ -3,7 +3,7 @@
 Two Markov models of order 2 give the probability of each character of a candidate after the two before it:
 one of random strings, one of ordinary identifiers. Both are trained from labelled samples of the corpus at
 hand: values that the fixed patterns find (label 1) and all words outside, also joined by underscores (label 0), counted
-over all documents. A candidate is a run of 20 or more of ``[A-Za-z0-9+/_=-]`` with letters and digits; it
+over all documents, candidates left out. A candidate is a run of 20 or more of ``[A-Za-z0-9+/_=-]`` with letters and digits; it
 is a secret of kind ``markov`` if the ratio exceeds ``least_ratio`` nats a character and it overlaps no
 span of the fixed patterns, which always stay.
 
@@ -30,6 +30,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}")
+CANDIDATE_BYTES = re.compile(CANDIDATE.pattern.encode())
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: A character is one byte here, others than Latin-1 a question mark, so that offsets stay and bytes can be searched fast.
 AS_HEX = bytes(120 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
@@ -99,6 +100,8 @@ def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for span in base_spans(text, bytes(flat)):
                 secrets.append(_bytes(_value(text, span)))
                 flat[span[1] : span[2]] = b" " * (span[2] - span[1])
+            if b"x" * 20 in flat.translate(AS_CANDIDATE):  # what is to be judged is no sample
+                flat = bytearray(CANDIDATE_BYTES.sub(b" ", flat))
             plain.append(bytes(flat))
             if (held := held + len(flat)) >= PORTION:
                 add()
