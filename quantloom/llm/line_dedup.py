@@ -183,9 +183,9 @@ class LineIndex:
         self.version += 1
         # pmod on the unsigned value: the shard must be the one that FilterSet.may_hold computes.
         shard = F.expr(f"cast(pmod(pmod(h1, {self.shards}) + if(h1 < 0, {pow(2, 64, self.shards)}, 0), {self.shards}) as int)")
-        rows = self.counts().where(f"n >= {self.min_docs} or crossed < 0").select(shard.alias("shard"), "h1", "h2", "n", "crossed", F.lit(None).cast("long").alias("buckets"), F.lit(None).cast("binary").alias("cells"))
+        rows = self.counts().where(f"n >= {self.min_docs} or crossed < 0").select(shard.alias("shard"), "h1", "h2", "n", "crossed", F.lit(0).cast("long").alias("buckets"), F.lit(None).cast("binary").alias("cells"))
         if old is not None:
-            rows = rows.unionByName(old.select("shard", *[F.lit(None).cast(t).alias(c) for c, t in (("h1", "long"), ("h2", "long"), ("n", "long"), ("crossed", "int"))], "buckets", "cells"))
+            rows = rows.unionByName(old.select("shard", *[F.lit(0).cast(t).alias(c) for c, t in (("h1", "long"), ("h2", "long"), ("n", "long"), ("crossed", "int"))], "buckets", "cells"))  # not null: pandas would make floats of hashes
         rows.groupBy("shard").applyInPandas(_update_shard(self.min_docs), "shard int, buckets long, cells binary").write.parquet(f"{self.path}/filters-{self.version}")
         return self
 
