@@ -10,7 +10,7 @@ reach the overlap that their set sizes need. Surviving pairs are verified on the
 
 Equal sets are one class from the start. Links are needed only for components: in three rounds each document
 of a group tries a few hubs, then the last round tries all remaining pairs of different components. Groups of
-more than ``block`` members are split into blocks, and each task gets two blocks.
+more than ``block`` members are split into blocks. Each task gets one block and the hubs, or two blocks.
 
 A-Z are lower-cased; words end at ASCII white space. A document of fewer words than ``width``, but not none,
 has its whole sequence as its one shingle. Null and empty texts have no shingles, are linked with nothing and
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quantloom.llm.common import bigints, materialize, mix, raw_texts, small_side, table, word_hashes
@@ -38,6 +38,8 @@ MOST, UNLIMITED = 0xFFFF, 1 << 40
 LEAF = 32
 #: Members that all others of a group try in each of the first rounds, whose salts these are.
 HUBS, SALTS = 8, (1, 2, 3)
+#: In place of its block, for a hub that is sent to each block of its group.
+HUB = -1
 #: Classes and groups that a task remembers so as not to send them again.
 MAX_SEEN = 500_000
 
@@ -244,13 +246,16 @@ def _tree_pairs(p: Points, left: np.ndarray, right: np.ndarray | None, kind: int
                 yield i[ok], j[ok]
 
 
-def _hub_pairs(p: Points, salt: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Each place with each of a few hubs, picked by a salted hash among the members of the most common label."""
-    labels, n = np.unique(p.labels, return_counts=True)
-    common = np.flatnonzero(p.labels == labels[np.argmax(n)])
-    order = np.argsort(mix(p.ids[common].view(np.uint64) + np.uint64(salt)), kind="stable")
-    for hub in common[order[:HUBS]].tolist():
-        others = np.delete(np.arange(len(p.ids)), hub)
+def _hub_pairs(p: Points, own: np.ndarray, salt: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each place with each of a few hubs: those sent to a block, else picked by a salted hash among the members of the most common label."""
+    hubs = np.flatnonzero(own == HUB)
+    if not hubs.size:
+        labels, n = np.unique(p.labels, return_counts=True)
+        common = np.flatnonzero(p.labels == labels[np.argmax(n)])
+        order = np.argsort(mix(p.ids[common].view(np.uint64) + np.uint64(salt)), kind="stable")
+        hubs = common[order[:HUBS]]
+    for hub in hubs.tolist():
+        others = np.flatnonzero((own != HUB) & (np.arange(len(p.ids)) != hub))
         hubs = np.full(len(others), hub)
         ok = p.passing(hubs, others, percent)
         if ok.any():
@@ -258,7 +263,7 @@ def _hub_pairs(p: Points, salt: int, percent: int) -> Iterator[tuple[np.ndarray,
 
 
 def _candidates(percent: int, salt: int | None):
-    """Rows sorted by (gid, i, j): pairs of each (gid, i, j), with one hub a group if salt is given, else all."""
+    """Rows sorted by (gid, i, j): pairs of each (gid, i, j), with a few hubs of the group if salt is given, else all."""
 
     def pairs(cols: list[np.ndarray], raw: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         _, i, j, own, ids, labels, sizes = cols
@@ -266,7 +271,7 @@ def _candidates(percent: int, salt: int | None):
             return
         p = Points(ids, labels, sizes, raw)
         if salt is not None:
-            found = _hub_pairs(p, salt, percent)
+            found = _hub_pairs(p, own, salt, percent)
         elif i[0] == j[0]:
             found = tree_pairs(p, np.arange(len(ids)), None, percent)
         else:
@@ -326,6 +331,24 @@ def _verify(width: int, percent: int):
     return run
 
 
+def _with_hubs(rows: DataFrame, salt: int) -> DataFrame:
+    """rows: rep, gid, label, blocks. Members each in one block of their group, and the hubs of a split group in all its blocks.
+
+    Hubs of a group in one block are picked where it is tried. Those of the others are members of the most
+    common label, picked within blocks and then among blocks, so that no task reads a whole group.
+    """
+    members = rows.withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    split = members.where("blocks > 1")
+    # One row for each group of more than a block of members.
+    common = split.groupBy("gid", "label").agg(F.count("*").alias("n")).groupBy("gid").agg(F.max_by("label", F.struct("n", "label")).alias("label"))
+    hubs = split.join(small_side(common, 1_000_000), ["gid", "label"]).withColumn("order", F.xxhash64("rep", F.lit(salt)))
+    for keys in (["gid", "own"], ["gid"]):
+        hubs = hubs.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("order", "rep"))).where(F.col("k") <= HUBS)
+    hubs = hubs.withColumn("i", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")))).withColumn("own", F.lit(HUB))
+    columns = ["gid", "i", F.col("i").alias("j"), "own", "rep", "label"]
+    return members.withColumn("i", F.col("own")).select(*columns).unionByName(hubs.select(*columns))
+
+
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, block: int = 4096) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of each row of docs."""
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -356,8 +379,9 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         else:
             # For a hub each document tries its largest group only: groups of near copies overlap in most members.
             most = F.max_by("gid", F.struct("size", "gid"))
-            rows = rows.join(sizes, "gid").groupBy("rep").agg(most.alias("gid"), F.first("label").alias("label"))
-            rows = rows.withColumn("own", F.lit(0)).withColumn("i", F.lit(0)).withColumn("j", F.lit(0))
+            rows = rows.join(sizes, "gid").groupBy("rep").agg(most.alias("gid"), F.first("label").alias("label"), F.max("size").alias("size"))
+            rows = materialize(rows.select("rep", "gid", "label", F.ceil(F.col("size") / block).alias("blocks")), "largest")
+            rows = _with_hubs(rows, salt)
         rows = rows.join(points, "rep").select("gid", "i", "j", "own", "rep", "label", "n", "point")
         found = rows.repartition("gid", "i", "j").sortWithinPartitions("gid", "i", "j").mapInArrow(_candidates(percent, salt), "a long, b long").distinct()
         pairs = materialize(found if tried is None else found.join(tried, ["a", "b"], "left_anti"), "pairs")

@@ -141,6 +141,30 @@ def test_jaccard_null_id_and_empty(spark, docs, empty):
     assert jaccard_join.jaccard_components(empty).count() == 0
 
 
+def test_jaccard_no_task_holds_a_large_group(spark, monkeypatch):
+    plain = jaccard_join._candidates
+
+    def watched(percent, salt):
+        inner = plain(percent, salt)
+
+        def run(batches):
+            from collections import Counter
+
+            kept = list(batches)
+            rows = Counter(k for b in kept for k in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True))
+            if max(rows.values(), default=0) > 80:
+                raise ValueError(f"{max(rows.values())} rows of a group in one task")
+            yield from inner(iter(kept))
+
+        return run
+
+    monkeypatch.setattr(jaccard_join, "_candidates", watched)
+    base = sentence(200, 5)
+    rows = [(i, edited(base, i % 5, i)) for i in range(300)] + [(1000 + i, base + " " + sentence(300, i)) for i in range(20)]
+    got = jaccard_join.jaccard_components(docs_of(spark, rows), block=16).collect()
+    assert sorted(map(tuple, got)) == brute_components(rows)
+
+
 def test_bounds_never_lose_a_pair():
     r = np.random.default_rng(1)
     for n in (5, 40, 500, 530, 4000):
