@@ -82,13 +82,13 @@ def _describe(width: int, percent: int):
         seen: set[bytes] = set()
         for batch in batches:
             sizes, halves, points, prefixes = [], [], [], []
-            for text in raw_texts(batch.column(1)):
+            for text, known in zip(raw_texts(batch.column(1)), batch.column(0).is_valid().to_pylist(), strict=True):
                 s = shingles(text, width)
                 n = len(s)
                 digest = xxhash.xxh3_128_digest(s.tobytes())
                 sizes.append(n)
                 halves.append(digest)
-                if n and digest not in seen:
+                if n and known and digest not in seen:
                     if len(seen) >= MAX_SEEN:
                         seen.clear()
                     seen.add(digest)
@@ -110,6 +110,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by (sig, c1), the members of groups of at least two classes; groups of the same members once a task."""
     seen: set[int] = set()
     old = np.zeros((2, 0), np.int64)
+    parted: int | None = None
 
     def closed(sig: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
         keep = np.concatenate([[True], (sig[1:] != sig[:-1]) | (c[1:] != c[:-1])])
@@ -117,11 +118,14 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
         size = np.diff(np.append(first, len(sig)))
         key = np.add.reduceat(mix(c.view(np.uint64)), first).view(np.int64)
+        tail = sig[first] == parted if parted is not None else np.zeros(len(first), bool)
+        key[tail] = sig[first][tail]  # as the parts sent before
         _, once = np.unique(key, return_index=True)
         good = np.zeros(len(first), bool)
         good[once] = size[once] > 1
+        good |= tail
         at = np.flatnonzero(good)
-        at = at[[k not in seen for k in key[at].tolist()]] if at.size else at
+        at = at[[k not in seen for k in key[at].tolist()] | tail[at]] if at.size else at
         if len(seen) > MAX_SEEN:
             seen.clear()
         seen.update(key[at].tolist())
@@ -133,14 +137,14 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)]).astype(np.int64)
         both = np.concatenate([old, new], axis=1)
         if both.shape[1]:
-            # The last group may go on in the next batch. One beyond MAX_SEEN members goes on by itself, named by its shingle.
+            # The last group may go on in the next batch. One beyond MAX_SEEN members is sent in parts, all named by its shingle.
             cut = int(np.searchsorted(both[0], both[0, -1]))
             if cut:
                 yield from closed(both[0, :cut], both[1, :cut])
             old = both[:, cut:]
             if old.shape[1] > MAX_SEEN:
                 yield pa.RecordBatch.from_arrays([pa.array(old[0]), pa.array(old[1])], ["gid", "c1"])
-                old = old[:, -1:]
+                parted, old = int(old[0, 0]), old[:, :0]
     if old.shape[1]:
         yield from closed(old[0], old[1])
 

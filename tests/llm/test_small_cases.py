@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,6 +166,25 @@ def test_jaccard_no_task_holds_a_large_group(spark, monkeypatch):
     assert sorted(map(tuple, got)) == brute_components(rows)
 
 
+@pytest.mark.parametrize("last", [[9], [7, 8, 9], []])
+def test_jaccard_parts_of_a_group_share_its_name(monkeypatch, last):
+    monkeypatch.setattr(jaccard_join, "MAX_SEEN", 3)
+    rows = [(1, 50), (1, 51)] + [(2, c) for c in range(7)] + [(2, c) for c in last] + [(3, 60), (3, 61)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows[k : k + 3], strict=True)], ["sig", "c1"]) for k in range(0, len(rows), 3)]
+    groups = collections.defaultdict(set)
+    for b in jaccard_join._groups(iter(batches)):
+        for gid, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            groups[gid].add(c)
+    assert sorted(map(sorted, groups.values())) == sorted([[50, 51], [*range(7), *last], [60, 61]])
+
+
+def test_jaccard_row_without_id_before_its_copies(spark):
+    text = sentence(40, 8)
+    rows = [(None, text), (1, text), (2, text + " more"), (None, text)]
+    got = jaccard_join.jaccard_components(docs_of(spark, rows).coalesce(1)).collect()
+    assert sorted([(r.doc_id, r.component_id) for r in got], key=str) == sorted([(None, 1), (1, 1), (2, 1), (None, 1)], key=str)
+
+
 def test_bounds_never_lose_a_pair():
     r = np.random.default_rng(1)
     for n in (5, 40, 500, 530, 4000):
