@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import small_side
+from quantloom.llm.common import materialize, small_side
 
 CHAR_BITS = 10
 MAX_CHARS = (1 << CHAR_BITS) - 2
@@ -102,14 +102,14 @@ def context(gram: Column) -> Column:
 
 
 def score_docs(docs: DataFrame, symbols: Vocabulary, order: int, table: DataFrame, values: list[str]) -> DataFrame:
-    """docs: row (unique), text. row, n_tokens, and the sum of each value of table (gram, values) over all characters."""
+    """docs: row (any value, repeated or null too), text. For each row of docs: row, n_tokens, and the sum of each value of table (gram, values) over all characters."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(symbols)
     schema = docs.select("row").schema.add("n_tokens", "long")
     for v in values:
         schema = schema.add(v, "double")
     if table.limit(MAX_SHARED + 1).count() <= MAX_SHARED:
-        rows = table.select("gram", *[F.col(v).cast("float").alias(v) for v in values]).toArrow()
+        rows = table.select("gram", *[F.col(v).cast("double").alias(v) for v in values]).toArrow()
         by_gram = np.argsort(rows["gram"].to_numpy())
         held = spark.sparkContext.broadcast((rows["gram"].to_numpy()[by_gram], np.stack([rows[v].to_numpy()[by_gram] for v in values], axis=1)))
 
@@ -129,15 +129,17 @@ def score_docs(docs: DataFrame, symbols: Vocabulary, order: int, table: DataFram
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                key, n = np.unique(grams(text, shared.value, order), return_counts=True)
-                if len(key):
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * len(key))), pa.array(key), pa.array(n)], ["row", "gram", "times"])
-
-    pairs = docs.select("row", "text").mapInArrow(spread, docs.select("row").schema.add("gram", "long").add("times", "long"))
-    sums = pairs.join(table, "gram").groupBy("row").agg(F.sum("times").alias("n_tokens"), *[F.sum(F.col("times") * F.col(v)).alias(v) for v in values])
-    empty = docs.where("text is null or text = ''").select("row", F.lit(0).cast("long").alias("n_tokens"), *[F.lit(0.0).alias(v) for v in values])
-    return sums.unionByName(empty)
+            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                gram, n = np.unique(grams(text, shared.value, order), return_counts=True)
+                if len(gram):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), k)), pa.array(gram), pa.array(n)], ["key", "gram", "times"])
+
+    # Rows may be equal, so each gets a key; it is written with its text, as it may differ when it is computed again.
+    keyed = materialize(docs.select(F.monotonically_increasing_id().alias("key"), "row", "text"), "keyed")
+    pairs = keyed.select("key", "text").mapInArrow(spread, "key long, gram long, times long")
+    sums = pairs.join(table, "gram").groupBy("key").agg(F.sum("times").alias("n_tokens"), *[F.sum(F.col("times") * F.col(v)).alias(v) for v in values])
+    found = keyed.select("key", "row").join(sums, "key", "left")  # null and empty texts have no n-grams
+    return found.select("row", F.coalesce("n_tokens", F.lit(0).cast("long")).alias("n_tokens"), *[F.coalesce(v, F.lit(0.0)).alias(v) for v in values])
 
 
 def flagged(docs: DataFrame, doc_id: str, text: str, ids: DataFrame) -> DataFrame:

@@ -349,6 +349,25 @@ def test_scores_prefer_the_target(spark, empty):
     assert lm_scoring.cross_entropy_difference(empty, ids).count() == 0
 
 
+def test_scores_do_not_depend_on_the_number_of_ngrams(spark, docs, monkeypatch):
+    from quantloom.llm import ngrams
+
+    df = docs.unionByName(docs_of(spark, [(None, sentence(30, 12)), (None, None), (None, ""), (2, "")]))
+    ids = spark.createDataFrame([(i,) for i in (5, 6, 7)], "doc_id long")
+
+    def scored():
+        one = [tuple(r) for r in lm_scoring.cross_entropy_difference(df, ids).collect()]
+        two = [(r.doc_id, r.n_tokens, r.perplexity) for r in quality.classify(df, ids).collect()]
+        return [sorted(x, key=lambda r: tuple(-1.0 if v is None else v for v in r)) for x in (one, two)]
+
+    small = scored()
+    monkeypatch.setattr(ngrams, "MAX_SHARED", 0)
+    for a, b in zip(small, scored(), strict=True):
+        assert len(a) == len(b) == len(ROWS) + 4
+        assert [r[:2] for r in a] == [r[:2] for r in b]
+        assert all(u == v or u == pytest.approx(v, abs=1e-11) for x, y in zip(a, b, strict=True) for u, v in zip(x[2:], y[2:], strict=True))
+
+
 def test_kneser_ney_sums_to_one(spark):
     from quantloom.llm.ngrams import count_grams, vocabulary
 
