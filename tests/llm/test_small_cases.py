@@ -416,6 +416,14 @@ def test_recall_and_exact_scores(spark):
     assert got["query_id"].nunique() == 75 and found / 1500 >= 0.9
 
 
+def test_repeated_ids_leave_room_for_others(spark):
+    rows = [(0, [1.0, 0.0])] + [(1, [1.0, 0.001 * i]) for i in range(30)] + [(2 + i, [0.9 - 0.01 * i, 0.01]) for i in range(8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(df, F.col("vec_id") == 0, k=5).orderBy("rank").collect()
+    assert [(r.rank, r.vec_id) for r in got] == [(i, i) for i in range(1, 6)]
+    assert got[0].score == 1.0
+
+
 def test_few_rows_give_all_candidates(spark):
     df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(6)], "vec_id long, embedding array<double>")
     got = ann.nearest(df, F.col("vec_id") == 0, k=20).collect()
