@@ -19,8 +19,8 @@ from quantloom.llm.common import materialize, small_side
 
 CHAR_BITS = 10
 MAX_CHARS = (1 << CHAR_BITS) - 2
-#: Characters counted before a task sends its sums on.
-PORTION = 4_000_000
+#: Characters turned into numbers at once, and counted before a task sends its sums on; these take 50 bytes each.
+AT_ONCE, PORTION = 500_000, 2_000_000
 #: Scores of up to this many n-grams go to every executor; beyond it documents' n-grams are joined with them.
 MAX_SHARED = 3_000_000
 
@@ -34,11 +34,24 @@ def _code_points(text: str) -> np.ndarray:
 
 def _count_chars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen = np.zeros(1 << 16, np.int64)
+    held: list[str] = []
+    size = 0
+
+    def add() -> None:
+        whole = "".join(held)
+        for at in range(0, len(whole), AT_ONCE):
+            seen[:] += np.bincount(_code_points(whole[at : at + AT_ONCE]), minlength=1 << 16)
+        held.clear()
+
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            seen += np.bincount(_code_points(text or ""), minlength=1 << 16) if len(text or "") > 20_000 else 0
-        short = "".join(t for t in batch.column(0).to_pylist() if t and len(t) <= 20_000)
-        seen += np.bincount(_code_points(short), minlength=1 << 16)
+        for text in batch.column(0):
+            if text.is_valid:
+                held.append(text.as_py())
+                size += len(held[-1])
+            if size >= AT_ONCE:
+                add()
+                size = 0
+    add()
     at = seen.nonzero()[0]
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(seen[at])], ["char", "n"])
 

@@ -15,12 +15,14 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quantloom.llm.common import materialize, table
 from quantloom.llm.token_files import portions
@@ -74,11 +76,13 @@ def bin_plan(counts: dict[int, int], capacity: int) -> dict[int, np.ndarray]:
     return {k: np.array(v, np.int64) for k, v in plan.items()}
 
 
-def _cut(path: str, end_id: int, capacity: int):
+def _cut(path: str, end_id: int, capacity: int, id_type: pa.DataType):
+    types = [id_type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, task, seen = encoder(path), TaskContext.get().partitionId(), [0] * (capacity + 1)
-        for batch in batches:
-            for keys, texts in portions(batch):
+        try:
+            for keys, texts in chain.from_iterable(map(portions, batches)):
                 ids, lengths = tool.encode_all(texts, end_id)
                 raw, at = memoryview(ids.astype("<u4").tobytes()), 0
                 rows: list[tuple] = []
@@ -88,8 +92,9 @@ def _cut(path: str, end_id: int, capacity: int):
                         rows.append((key, k, start, size, zlib.crc32(raw[4 * (at + start) : 4 * (at + start + size)]), task, seen[size]))
                         seen[size] += 1
                     at += n
-                types = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"])
+        finally:
+            tool.forget()  # else idle workers hold their caches
 
     return run
 
@@ -115,7 +120,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
     spark = docs.sparkSession
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     schema = slim.select("doc_id", *[F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in PIECES.split(", "))]).schema
-    pieces = materialize(slim.mapInArrow(_cut(tokenizer or default_tokenizer(), end_id, capacity), schema), "pieces")
+    pieces = materialize(slim.mapInArrow(_cut(tokenizer or default_tokenizer(), end_id, capacity, to_arrow_type(schema[0].dataType)), schema), "pieces")
     # At most one row for each task and length.
     by_task = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
     counts = by_task.groupBy("length").agg(F.sum("n").alias("n"))  # at most `capacity` rows

@@ -21,6 +21,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -309,16 +310,18 @@ def _write(path: str, end_id: int):
                 x.clear()
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "seq", "start", "n_ids", "record"])
 
-        for batch in batches:
-            for own, texts in portions(batch):
+        try:
+            for own, texts in chain.from_iterable(map(portions, batches)):
                 coded, sizes = tool.encode_all(texts, end_id)
                 keys += own
                 ids.append(coded)
                 lengths.append(sizes)
                 if sum(map(len, ids)) >= LANES * BLOCK:
                     yield record()
-        if keys:
-            yield record()
+            if keys:
+                yield record()
+        finally:
+            tool.forget()  # else idle workers hold their caches
 
     return run
 
