@@ -8,14 +8,16 @@ hashes, so pairs are sought only among documents that share one. There the point
 whose boxes hold the largest counts of their points; two boxes are left out if even these counts don't
 reach the overlap that their set sizes need. Surviving pairs are verified on the whole texts.
 
-Equal sets are one class from the start. Links are needed only for components: in three rounds each document
-of a group tries a few hubs, then the last round tries all remaining pairs of different components. Groups of
-more than ``block`` members are split into blocks. Each task gets one block and the hubs, or two blocks.
+Equal sets are one class from the start. Links are needed only for components: in up to three rounds each document
+of a group tries a few hubs, then the last round tries all remaining pairs of different components, each in the first of
+the groups that both are in. Groups of more than ``block`` members are split into blocks. Each task gets one block and
+the hubs, or two blocks.
 
 A-Z are lower-cased; words end at ASCII white space. A document of fewer words than ``width``, but not none,
 has its whole sequence as its one shingle. Null and empty texts have no shingles, are linked with nothing and
 are their own component. Repeated rows each get a row; rows of one id are one document to which any of their
-texts can link. An empty table gives no rows.
+texts can link, so they have one component. Rows without id have the component of a row of the same set, or none.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ MOST, UNLIMITED = 0xFFFF, 1 << 40
 LEAF = 32
 #: Members that all others of a group try in each of the first rounds, whose salts these are.
 HUBS, SALTS = 8, (1, 2, 3)
+#: Rounds with hubs end when one links less than one in so many members.
+FEW = 100
 #: In place of its block, for a hub that is sent to each block of its group.
 HUB = -1
 #: Classes and groups that a task remembers so as not to send them again.
@@ -61,7 +65,7 @@ def shingles(text: bytes | None, width: int) -> np.ndarray:
 
 
 def size_class(n: np.ndarray) -> np.ndarray:
-    """Class k has 32 << k groups, for sets of up to 512 << k shingles. Sets two classes apart are never similar."""
+    """Class k has 32 << k groups, for sets of up to 512 << k shingles. Sets two classes apart never have a similarity above a half."""
     return np.clip(np.ceil(np.log2(np.maximum(n, 1) / (16 * DIMS))), 0, MAX_CLASS).astype(np.int64)
 
 
@@ -267,10 +271,18 @@ def _hub_pairs(p: Points, own: np.ndarray, salt: int, percent: int) -> Iterator[
 
 
 def _candidates(percent: int, salt: int | None):
-    """Rows sorted by (gid, i, j): pairs of each (gid, i, j), with a few hubs of the group if salt is given, else all."""
+    """Rows sorted by (gid, i, j): pairs of each (gid, i, j), with a few hubs of the group if salt is given, else all.
 
-    def pairs(cols: list[np.ndarray], raw: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        _, i, j, own, ids, labels, sizes = cols
+    A pair that meets in several groups comes from the one of smallest gid only. For that each row has its groups.
+    """
+
+    def first_here(gid: np.ndarray, a: np.ndarray, b: np.ndarray, groups: list[np.ndarray | None]) -> np.ndarray:
+        """Which pairs of rows of group gid have no smaller group in common."""
+        below = {k: frozenset(groups[k][groups[k] < g].tolist()) for k, g in {*zip(a.tolist(), gid.tolist(), strict=True), *zip(b.tolist(), gid.tolist(), strict=True)} if groups[k] is not None}
+        return np.fromiter((x not in below or y not in below or below[x].isdisjoint(below[y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)), bool, len(a))
+
+    def pairs(cols: list[np.ndarray], raw: list[bytes], groups: list[np.ndarray | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        gid, i, j, own, ids, labels, sizes = cols
         if (labels == labels[0]).all():
             return
         p = Points(ids, labels, sizes, raw)
@@ -281,12 +293,13 @@ def _candidates(percent: int, salt: int | None):
         else:
             found = tree_pairs(p, np.flatnonzero(own == i[0]), np.flatnonzero(own == j[0]), percent) if len(np.unique(own)) > 1 else iter(())
         for a, b in found:
-            yield p.ids[a], p.ids[b]
+            once = first_here(gid[a], a, b, groups)
+            yield p.ids[a[once]], p.ids[b[once]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        old: tuple[np.ndarray, list[bytes]] = (np.zeros((7, 0), np.int64), [])
+        old: tuple[np.ndarray, list[bytes], list] = (np.zeros((7, 0), np.int64), [], [])
 
-        def closed(cols: np.ndarray, raw: list[bytes]) -> Iterator[pa.RecordBatch]:
+        def closed(cols: np.ndarray, raw: list[bytes], groups: list[np.ndarray | None]) -> Iterator[pa.RecordBatch]:
             new = np.concatenate([[True], (cols[:3, 1:] != cols[:3, :-1]).any(0)])
             first = np.flatnonzero(new)
             ends = np.append(first[1:], len(raw))
@@ -294,11 +307,12 @@ def _candidates(percent: int, salt: int | None):
             twos = first[ends - first == 2]
             if twos.size:  # most groups are pairs; these go through the bounds together
                 p = Points(cols[4], cols[5], cols[6], raw)
-                ok = p.passing(twos, twos + 1, percent)
-                found.append((cols[4][twos[ok]], cols[4][twos[ok] + 1]))
+                twos = twos[p.passing(twos, twos + 1, percent)]
+                twos = twos[first_here(cols[0][twos], twos, twos + 1, groups)]
+                found.append((cols[4][twos], cols[4][twos + 1]))
             for a, b in zip(first.tolist(), ends.tolist(), strict=True):
                 if b - a > 2:
-                    found += pairs(list(cols[:, a:b]), raw[a:b])
+                    found += pairs(list(cols[:, a:b]), raw[a:b], groups[a:b])
             if found:
                 a, b = np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
@@ -306,12 +320,15 @@ def _candidates(percent: int, salt: int | None):
         for batch in batches:
             cols = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(7)])
             cols, raw = np.concatenate([old[0], cols], axis=1), old[1] + batch.column(7).to_pylist()
+            lists, valid = batch.column(8), batch.column(8).is_valid().to_pylist()
+            flat, at = lists.values.to_numpy(), lists.offsets.to_numpy()
+            groups = old[2] + [flat[x:y] if v else None for x, y, v in zip(at[:-1].tolist(), at[1:].tolist(), valid, strict=True)]
             if raw:
                 same = (cols[:3] == cols[:3, -1:]).all(0)
                 cut = int(np.argmax(same))
                 if cut:
-                    yield from closed(cols[:, :cut], raw[:cut])
-                old = (cols[:, cut:], raw[cut:])
+                    yield from closed(cols[:, :cut], raw[:cut], groups[:cut])
+                old = (cols[:, cut:], raw[cut:], groups[cut:])
         if old[1]:
             yield from closed(*old)
 
@@ -321,11 +338,11 @@ def _candidates(percent: int, salt: int | None):
 def _verify(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held: dict[int, np.ndarray] = {}  # pairs of one hub often follow one another
+            held: dict[tuple[int, bytes], np.ndarray] = {}  # pairs of one hub often follow one another
             keep = []
             for x, y, s, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw_texts(batch.column(2)), raw_texts(batch.column(3)), strict=True):
-                sets = [held[k] if k in held else shingles(text, width) for k, text in ((x, s), (y, t))]
-                held = {x: sets[0], y: sets[1]}
+                sets = [held[k] if k in held else shingles(k[1], width) for k in ((x, s), (y, t))]
+                held = {(x, s): sets[0], (y, t): sets[1]}
                 s, t = sets
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 keep.append(100 * both >= percent * (len(s) + len(t) - both))
@@ -354,21 +371,30 @@ def _with_hubs(rows: DataFrame, salt: int) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, block: int = 4096) -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of each row of docs."""
+    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of each row of docs. percent must be above 50."""
+    if not 50 < percent <= 100:
+        raise ValueError("the points of sets compare only for more than 50 percent")
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     schema = "doc_id long, n long, c1 long, c2 long, point binary, prefix array<long>"
     described = materialize(slim.mapInArrow(_describe(width, percent), schema), "shingles")
     classes = materialize(described.where("n > 0 and doc_id is not null").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.max("point").alias("point")), "classes")
+    named = materialize(described.select("doc_id", "n", "c1", "c2").join(classes.select("c1", "c2", "rep"), ["c1", "c2"], "left").select("doc_id", "n", "rep"), "named")
+    # Ids of several rows; first is the smallest of the classes of their sets.
+    shared = named.where("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("first"), F.count("*").alias("rows")).where("rows > 1 and first is not null").select("doc_id", "first")
+    shared = materialize(shared, "shared")
 
     sigs = described.where("prefix is not null").select(F.explode("prefix").alias("sig"), "c1")
     groups = sigs.repartition("sig").sortWithinPartitions("sig", "c1").mapInArrow(_groups, "gid long, c1 long").distinct()
     members = materialize(groups.join(classes.select("c1", "rep"), "c1").select("gid", "rep"), "groups")
-    large = members.groupBy("gid").agg(F.count("*").alias("size")).where(F.col("size") > block).select("gid", F.ceil(F.col("size") / block).alias("blocks"))
+    sizes = members.groupBy("gid").agg(F.count("*").alias("size"))
     points = classes.select("rep", "n", "point")
 
-    links = tried = labels = None
-    sizes = members.groupBy("gid").agg(F.count("*").alias("size"))
-    for salt in (*SALTS, None):
+    links = named.join(small_side(shared, 2_000_000), "doc_id").where("rep != first").select(F.col("rep").alias("a"), F.col("first").alias("b"))
+    labels = tried = None
+    n_members = members.select("rep").distinct().count()
+    rounds = [*SALTS, None]
+    while rounds:
+        salt = rounds.pop(0)
         if labels is None:
             rows = members.withColumn("label", F.col("rep"))
         else:
@@ -377,16 +403,20 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
             open_ = rows.groupBy("gid").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("gid")
             rows = rows.join(open_, "gid", "left_semi")
         if salt is None:
+            rows = materialize(rows, "open")
+            of = rows.groupBy("rep").agg(F.array_sort(F.collect_set("gid")).alias("groups"))  # at most a fifth of the set and one
+            large = sizes.where(F.col("size") > block).select("gid", F.ceil(F.col("size") / block).alias("blocks"))
             rows = rows.join(large, "gid", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
             rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
             rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+            rows = rows.join(points, "rep").join(of, "rep")
         else:
             # For a hub each document tries its largest group only: groups of near copies overlap in most members.
             most = F.max_by("gid", F.struct("size", "gid"))
             rows = rows.join(sizes, "gid").groupBy("rep").agg(most.alias("gid"), F.first("label").alias("label"), F.max("size").alias("size"))
             rows = materialize(rows.select("rep", "gid", "label", F.ceil(F.col("size") / block).alias("blocks")), "largest")
-            rows = _with_hubs(rows, salt)
-        rows = rows.join(points, "rep").select("gid", "i", "j", "own", "rep", "label", "n", "point")
+            rows = _with_hubs(rows, salt).join(points, "rep").withColumn("groups", F.lit(None).cast("array<long>"))
+        rows = rows.select("gid", "i", "j", "own", "rep", "label", "n", "point", "groups")
         found = rows.repartition("gid", "i", "j").sortWithinPartitions("gid", "i", "j").mapInArrow(_candidates(percent, salt), "a long, b long").distinct()
         pairs = materialize(found if tried is None else found.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
@@ -395,10 +425,12 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         second = slim.join(small_side(pairs.select(F.col("b").alias("doc_id")).distinct(), 2_000_000), "doc_id", "left_semi")
         wide = first.join(second.select(F.col("doc_id").alias("b"), F.col("text").alias("t")).hint("shuffle_hash"), "b")
         true = materialize(wide.select("a", "b", "s", "t").mapInArrow(_verify(width, percent), "a long, b long"), "links")
-        links = true if links is None else links.unionByName(true)
+        links = links.unionByName(true)
         labels = components(links)
-    named = described.select("doc_id", "n", "c1", "c2").join(classes.select("c1", "c2", "rep"), ["c1", "c2"], "left").join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+        if salt is not None and true.count() * FEW < n_members:
+            rounds = [None] if None in rounds else []  # more hubs would link few
+    component = named.join(shared, "doc_id", "left").withColumn("rep", F.coalesce("rep", "first")).join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
+    return component.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
