@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
@@ -10,15 +11,20 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no folder, as in tests on one machine.
+#: Used only where the session names no folder and runs on one machine, as in tests.
 OWN_FOLDER = "file:///tmp/checkpoints"
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the driver and all executors share (spark.checkpoint.dir)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or OWN_FOLDER
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
+    """A new path in the folder that the driver and all executors share (spark.checkpoint.dir, or setCheckpointDir)."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if base is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all machines share")
+        base = OWN_FOLDER
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -39,6 +45,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, upper and lower case alike."""
+    known = {c.lower() for c in df.columns}
+    while name in known:
+        name = f"_{name}"
+    return name
+
+
 def raw_texts(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column, without decoding."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

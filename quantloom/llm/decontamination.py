@@ -1,151 +1,235 @@
 """Benchmark decontamination: Wu-Manber multi-pattern search over words.
 
-Patterns are the windows of the benchmark items. A matcher of one pattern length m slides over a
-document's words and reads the block of two words that ends the window. The shift table says how far the
-window can move before that block could fit a pattern, m - 1 words if the block is in none; where the shift
-is zero, the bucket of patterns with this suffix block is compared word by word.
+Patterns are the windows of the benchmark items. For each pattern length m a window slides over a document's
+words, and the block of two words that ends it is looked up in the shift table of that length: it says how far
+the window can move before that block could fit a pattern, m - 1 words if the block is in none. The tables are
+hashed into ``CELLS`` cells, each with the least shift of its blocks, so their size is fixed. Where the shift is zero, the bucket of patterns
+with this suffix block is compared word by word.
+
+Patterns of up to ``MAX_SHARED`` bytes go to every executor with their buckets. More of them stay a table: the
+windows that the shift tables let through are then joined with it, again by all their words. Both ways give the same rows.
 
 Words are ASCII lower-cased runs of letters, digits and non-ASCII characters. An item of fewer than
 ``window`` words, but not none, is one pattern. Null or empty texts have no words, no hits and are clean.
-Items without id take no part; items of the same id count once. The benchmark is taken in blocks of at most
-``block_items`` items, each held by the tasks at once, so that a benchmark of any size is searched whole.
-Repeated document rows each get a row.
+Items without id take no part; items of the same id count once. Repeated document rows each get a row. An empty
+benchmark leaves all documents clean; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import raw_texts, table
+from quantloom.llm.common import free_name, materialize, raw_texts, table
 
 #: ASCII bytes that end words become blanks, A-Z become a-z.
 FOLDED = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+#: Cells of a shift table, of a byte each.
+CELLS = 1 << 18
+#: Bytes of patterns that tasks may hold; as Python objects they take about four times as much.
+MAX_SHARED = 16 << 20
 
 
 def words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(FOLDED).split()
 
 
-class WuManber:
-    """Finds all occurrences of patterns of one length in a list of words."""
-
-    def __init__(self, patterns: dict[tuple[bytes, ...], list[str]]):
-        self.length = m = len(next(iter(patterns)))
-        self.most = max(1, m - 1)
-        self.shift: dict[tuple, int] = {}
-        self.buckets: dict[tuple, list[tuple[list[bytes], list[str]]]] = {}
-        for p, ids in patterns.items():
-            for end in range(min(2, m), m + 1):
-                block = p[max(0, end - 2) : end]
-                self.shift[block] = min(self.shift.get(block, self.most), m - end)
-            self.buckets.setdefault(p[-2:], []).append((list(p), ids))
-
-    def find(self, text: list[bytes]) -> Iterator[tuple[int, list[str]]]:
-        """Start of each occurrence, and the ids of its pattern."""
-        m, most, shift, at, n = self.length, self.most, self.shift.get, self.length - 1, len(text)
-        if m == 1:
-            for i, w in enumerate(text):
-                for _, ids in self.buckets.get((w,), ()):
-                    yield i, ids
-            return
-        while at < n:
-            block = (text[at - 1], text[at])
-            step = shift(block, most)
-            if step == 0:
-                window = text[at - m + 1 : at + 1]
-                for pattern, ids in self.buckets.get(block, ()):
-                    if pattern == window:
-                        yield at - m + 1, ids
-                step = 1
-            at += step
-
-
-def matchers(items: list[tuple[str, bytes | None]], window: int) -> list[WuManber]:
-    """One for each length: all full windows, and items that are shorter."""
-    by_length: dict[int, dict[tuple[bytes, ...], list[str]]] = {}
+def cell(block: list[bytes]) -> int:
+    return xxhash.xxh3_64_intdigest(b" ".join(block)) & (CELLS - 1)
+
+
+def windows(items: list[tuple[str, bytes | None]], window: int) -> Iterator[tuple[str, list[bytes]]]:
+    """All windows of each item; the whole item if it is shorter."""
     for item, text in items:
         own = words(text)
         size = min(window, len(own))
-        for p in {tuple(own[i : i + size]) for i in range(len(own) - size + 1)} if size else ():
-            by_length.setdefault(size, {}).setdefault(p, []).append(item)
-    return [WuManber(p) for p in by_length.values()]
+        for i in range(len(own) - size + 1 if size else 0):
+            yield item, own[i : i + size]
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str, block_items: int) -> Iterator[list[tuple[str, bytes]]]:
-    rows = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(text).cast("string").cast("binary").alias("text")).where("item is not null")
-    block: list[tuple[str, bytes]] = []
-    for r in rows.toLocalIterator():
-        block.append((r.item, bytes(r.text or b"")))
-        if len(block) == block_items:
-            yield block
-            block = []
-    if block:
-        yield block
+def shifts(pattern: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Cell and shift of each block of a pattern; a pattern of one word is its own block."""
+    m = len(pattern)
+    for end in range(min(2, m), m + 1):
+        yield cell(pattern[max(0, end - 2) : end]), m - end
 
 
-def contamination(
-    docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    window: int = 13, least_share: float = 0.05, block_items: int = 20_000,
-) -> DataFrame:
-    """For each row of docs: doc_id, n_words, n_hit, items (sorted ids), spans (start and end word of hit runs), contaminated."""
-    spark = docs.sparkSession
-    found = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.array().cast("array<int>").alias("starts"), F.array().cast("array<int>").alias("ends"), F.array().cast("array<string>").alias("items"))
-    for block in _blocks(benchmark, item_id, item_text, block_items):
-        found = found.mapInArrow(_search(spark.sparkContext.broadcast(block), window), found.schema)
-    schema = found.select("doc_id", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), "items", F.array("starts").alias("spans"), F.lit(True).alias("contaminated")).schema
-    return found.mapInArrow(_summed(least_share), schema)
+class WuManber:
+    """Finds where patterns of given lengths may be, and with buckets of patterns where they are."""
+
+    def __init__(self, tables: dict[int, np.ndarray], patterns: list[tuple[bytes, list[str]]] | None):
+        self.tables = {m: t.tobytes() for m, t in tables.items()}
+        self.buckets: dict[tuple[int, int], list[tuple[list[bytes], list[str]]]] | None = None if patterns is None else {}
+        for text, ids in patterns or ():
+            p = text.split(b" ")
+            self.buckets.setdefault((len(p), cell(p[-2:])), []).append((p, ids))
+
+    def find(self, text: list[bytes]) -> Iterator[tuple[int, int, list[str]]]:
+        """Start, length and items of each occurrence; without buckets, of each place that the shifts let through, with no items."""
+        n = len(text)
+        for m, shift in self.tables.items():
+            at = m - 1
+            while at < n:
+                block = cell(text[max(at - 1, at - m + 1) : at + 1])
+                step = shift[block]
+                if step == 0:
+                    step, start = 1, at - m + 1
+                    if self.buckets is None:
+                        yield start, m, []
+                    elif bucket := self.buckets.get((m, block)):
+                        own = text[start : at + 1]
+                        for pattern, ids in bucket:
+                            if pattern == own:
+                                yield start, m, ids
+                at += step
+
+
+def _items(batch: pa.RecordBatch) -> list[tuple[str, bytes | None]]:
+    return list(zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), strict=True))
+
+
+def _patterns(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item in _items(batch):
+                found = [(i, len(p), b" ".join(p)) for i, p in windows([item], window)]
+                if found:
+                    ids, lengths, texts = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(lengths, pa.int32()), pa.array(texts, pa.binary())], ["item", "m", "pattern"])
+
+    return run
+
+
+def _shifts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        least: dict[tuple[int, int], int] = {}
+        for p in (p.split(b" ") for p in batch.column(0).to_pylist()):
+            for c, step in shifts(p):
+                least[len(p), c] = min(step, least.get((len(p), c), step))
+        if least:
+            m, c = zip(*least, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(m, pa.int32()), pa.array(c, pa.int32()), pa.array(least.values(), pa.int32())], ["m", "cell", "shift"])
+
 
+def _shift_tables(patterns: DataFrame) -> dict[int, np.ndarray]:
+    """For each length the shift of each cell; at most ``window`` lengths of CELLS rows come to the driver."""
+    rows = patterns.select("pattern").mapInArrow(_shifts, "m int, cell int, shift int").groupBy("m", "cell").agg(F.min("shift").alias("shift")).toArrow()
+    m, at, shift = (rows[c].to_numpy() for c in ("m", "cell", "shift"))
+    tables = {}
+    for k in np.unique(m).tolist():
+        tables[k] = np.full(CELLS, max(1, k - 1), np.uint8)
+        tables[k][at[m == k]] = np.minimum(shift[m == k], tables[k][at[m == k]])
+    return tables
+
+
+_last: list[tuple] = []
+
+
+def _tool(shared) -> WuManber:
+    """The last one is kept for the worker's next tasks, which get the same broadcast object."""
+    if not _last or _last[0][0] is not shared:
+        _last[:] = [(shared, WuManber(*shared.value))]
+    return _last[0][1]
+
+
+def _runs(found: list[tuple[int, int]]) -> list[list[int]]:
+    """Start and end of each run of words that (start, length) cover."""
+    runs: list[list[int]] = []
+    for a, m in sorted(found):
+        if runs and a <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], a + m)
+        else:
+            runs.append([a, a + m])
+    return runs
+
+
+RESULT = {"n_words": "long", "n_hit": "long", "items": "array<string>", "spans": "array<array<int>>"}
+
+
+def _rows(id_: pa.Array, n_words: list[int], runs: list[list[list[int]]], items: list[list[str]]) -> pa.RecordBatch:
+    n_hit = [sum(b - a for a, b in r) for r in runs]
+    return pa.RecordBatch.from_arrays(
+        [id_, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(runs, pa.list_(pa.list_(pa.int32())))],
+        ["doc_id", "n_words", "n_hit", "items", "spans"],
+    )
+
+
+def _search(shared):
+    """Rows (doc_id, text), the patterns are in the buckets."""
 
-def _search(block, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tools = matchers(block.value, window)
+        tool = _tool(shared)
         for batch in batches:
-            starts, ends, items = (batch.column(i).to_pylist() for i in (2, 3, 4))
-            for i, text in enumerate(raw_texts(batch.column(1))):
+            n_words, runs, items = [], [], []
+            for text in raw_texts(batch.column(1)):
                 own = words(text)
-                for tool in tools:
-                    for at, ids in tool.find(own):
-                        starts[i].append(at)
-                        ends[i].append(at + tool.length)
-                        items[i] += ids
-                items[i] = sorted(set(items[i]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], batch.schema.names)
+                found = list(tool.find(own))
+                n_words.append(len(own))
+                runs.append(_runs([(a, m) for a, m, _ in found]))
+                items.append(sorted({i for _, _, ids in found for i in ids}))
+            yield _rows(batch.column(0), n_words, runs, items)
 
     return run
 
 
-def _summed(least_share: float):
+def _places(shared):
+    """Rows (key, text): the windows that the shift tables let through."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = _tool(shared)
         for batch in batches:
-            n_words, n_hit, spans = [], [], []
-            for text, starts, ends in zip(raw_texts(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                runs: list[list[int]] = []
-                for a, b in sorted(zip(starts, ends, strict=True)):
-                    if runs and a <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], b)
-                    else:
-                        runs.append([a, b])
-                n_words.append(len(words(text)))
-                n_hit.append(sum(b - a for a, b in runs))
-                spans.append(runs)
-            bad = [h > 0 and h >= least_share * n - 1e-9 for h, n in zip(n_hit, n_words, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), batch.column(4), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(bad, pa.bool_())],
-                ["doc_id", "n_words", "n_hit", "items", "spans", "contaminated"],
-            )
+            for key, text in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), strict=True):
+                own = words(text)
+                found = [(a, m, b" ".join(own[a : a + m])) for a, m, _ in tool.find(own)]
+                if found:
+                    starts, lengths, texts = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(found), pa.int64()), pa.array(starts, pa.int32()), pa.array(lengths, pa.int32()), pa.array(texts, pa.binary())], ["key", "start", "m", "pattern"])
 
     return run
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text, hits, items)."""
+    for batch in batches:
+        runs = [_runs([(h["start"], h["m"]) for h in hits or ()]) for hits in batch.column(2).to_pylist()]
+        items = [sorted(set(i or ())) for i in batch.column(3).to_pylist()]
+        yield _rows(batch.column(0), [len(words(t)) for t in raw_texts(batch.column(1))], runs, items)
+
+
+def contamination(
+    docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, least_share: float = 0.05,
+) -> DataFrame:
+    """For each row of docs: doc_id, n_words, n_hit, items (sorted ids), spans (start and end word of hit runs), contaminated."""
+    spark = docs.sparkSession
+    rows = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")).where("item is not null")
+    found = rows.mapInArrow(_patterns(window), "item string, m int, pattern binary")
+    patterns = materialize(found.groupBy("m", "pattern").agg(F.array_sort(F.collect_set("item")).alias("items")), "patterns")
+    size = patterns.agg(F.sum(F.length("pattern") + 40 + F.aggregate("items", F.lit(0), lambda n, i: n + F.length(i) + 8)).alias("n")).first().n or 0
+    tables = _shift_tables(patterns)
+    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    schema = slim.select("doc_id", *[F.lit(None).cast(t).alias(c) for c, t in RESULT.items()]).schema
+    if size <= MAX_SHARED:
+        shared = spark.sparkContext.broadcast((tables, [(bytes(r.pattern), list(r["items"])) for r in patterns.select("pattern", "items").collect()]))
+        judged = slim.mapInArrow(_search(shared), schema)
+    else:
+        keyed = materialize(slim.withColumn("key", F.monotonically_increasing_id()), "keyed")  # ids may be repeated or missing
+        places = keyed.select("key", "text").mapInArrow(_places(spark.sparkContext.broadcast((tables, None))), "key long, start int, m int, pattern binary")
+        hits = places.join(patterns, ["m", "pattern"]).groupBy("key").agg(F.collect_set(F.struct("start", "m")).alias("hits"), F.flatten(F.collect_set("items")).alias("items"))
+        judged = keyed.join(hits, "key", "left").select("doc_id", "text", "hits", "items").mapInArrow(_gather, schema)
+    bad = (F.col("n_hit") > 0) & (F.col("n_hit") >= least_share * F.col("n_words") - 1e-9)
+    return judged.withColumn("contaminated", bad)
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the contaminated ones (documents of one id share the decision)."""
-    bad = contamination(docs, benchmark, doc_id).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col(doc_id).eqNullSafe(F.col("_bad")), "left_anti")
+    name = free_name(docs, "bad")
+    bad = contamination(docs, benchmark, doc_id, text).where("contaminated").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, F.col(doc_id).eqNullSafe(F.col(name)), "left_anti")
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
