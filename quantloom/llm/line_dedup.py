@@ -4,8 +4,10 @@ The index in the shared folder has two parts. The reference-count table holds, f
 every line key, in how many documents it occurs; inserting documents adds to it, deleting them subtracts,
 and keys that reach zero go. For each shard of the hash space a cuckoo filter holds 16-bit fingerprints of
 the keys that are in at least ``min_docs`` documents; keys that cross this bound enter the filter or, as
-cuckoo filters allow, are deleted from it. Dedup probes the filters beside the text; only the few lines
-that may be frequent are shuffled, and an exact join with the table confirms them.
+cuckoo filters allow, are deleted from it. The number of shards doubles as such keys become more, so that a shard
+holds at most ``PER_SHARD`` or so. Dedup probes the filters for all lines, and the exact table confirms those that pass.
+Up to ``MAX_SHARED`` frequent keys, filters and keys go to the texts, which are not shuffled. Beyond that lines go to
+the shards of their hashes and then to the table, and only those that it confirms come back.
 
 A key is the line with ASCII white space stripped at both ends and A-Z lower-cased. Each row is a document.
 Null or empty text is one empty line. Keys shorter than ``min_chars`` code points are never dropped. Rows
@@ -20,16 +22,19 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from quantloom.llm.common import bigints, raw_texts, shared_path, table
+from quantloom.llm.common import bigints, free_name, materialize, raw_texts, shared_path, table
 
 STRIPPED = b"\t\n\x0b\x0c\r "
 SLOTS = 4
 MAX_KICKS = 500
-#: Filters up to this size go to every executor; beyond it all lines are joined with the exact table.
-MAX_FILTER_BYTES = 64 << 20
+#: Frequent keys that go to every executor, of about 20 bytes each with their filter.
+MAX_SHARED = 2_000_000
+#: Frequent keys of a shard, and parts into which the lines of one shard are dealt.
+PER_SHARD, SALTS = 100_000, 16
 
 
 def line_keys(text: bytes | None) -> list[bytes]:
@@ -153,7 +158,7 @@ class LineIndex:
 
     def __init__(self, spark: SparkSession, path: str | None = None, shards: int = 64, min_docs: int = 10, min_chars: int = 1):
         self.spark, self.path = spark, path or shared_path(spark, "line-index")
-        self.shards, self.min_docs, self.min_chars, self.version = shards, min_docs, min_chars, 0
+        self.shards, self.min_docs, self.min_chars, self.version, self.n_frequent = shards, min_docs, min_chars, 0, 0
 
     def insert(self, docs: DataFrame, text: str = "text") -> LineIndex:
         return self._change(docs.select(F.col(text).cast("string").alias("text")), 1)
@@ -181,40 +186,120 @@ class LineIndex:
         new.select("h1", "h2", "n", "crossed").write.parquet(f"{self.path}/counts-{self.version + 1}")
         old = self.filters() if self.version else None
         self.version += 1
-        # pmod on the unsigned value: the shard must be the one that FilterSet.may_hold computes.
-        shard = F.expr(f"cast(pmod(pmod(h1, {self.shards}) + if(h1 < 0, {pow(2, 64, self.shards)}, 0), {self.shards}) as int)")
-        rows = self.counts().where(f"n >= {self.min_docs} or crossed < 0").select(shard.alias("shard"), "h1", "h2", "n", "crossed", F.lit(0).cast("long").alias("buckets"), F.lit(None).cast("binary").alias("cells"))
+        self.n_frequent = self.frequent().count()
+        if self.n_frequent > self.shards * PER_SHARD:  # all filters are made anew
+            self.shards, old = 1 << int(self.n_frequent / PER_SHARD).bit_length(), None
+        rows = self.counts().where(f"n >= {self.min_docs} or crossed < 0").select(self._shard(), "h1", "h2", "n", "crossed", F.lit(0).cast("long").alias("buckets"), F.lit(None).cast("binary").alias("cells"))
         if old is not None:
             rows = rows.unionByName(old.select("shard", *[F.lit(0).cast(t).alias(c) for c, t in (("h1", "long"), ("h2", "long"), ("n", "long"), ("crossed", "int"))], "buckets", "cells"))  # not null: pandas would make floats of hashes
         rows.groupBy("shard").applyInPandas(_update_shard(self.min_docs), "shard int, buckets long, cells binary").write.parquet(f"{self.path}/filters-{self.version}")
         return self
 
-    def dedup(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    def frequent(self) -> DataFrame:
+        return self.counts().where(f"n >= {self.min_docs}").select("h1", "h2")
+
+    def _shard(self) -> Column:
+        """h1 as unsigned, modulo the shards, as FilterSet.may_hold computes it."""
+        n = self.shards
+        return F.expr(f"cast(pmod(pmod(h1, {n}) + if(h1 < 0, {pow(2, 64, n)}, 0), {n}) as int)").alias("shard")
+
+    def dedup(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """docs with text less its frequent lines, and n_lines, n_dropped (replacing columns of these names)."""
-        slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-        hits = self._hits(slim).groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("keys"))
-        rest = [c for c in docs.columns if c not in (text, "n_lines", "n_dropped")]
-        wide = docs.select(*rest, F.col(text).cast("string").alias("_text")).join(
-            hits.select(F.col("doc_id").alias("_id"), F.col("keys.h1").alias("_h1"), F.col("keys.h2").alias("_h2")).hint("shuffle_hash"),
-            F.col(doc_id).eqNullSafe(F.col("_id")), "left",
-        ).drop("_id")
-        schema = docs.select(*rest).schema.add("_text", "string").add("n_lines", "long").add("n_dropped", "long")
-        return wide.mapInArrow(_drop_lines, schema).select(*[F.col("_text").alias(text) if c == text else F.col(c) for c in docs.columns if c in (*rest, text)], "n_lines", "n_dropped")
-
-    def _hits(self, slim: DataFrame) -> DataFrame:
-        """doc_id, h1, h2 of the frequent keys of each document."""
-        frequent = self.counts().where(f"n >= {self.min_docs}").select("h1", "h2")
-        size = self.filters().agg(F.sum(F.length("cells"))).first()[0] or 0
-        shared = None
-        if size <= MAX_FILTER_BYTES:
-            shared = self.spark.sparkContext.broadcast(FilterSet(self.shards, {r.shard: (r.buckets, bytes(r.cells)) for r in self.filters().collect()}))
-        schema = slim.select("doc_id").schema.add("h1", "long").add("h2", "long")
-        maybe = slim.mapInArrow(_probe(shared, self.min_chars), schema)
-        # A document has a key once here, so a key's share of these rows is at most its share of documents; AQE splits it.
-        return maybe.join(frequent, ["h1", "h2"]).select("doc_id", "h1", "h2")
-
-
-def _probe(shared, min_chars: int):
+        rest = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+        slim = docs.select(*[F.col(c).cast("string").alias(c) if c == text else F.col(c) for c in rest])
+        schema = StructType([*slim.schema.fields, StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
+        place = rest.index(text)
+        if self.n_frequent <= MAX_SHARED:
+            filters = FilterSet(self.shards, {r.shard: (r.buckets, bytes(r.cells)) for r in self.filters().collect()})
+            return slim.mapInArrow(_drop_known(self.spark.sparkContext.broadcast((filters, _sorted(self.frequent().toArrow()))), place), schema)
+        key, hits = free_name(docs, "key"), free_name(docs, "hits")
+        keyed = materialize(slim.withColumn(key, F.monotonically_increasing_id()), "keyed")  # ids may be repeated or missing
+        found = self._confirmed(keyed.select(key, text)).groupBy("key").agg(F.collect_list(F.struct("h1", "h2")).alias(hits)).withColumnRenamed("key", key)
+        return keyed.join(found, key, "left").select(*rest, hits).mapInArrow(_drop_found(place), schema)
+
+    def _confirmed(self, keyed: DataFrame) -> DataFrame:
+        """keyed: key, text. key, h1, h2 of the frequent keys of each row; no task holds more than one filter."""
+        lines = keyed.mapInArrow(_spread(self.min_chars), "key long, h1 long, h2 long")
+        none = F.lit(None).cast("binary").alias("cells")
+        lines = lines.select(self._shard(), F.pmod("key", F.lit(SALTS)).cast("int").alias("salt"), F.lit(1).alias("kind"), "key", "h1", "h2", F.lit(0).cast("long").alias("buckets"), none)
+        zero = [F.lit(0).cast("long").alias(c) for c in ("key", "h1", "h2")]
+        filters = self.filters().select("shard", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(0).alias("kind"), *zero, "buckets", "cells")
+        both = filters.unionByName(lines).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
+        # A row has a key once here, so a key's share of these rows is at most its share of documents; AQE splits it.
+        return both.mapInArrow(_probe_shards, "key long, h1 long, h2 long").join(self.frequent(), ["h1", "h2"]).select("key", "h1", "h2")
+
+
+def _sorted(frequent: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    h1, h2 = (frequent[c].to_numpy().view(np.uint64) for c in ("h1", "h2"))
+    order = np.lexsort((h2, h1))
+    return h1[order], h2[order]
+
+
+def _known(frequent: tuple[np.ndarray, np.ndarray], both: np.ndarray) -> np.ndarray:
+    """Which rows of both (two halves) are in the sorted halves."""
+    h1, h2 = frequent
+    out = np.zeros(len(both), bool)
+    at, end = np.searchsorted(h1, both[:, 0]), np.searchsorted(h1, both[:, 0], "right")
+    while (left := np.flatnonzero((at < end) & ~out)).size:  # more than one step only if first halves are equal
+        out[left] = h2[at[left]] == both[left, 1]
+        at[left] += 1
+    return out
+
+
+def _without(text: bytes | None, drop: list[bool] | None) -> tuple[bytes, int, int]:
+    lines = (text or b"").split(b"\n")
+    kept = lines if drop is None else [x for x, gone in zip(lines, drop, strict=True) if not gone]
+    return (text or b"") if len(kept) == len(lines) else b"\n".join(kept), len(lines), len(lines) - len(kept)
+
+
+def _with_texts(batch: pa.RecordBatch, place: int, width: int, done: list[tuple[bytes, int, int]]) -> pa.RecordBatch:
+    texts, n_lines, n_dropped = zip(*done, strict=True)
+    columns = [batch.column(i) for i in range(width)]
+    columns[place] = pa.array(texts, pa.binary()).cast(pa.string())
+    return pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*batch.schema.names[:width], "n_lines", "n_dropped"])
+
+
+def _drop_known(shared, place: int):
+    """Filters and frequent keys are at hand."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filters, frequent = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            texts = raw_texts(batch.column(place))
+            keys = [line_keys(t) for t in texts]
+            both = _hashed([k for own in keys for k in own])
+            drop = filters.may_hold(both[:, 0], both[:, 1])
+            maybe = np.flatnonzero(drop)
+            drop[maybe] = _known(frequent, both[maybe])
+            ends = np.cumsum([len(own) for own in keys])
+            some = np.add.reduceat(drop, ends - [len(own) for own in keys]) > 0  # each text has a line
+            done = [_without(t, drop[e - len(own) : e].tolist() if any_ else None) for t, own, e, any_ in zip(texts, keys, ends.tolist(), some.tolist(), strict=True)]
+            yield _with_texts(batch, place, batch.num_columns, done)
+
+    return run
+
+
+def _drop_found(place: int):
+    """The last column has the frequent keys of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            done = []
+            for text, hits in zip(raw_texts(batch.column(place)), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                bad = {(h["h1"], h["h2"]) for h in hits or ()}
+                done.append(_without(text, [tuple(h) in bad for h in _hashed(line_keys(text)).view(np.int64).tolist()] if bad else None))
+            yield _with_texts(batch, place, batch.num_columns - 1, done)
+
+    return run
+
+
+def _spread(min_chars: int):
+    """Rows (key, text): each key of each row once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, rows = [], []
@@ -222,34 +307,27 @@ def _probe(shared, min_chars: int):
                 own = {k for k in line_keys(text) if _long_enough(k, min_chars)}
                 keys += own
                 rows += [i] * len(own)
-            if not keys:
-                continue
-            both, at = _hashed(keys), np.array(rows, np.int64)
-            if shared is not None:
-                kept = shared.value.may_hold(both[:, 0], both[:, 1])
-                both, at = both[kept], at[kept]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), bigints(both[:, 0]), bigints(both[:, 1])], ["doc_id", "h1", "h2"])
+            if keys:
+                both = _hashed(keys)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), bigints(both[:, 0]), bigints(both[:, 1])], ["key", "h1", "h2"])
 
     return run
 
 
-def _drop_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _probe_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (shard, salt, kind): a shard's filter, then lines of its hashes. The lines that may be frequent."""
+    now, tool = None, None
     for batch in batches:
-        names = batch.schema.names
-        texts, n_lines, n_dropped = [], [], []
-        firsts, seconds = batch.column(names.index("_h1")).to_pylist(), batch.column(names.index("_h2")).to_pylist()
-        for text, first, second in zip(raw_texts(batch.column(names.index("_text"))), firsts, seconds, strict=True):
-            lines = (text or b"").split(b"\n")
-            kept = lines
-            if first:
-                bad = set(zip(first, second, strict=True))
-                both = _hashed(line_keys(text)).view(np.int64).tolist()
-                kept = [x for x, h in zip(lines, both, strict=True) if tuple(h) not in bad]
-            texts.append(b"\n".join(kept))
-            n_lines.append(len(lines))
-            n_dropped.append(len(lines) - len(kept))
-        rest = [n for n in names if n not in ("_text", "_h1", "_h2")]
-        yield pa.RecordBatch.from_arrays([*(batch.column(names.index(n)) for n in rest), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*rest, "_text", "n_lines", "n_dropped"])
+        shard, kind, buckets = (batch.column(c).to_numpy() for c in ("shard", "kind", "buckets"))
+        key, h1, h2 = (batch.column(c).to_numpy() for c in ("key", "h1", "h2"))
+        cells = batch.column("cells")
+        cuts = np.flatnonzero((shard[1:] != shard[:-1]) | (kind[1:] != kind[:-1])) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(shard)], strict=True):
+            if b > a and kind[a] == 0:
+                now, tool = shard[a], FilterSet(1, {0: (int(buckets[a]), cells[a].as_py())})
+            elif b > a and shard[a] == now:
+                ok = tool.may_hold(h1[a:b].view(np.uint64), h2[a:b].view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(x[a:b][ok]) for x in (key, h1, h2)], ["key", "h1", "h2"])
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
