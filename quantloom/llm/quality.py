@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import materialize, small_side, table
+from quantloom.llm.common import free_name, materialize, small_side, table
 from quantloom.llm.ngrams import context, count_grams, score_docs, suffix, vocabulary
 
 
@@ -95,8 +95,10 @@ def classify(
 def accepted(docs: DataFrame, trusted_ids: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", **parameters) -> DataFrame:
     """The rows of docs that the classifier keeps, with their columns."""
     verdict = classify(docs, trusted_ids, doc_id, text, lang, **parameters)
-    rejected = verdict.where("not keep").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(small_side(rejected, 2_000_000), F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text).cast("string")) == F.col("_hash")), "left_anti")
+    own_id, own_hash = free_name(docs, "id"), free_name(docs, "hash")
+    rejected = verdict.where("not keep").select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash)).distinct()
+    same = F.col(doc_id).eqNullSafe(F.col(own_id)) & (F.xxhash64(F.col(text).cast("string")) == F.col(own_hash))
+    return docs.join(small_side(rejected, 2_000_000), same, "left_anti")
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,7 +55,9 @@ def brute_lines(rows, min_docs):
     return sorted(out, key=str)
 
 
-def test_line_dedup_like_brute_force(spark, docs):
+@pytest.mark.parametrize("shared", [line_dedup.MAX_SHARED, 0])
+def test_line_dedup_like_brute_force(spark, monkeypatch, shared):
+    monkeypatch.setattr(line_dedup, "MAX_SHARED", shared)
     rows = ROWS + [(20 + i, f"Shared LINE \n{sentence(5, i)}\n\tshared line") for i in range(6)]
     df = docs_of(spark, rows)
     got = line_dedup.LineIndex(spark, min_docs=3, shards=4).insert(df).dedup(df)
@@ -63,7 +65,9 @@ def test_line_dedup_like_brute_force(spark, docs):
     assert set(df.columns) <= set(got.columns)
 
 
-def test_line_index_is_reversible(spark):
+@pytest.mark.parametrize("per_shard", [line_dedup.PER_SHARD, 0.1])
+def test_line_index_is_reversible(spark, monkeypatch, per_shard):
+    monkeypatch.setattr(line_dedup, "PER_SHARD", per_shard)  # the small one makes more shards at once
     a, b = [(i, f"common\nown {i}") for i in range(4)], [(10 + i, "common\nfresh") for i in range(4)]
     index = line_dedup.LineIndex(spark, min_docs=4, shards=4).insert(docs_of(spark, a))
     before = sorted(map(tuple, index.counts().where("n > 0").select("h1", "h2", "n").collect()))
@@ -142,6 +146,35 @@ def test_jaccard_null_id_and_empty(spark, docs, empty):
     assert jaccard_join.jaccard_components(empty).count() == 0
 
 
+def test_jaccard_rows_of_one_id_are_one_document(spark):
+    a, b = sentence(40, 70), sentence(40, 71)
+    rows = [(3, a), (5, a), (5, b), (8, b), (8, None), (9, ""), (9, b + " x"), (11, sentence(30, 72)), (11, sentence(30, 73)), (None, b), (None, "")]
+    got = {(r.doc_id, r.component_id) for r in jaccard_join.jaccard_components(docs_of(spark, rows)).collect()}
+    assert got == {(3, 3), (5, 3), (8, 3), (9, 3), (11, 11), (None, 3), (None, None)}
+    with pytest.raises(ValueError):
+        jaccard_join.jaccard_components(docs_of(spark, rows), percent=50)
+
+
+def test_jaccard_pair_comes_from_one_group(spark, monkeypatch):
+    """Near copies share many groups; each pair is sent on once."""
+    sent = []
+    plain = jaccard_join.materialize
+
+    def watched(df, name):
+        out = plain(df, name)
+        if name == "pairs":
+            plan = df._jdf.queryExecution().analyzed().toString()
+            sent.append((out.count(), plan))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialize", watched)
+    monkeypatch.setattr(jaccard_join, "SALTS", ())
+    base = sentence(200, 80).split()
+    rows = [(i, " ".join([*base[:i], f"w{i}", *base[i + 1 :]])) for i in range(12)]
+    groups = {r.component_id for r in jaccard_join.jaccard_components(docs_of(spark, rows)).collect()}
+    assert groups == {0} and sent[0][0] == 66
+
+
 def test_jaccard_no_task_holds_a_large_group(spark, monkeypatch):
     plain = jaccard_join._candidates
 
@@ -206,7 +239,9 @@ def test_components_of_a_path(spark):
 
 # ---- decontamination
 
-def test_decontamination_like_brute_force(spark, docs):
+@pytest.mark.parametrize("shared", [decontamination.MAX_SHARED, 0])
+def test_decontamination_like_brute_force(spark, monkeypatch, shared):
+    monkeypatch.setattr(decontamination, "MAX_SHARED", shared)
     item = sentence(40, 9).split()
     items = [(1, " ".join(item)), (2, "short item only"), (3, None), (4, ""), (None, sentence(20, 10)), (10, " ".join(item[:20])), (11, "solo")]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -228,9 +263,8 @@ def test_decontamination_like_brute_force(spark, docs):
                     hit |= set(range(k, k + len(p)))
                     ids |= own
         expected.append((i, len(w), len(hit), tuple(sorted(ids)), bool(hit) and 20 * len(hit) >= len(w)))
-    for block in (20_000, 2):
-        got = decontamination.contamination(docs_of(spark, rows), bench, block_items=block).collect()
-        assert sorted([(r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), r.contaminated) for r in got], key=str) == sorted(expected, key=str)
+    got = decontamination.contamination(docs_of(spark, rows), bench).collect()
+    assert sorted([(r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), r.contaminated) for r in got], key=str) == sorted(expected, key=str)
 
 
 def test_decontamination_empty(spark, docs, empty):
@@ -239,6 +273,17 @@ def test_decontamination_empty(spark, docs, empty):
     assert decontamination.contamination(empty, bench).count() == 0
 
 
+def test_extra_columns_of_any_name(spark):
+    """Operators that keep the columns of docs keep any name."""
+    names = "bad _bad id _id hash _hash _text _h1 _h2 h1 keys gone twice _trusted chosen judge row key _key hits _hits".split()
+    df = docs_of(spark, [(1, "one line\nof text"), (2, "another line\nof text"), (3, None)]).drop("key").withColumns({n: F.lit(n) for n in names})
+    bench = spark.createDataFrame([(1, "another line of")], "item_id long, text string")
+    outs = [decontamination.decontaminated(df, bench), quality.accepted(df, df.select(F.col("doc_id").alias("known"))), line_dedup.LineIndex(spark, min_docs=2, shards=4).insert(df).dedup(df)]
+    for out, kept in zip(outs, (2, 3, 3), strict=True):
+        rows = out.collect()
+        assert len(rows) == kept and all(r[n] == n for r in rows for n in names) and set(df.columns) <= set(out.columns)
+
+
 # ---- tokens, files, packing
 
 @pytest.fixture(scope="module")
