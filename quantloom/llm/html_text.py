@@ -7,12 +7,14 @@ averaged for each path and fused by a product that link text lowers. Paths above
 ratio are content. The deepest element that holds most of the selected text is the article; what it holds
 beside, such as headings and short paragraphs, is content too unless it is mostly links.
 
-Menus, page headers, footers, sidebars, forms, notices, adverts and reader comments, known by their element
-or by the words of their class, id or role, have ratio zero; a name does not count on an element that holds
-most of the page's text. Scripts, styles and comments of the markup hold no text.
+Elements that say what they are - menus, footers, sidebars, forms, dialogs, hidden ones - have ratio zero. Words of a class, id or
+role that name headers, notices, adverts or reader comments only lower the ratio of what is inside by a factor, so long text wins over a name; a name
+does not count at all on an element that holds most of the page's text. The elements made for content double the ratio. Scripts,
+styles and comments of the markup hold no text.
 
 White space within a block becomes one space, blocks are joined by one space. Null and empty html give the
-empty text, as do pages without content. Broken markup is read as browsers mostly do. Each row gives a row.
+empty text, as do pages without content. Broken markup is read as browsers mostly do, in time linear in the page's length.
+Each row gives a row, repeated ones too; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,14 +50,17 @@ NAMES = frozenset(
     "sharing social comment comments reply replies respond discussion disqus footer masthead topbar toolbar pagination pager copyright legal disclaimer skip complementary contentinfo".split()
 )
 HEADERS = frozenset("header banner".split())
+#: Factors of the ratio for names that speak against content, and for elements made for it.
+NAMED_WEIGHT, CONTENT_WEIGHT = 0.05, 2.0
 OWN = frozenset("article entry post content story body main".split())
 
 
 class _Element:
-    __slots__ = ("tag", "path", "parent", "bad", "named", "content", "chars", "number")
+    __slots__ = ("tag", "path", "parent", "never", "named", "content", "chars", "held", "number", "depth")
 
-    def __init__(self, tag: str, path: int, parent: _Element | None, bad: bool, named: bool, content: bool, number: int):
-        self.tag, self.path, self.parent, self.bad, self.named, self.content, self.chars, self.number = tag, path, parent, bad, named, content, 0, number
+    def __init__(self, tag: str, path: int, parent: _Element | None, never: bool, named: bool, content: bool, number: int):
+        self.tag, self.path, self.parent, self.never, self.named, self.content, self.chars, self.held, self.number = tag, path, parent, never, named, content, 0, 0, number
+        self.depth = 0 if parent is None else parent.depth + 1
 
 
 class _Block:
@@ -64,12 +70,13 @@ class _Block:
         self.text, self.at, self.links, self.marks = text, at, links, len(MARKS.findall(text))
 
 
-def blocks(page: str) -> list[_Block]:
-    """The text blocks of a page in their order, each with its element."""
+def blocks(page: str) -> tuple[list[_Block], list[_Element]]:
+    """The text blocks of a page in their order, each with its element, and all elements, parents before children."""
     numbers: dict[tuple[int, str], int] = {}
     root = _Element("", 0, None, False, False, False, 0)
-    stack, out, parts = [root], [], []
-    made, links, in_link, at, end = 1, 0, 0, 0, len(page)
+    stack, out, parts, elements = [root], [], [], [root]
+    where: dict[str, list[int]] = {}  # places of each tag in the stack
+    links, in_link, at, end = 0, 0, 0, len(page)
 
     def flush() -> None:
         nonlocal links
@@ -88,12 +95,12 @@ def blocks(page: str) -> list[_Block]:
             links += len(text.strip())
 
     def close(tags: tuple[str, ...], stop: frozenset) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                del stack[i:]
-                return
-            if stack[i].tag in stop:
-                return
+        """Close the last open element of tags, and what is in it, unless a later one is in stop."""
+        last = max((where[t][-1] for t in tags if where.get(t)), default=0)
+        if last and all(not where.get(t) or where[t][-1] <= last for t in stop):
+            for x in stack[last:]:
+                where[x.tag].pop()
+            del stack[last:]
 
     while at < end:
         m = TOKEN.search(page, at)
@@ -137,105 +144,76 @@ def blocks(page: str) -> list[_Block]:
         hidden = "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in named.get("style", "").replace(" ", "")
         label = f"{tag}.{named.get('class', '')}"
         path = numbers.setdefault((top.path, label), len(numbers) + 1)
-        stack.append(_Element(tag, path, top, top.bad or tag in NEVER or hidden, by_name, top.content or tag in CONTENT, made))
-        made += 1
+        where.setdefault(tag, []).append(len(stack))
+        elements.append(_Element(tag, path, top, top.never or tag in NEVER or hidden, by_name, top.content or tag in CONTENT, len(elements)))
+        stack.append(elements[-1])
     flush()
-    return out
+    return out, elements
 
 
 def _smooth(values: list[float]) -> list[float]:
-    """Gaussian window of five, on values of neighbouring blocks."""
-    weights = (0.054, 0.242, 0.399, 0.242, 0.054)
-    out = []
-    for i in range(len(values)):
-        own = [(w, values[i + k - 2]) for k, w in enumerate(weights) if 0 <= i + k - 2 < len(values)]
-        out.append(sum(w * v for w, v in own) / sum(w for w, _ in own))
-    return out
+    """Gaussian window of five, on values of neighbouring blocks; at the ends of the page, of the part that is there."""
+    weights = np.array([0.054, 0.242, 0.399, 0.242, 0.054])
+    part = lambda x: np.convolve(x, weights)[2 : len(x) + 2]
+    return (part(values) / part(np.ones(len(values)))).tolist() if values else []
 
 
-def select(found: list[_Block], least_share: float = 0.3) -> list[_Block]:
+def select(found: list[_Block], elements: list[_Element], least_share: float = 0.3) -> list[_Block]:
     """The content blocks."""
-    total = 0
     for b in found:
-        e: _Element | None = b.at
-        total += len(b.text)
-        while e is not None:
-            e.chars += len(b.text)
-            e = e.parent
-    bad: dict[int, bool] = {}
-
-    def is_bad(e: _Element | None) -> bool:
-        way = []
-        while e is not None and e.number not in bad:
-            way.append(e)
-            e = e.parent
-        known = bad[e.number] if e is not None else False
-        for x in reversed(way):
-            known = bad[x.number] = known or x.bad or (x.named and x.chars <= 0.6 * total)
-        return known
-
-    sums: dict[int, list[float]] = {}
+        b.at.chars += len(b.text)
+    for e in reversed(elements[1:]):  # children before parents
+        e.parent.chars += e.chars
+    total = elements[0].chars
+    for e in elements[1:]:
+        e.named = e.parent.named or (e.named and e.chars <= 0.6 * total)
+
+    # A path counts apart where it is named and where it is not.
+    key = lambda b: (b.at.path, b.at.named)
+    weight = lambda e: 0.0 if e.never else (NAMED_WEIGHT if e.named else 1.0) * (CONTENT_WEIGHT if e.content else 1.0)
+    sums: dict[tuple, list[float]] = {}
+    weights: dict[tuple, float] = {}
     for b in found:
-        if not is_bad(b.at):
-            s = sums.setdefault(b.at.path, [0, 0, 0, 0])
-            for i, v in enumerate((1, len(b.text), b.marks, b.links)):
-                s[i] += v
-    if not sums:
-        return []
-    text = _smooth([sums[b.at.path][1] / sums[b.at.path][0] if not is_bad(b.at) else 0.0 for b in found])
-    marks = _smooth([sums[b.at.path][2] / sums[b.at.path][0] if not is_bad(b.at) else 0.0 for b in found])
-    means: dict[int, list[float]] = {}
-    for b, t, p in zip(found, text, marks, strict=True):
-        if not is_bad(b.at):
-            m = means.setdefault(b.at.path, [0.0, 0.0])
-            m[0] += t / sums[b.at.path][0]
-            m[1] += p / sums[b.at.path][0]
-    inside = {b.at.path for b in found if b.at.content}
-    fused = {k: math.log1p(t) * (0.3 + math.log1p(p)) * max(0.0, 1 - sums[k][3] / sums[k][1]) ** 2 * (2.0 if k in inside else 1.0) for k, (t, p) in means.items()}
-    most = max(fused.values())
+        s = sums.setdefault(key(b), [0, 0, 0, 0])
+        for i, v in enumerate((1, len(b.text), b.marks, b.links)):
+            s[i] += v
+        weights[key(b)] = max(weights.get(key(b), 0.0), weight(b.at))
+    smooth = [_smooth([sums[key(b)][i] / sums[key(b)][0] if not b.at.never else 0.0 for b in found]) for i in (1, 2)]
+    means: dict[tuple, list[float]] = {}
+    for b, t, p in zip(found, *smooth, strict=True):
+        m = means.setdefault(key(b), [0.0, 0.0])
+        m[0] += t / sums[key(b)][0]
+        m[1] += p / sums[key(b)][0]
+    fused = {k: weights[k] * math.log1p(t) * (0.3 + math.log1p(p)) * max(0.0, 1 - sums[k][3] / sums[k][1]) ** 2 for k, (t, p) in means.items()}
+    most = max(fused.values(), default=0.0)
     chosen = {k for k, v in fused.items() if v >= least_share * most and v > 0}
-    core = [b for b in found if b.at.path in chosen and not is_bad(b.at)]
-    held: dict[int, int] = {}
-    elements: dict[int, _Element] = {}
-    depth: dict[int, int] = {}
+    core = [b for b in found if key(b) in chosen]
+    if not core:
+        return []
     for b in core:
-        way, e = [], b.at
-        while e is not None:
-            way.append(e)
-            e = e.parent
-        for d, e in enumerate(reversed(way)):
-            held[e.number] = held.get(e.number, 0) + len(b.text)
-            elements[e.number], depth[e.number] = e, d
-    need = 0.8 * sum(len(b.text) for b in core)
-    article = max((n for n, c in held.items() if c >= need), key=lambda n: depth[n], default=0)
-    if elements and elements[article].tag in ("p", "li", "td", "h1", "h2", "h3") and elements[article].parent is not None:
-        article = elements[article].parent.number
-    within: dict[int, bool] = {}
-
-    def is_within(e: _Element | None) -> bool:
-        way = []
-        while e is not None and e.number not in within and e.number != article:
-            way.append(e)
-            e = e.parent
-        known = e is not None and (e.number == article or within.get(e.number, False))
-        for x in way:
-            within[x.number] = known
-        return known
-
-    whole = article in elements and elements[article].tag in ("", "html", "body")
+        b.at.held += len(b.text)
+    for e in reversed(elements[1:]):
+        e.parent.held += e.held
+    need = 0.8 * elements[0].held
+    article = max((e for e in elements if e.held >= need), key=lambda e: e.depth)  # these are one within the other
+    if article.tag in ("p", "li", "td", "h1", "h2", "h3") and article.parent is not None:
+        article = article.parent
+    within = [False] * len(elements)
+    for e in elements:
+        within[e.number] = e is article or e.parent is not None and within[e.parent.number]
+    whole = article.tag in ("", "html", "body")
     out = []
     for b in found:
-        if is_bad(b.at):
-            continue
-        s = sums[b.at.path]
-        beside = is_within(b.at) and s[3] < 0.5 * s[1] and (not whole or b.at.tag in ("h1", "h2", "h3", "h4", "h5", "h6"))
-        if b.at.path in chosen and (is_within(b.at) or whole) or beside:
+        s = sums[key(b)]
+        plain = not b.at.never and not (b.at.named and not article.named) and s[3] < 0.5 * s[1]
+        beside = plain and within[b.at.number] and (not whole or b.at.tag in ("h1", "h2", "h3", "h4", "h5", "h6"))
+        if key(b) in chosen and (within[b.at.number] or whole) or beside:
             out.append(b)
     return out
 
 
-def main_text(page: str | None) -> str:
-    return " ".join(b.text for b in select(blocks(page or "")))
+def main_text(page: str | None, least_share: float = 0.3) -> str:
+    return " ".join(b.text for b in select(*blocks(page or ""), least_share))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
