@@ -3,9 +3,9 @@
 Two Markov models of order 2 give the probability of each character of a candidate after the two before it:
 one of random strings, one of ordinary identifiers. Both are trained from labelled samples of the corpus at
 hand: values that the fixed patterns find (label 1) and all words outside, also joined by underscores (label 0), counted
-over all documents, candidates left out. A candidate is a run of 20 or more of ``[A-Za-z0-9+/_=-]`` with letters and digits; it
-is a secret of kind ``markov`` if the ratio exceeds ``least_ratio`` nats a character and it overlaps no
-span of the fixed patterns, which always stay.
+over all documents; runs of 12 or more that mix letters and digits are no samples. Every run of 12 or more of
+``[A-Za-z0-9+/_=-]`` with a letter is a candidate: it is a secret of kind ``markov`` if the ratio exceeds ``least_ratio`` nats
+a character and it overlaps no span of the fixed patterns, which always stay.
 
 Kinds: assign (a named value of 8 or more characters; the span is the whole match), access, hex, markov.
 Offsets are code points, ends exclusive. Null and empty texts have no spans. Repeated rows are scanned one
@@ -29,12 +29,11 @@ KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}")
-CANDIDATE_BYTES = re.compile(CANDIDATE.pattern.encode())
+CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{12,}")
+LETTER, DIGIT = re.compile(rb"[A-Za-z]").search, re.compile(rb"[0-9]").search
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: A character is one byte here, others than Latin-1 a question mark, so that offsets stay and bytes can be searched fast.
 AS_HEX = bytes(120 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
-AS_CANDIDATE = bytes(120 if b < 128 and (chr(b).isalnum() or chr(b) in "+/_=-") else 32 for b in range(256))
 #: Symbols of the models: 0 for the border and others, then these.
 SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 SIZE = len(SYMBOLS) + 1
@@ -100,8 +99,9 @@ def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for span in base_spans(text, bytes(flat)):
                 secrets.append(_bytes(_value(text, span)))
                 flat[span[1] : span[2]] = b" " * (span[2] - span[1])
-            if b"x" * 20 in flat.translate(AS_CANDIDATE):  # what is to be judged is no sample
-                flat = bytearray(CANDIDATE_BYTES.sub(b" ", flat))
+            for m in CANDIDATE.finditer(bytes(flat)) if DIGIT(flat) else ():  # what may be secret is no sample of words
+                if DIGIT(m[0]) and LETTER(m[0]):
+                    flat[m.start() : m.end()] = b" " * len(m[0])
             plain.append(bytes(flat))
             if (held := held + len(flat)) >= PORTION:
                 add()
@@ -127,20 +127,33 @@ def train(docs: DataFrame, text: str = "text") -> np.ndarray:
     return (logs[1] - logs[0]).reshape(-1)
 
 
+def ratios(model: np.ndarray, values: list[bytes]) -> np.ndarray:
+    """Mean log-likelihood ratio a character of each value, all of them of SYMBOLS only."""
+    if not values:
+        return np.zeros(0)
+    ends = np.cumsum([len(v) for v in values])
+    return np.add.reduceat(model[transitions(b" ".join(values))], np.append(0, ends[:-1])) / np.diff(ends, prepend=0)
+
+
 def _scan(model, least_ratio: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            rows: list[list[Span]] = []
+            places, values = [], []
             for text in batch.column(1).to_pylist():
                 text = text or ""
                 flat = _bytes(text)
                 spans = base_spans(text, flat)
-                more = []
-                for m in CANDIDATE.finditer(text) if b"x" * 20 in flat.translate(AS_CANDIDATE) else ():
+                for m in CANDIDATE.finditer(flat):
                     a, b = m.span()
-                    if all(b <= s or a >= e for _, s, e in spans) and model.value[transitions(flat[a:b])].mean() > least_ratio:
-                        more.append(("markov", a, b))
-                rows.append(sorted(spans + more, key=lambda s: (s[1], KINDS.index(s[0]))))
+                    if LETTER(m[0]) and (not spans or all(b <= s or a >= e for _, s, e in spans)):
+                        places.append((len(rows), a, b))
+                        values.append(m[0])
+                rows.append(spans)
+            for i in np.flatnonzero(ratios(model.value, values) > least_ratio).tolist():
+                row, a, b = places[i]
+                rows[row].append(("markov", a, b))
+            rows = [sorted(r, key=lambda s: (s[1], KINDS.index(s[0]))) for r in rows]
             flat = [s for r in rows for s in r]
             kinds, starts, ends = (list(x) for x in zip(*flat, strict=True)) if flat else ([], [], [])
             items = pa.StructArray.from_arrays([pa.array(kinds, pa.string()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], ["kind", "start", "end"])
