@@ -1,9 +1,9 @@
 """Character n-gram tables over a whole corpus, for the language models.
 
-The vocabulary is the most frequent characters (at most ``MAX_CHARS``); others share the symbol 1, and 0
-stands before the first character of a text. An n-gram is a long of ten bits a symbol, the last character
-lowest, so that masks give its suffixes and shifts its context. Counts are made in portions of bounded size
-and summed by Spark.
+A symbol is a UTF-16 unit, so there is no list of known characters: all but the rarest characters are one symbol, those two.
+0 stands before the first symbol of a text. An n-gram of up to ``MAX_ORDER`` symbols is a long of sixteen bits a symbol,
+the last symbol lowest, so that masks give its suffixes and shifts its context. Counts are made in portions
+of bounded size and summed by Spark.
 """
 
 from __future__ import annotations
@@ -17,57 +17,25 @@ from pyspark.sql import functions as F
 
 from quantloom.llm.common import materialize, small_side
 
-CHAR_BITS = 10
-MAX_CHARS = (1 << CHAR_BITS) - 2
-#: Characters turned into numbers at once, and counted before a task sends its sums on; these take 50 bytes each.
-AT_ONCE, PORTION = 500_000, 2_000_000
+CHAR_BITS, MAX_ORDER = 16, 4
+#: Characters counted before a task sends its sums on; these take 40 bytes each.
+PORTION = 2_000_000
 #: Scores of up to this many n-grams go to every executor; beyond it documents' n-grams are joined with them.
-MAX_SHARED = 3_000_000
+MAX_SHARED = 2_000_000
 
-Vocabulary = np.ndarray  # symbol of each code point of the basic plane
 
+def units(text: str) -> np.ndarray:
+    """The symbols of a text: UTF-16 units, and 0xFFFF, which no character has, for 0."""
+    c = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), "<u2").astype(np.int64)
+    c[c == 0] = 0xFFFF
+    return c
 
-def _code_points(text: str) -> np.ndarray:
-    """UTF-16 units: all but the rarest characters are one."""
-    return np.frombuffer(text.encode("utf-16-le", "surrogatepass"), "<u2")
 
-
-def _count_chars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen = np.zeros(1 << 16, np.int64)
-    held: list[str] = []
-    size = 0
-
-    def add() -> None:
-        whole = "".join(held)
-        for at in range(0, len(whole), AT_ONCE):
-            seen[:] += np.bincount(_code_points(whole[at : at + AT_ONCE]), minlength=1 << 16)
-        held.clear()
-
-    for batch in batches:
-        for text in batch.column(0):
-            if text.is_valid:
-                held.append(text.as_py())
-                size += len(held[-1])
-            if size >= AT_ONCE:
-                add()
-                size = 0
-    add()
-    at = seen.nonzero()[0]
-    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(seen[at])], ["char", "n"])
-
-
-def vocabulary(texts: DataFrame) -> Vocabulary:
-    """Over all rows of a one-column DataFrame; fixed size, whatever the corpus."""
-    top = texts.mapInArrow(_count_chars, "char long, n long").groupBy("char").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "char").limit(MAX_CHARS)
-    found = np.ones(1 << 16, np.int64)
-    for i, r in enumerate(top.collect()):
-        found[r.char] = i + 2
-    return found
-
-
-def grams(text: str | None, symbols: Vocabulary, order: int) -> np.ndarray:
-    """The n-gram that ends at each character."""
-    c = symbols[_code_points(text or "")]
+def grams(text: str | None, order: int) -> np.ndarray:
+    """The n-gram that ends at each symbol."""
+    if order > MAX_ORDER:
+        raise ValueError(f"n-grams of more than {MAX_ORDER} symbols don't fit")
+    c = units(text or "")
     padded = np.concatenate([np.zeros(order - 1, np.int64), c])
     key = np.zeros(len(c), np.int64)
     for i in range(order):
@@ -75,49 +43,54 @@ def grams(text: str | None, symbols: Vocabulary, order: int) -> np.ndarray:
     return key
 
 
-def count_grams(docs: DataFrame, symbols: Vocabulary, order: int) -> DataFrame:
-    """docs: text, chosen (boolean). gram, n (in all documents), n_chosen (in the chosen ones)."""
-    shared = docs.sparkSession.sparkContext.broadcast(symbols)
+def count_grams(docs: DataFrame, order: int, parts: int) -> DataFrame:
+    """docs: text, part (int below parts). gram, and n0, n1, ...: how often it is in the documents of each part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[list[np.ndarray]] = [[], []]
+        held: list[list[np.ndarray]] = [[] for _ in range(parts)]
 
         def summed() -> pa.RecordBatch:
-            (rest, n_rest), (own, n_own) = (np.unique(np.concatenate([*p, np.zeros(0, np.int64)]), return_counts=True) for p in parts)
-            parts[0], parts[1] = [], []
-            keys = np.union1d(rest, own)
-            n, chosen = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-            n[np.searchsorted(keys, rest)] = n_rest
-            chosen[np.searchsorted(keys, own)] = n_own
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n + chosen), pa.array(chosen)], ["gram", "n", "n_chosen"])
-
-        held = 0
+            each = [np.unique(np.concatenate([*p, np.zeros(0, np.int64)]), return_counts=True) for p in held]
+            keys = np.unique(np.concatenate([k for k, _ in each]))
+            n = np.zeros((parts, len(keys)), np.int64)
+            for i, (k, times) in enumerate(each):
+                n[i, np.searchsorted(keys, k)] = times
+                held[i].clear()
+            return pa.RecordBatch.from_arrays([pa.array(keys), *map(pa.array, n)], ["gram", *(f"n{i}" for i in range(parts))])
+
+        size = 0
         for batch in batches:
-            for text, chosen in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                key = grams(text, shared.value, order)
-                parts[bool(chosen)].append(key)
-                held += len(key)
-                if held >= PORTION:
+            for text, part in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                key = grams(text.as_py(), order)
+                held[part].append(key)
+                size += len(key)
+                if size >= PORTION:
                     yield summed()
-                    held = 0
-        if held:
+                    size = 0
+        if size:
             yield summed()
 
-    return docs.select("text", "chosen").mapInArrow(run, "gram long, n long, n_chosen long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("n_chosen").alias("n_chosen"))
+    names = [f"n{i}" for i in range(parts)]
+    found = docs.select("text", "part").mapInArrow(run, "gram long, " + ", ".join(f"{n} long" for n in names))
+    return found.groupBy("gram").agg(*[F.sum(n).alias(n) for n in names])
 
 
 def suffix(gram: Column, n: int) -> Column:
-    return gram.bitwiseAND(F.lit((1 << (CHAR_BITS * n)) - 1))
+    return gram.bitwiseAND(F.lit((1 << (CHAR_BITS * n)) - 1)) if n < MAX_ORDER else gram
 
 
 def context(gram: Column) -> Column:
-    return F.shiftright(gram, CHAR_BITS)
+    return F.shiftrightunsigned(gram, CHAR_BITS)
+
+
+def n_symbols(counts: DataFrame) -> int:
+    """How many symbols counts has; 1 at least."""
+    return max(1, counts.select(suffix(F.col("gram"), 1).alias("s")).distinct().count())
 
 
-def score_docs(docs: DataFrame, symbols: Vocabulary, order: int, table: DataFrame, values: list[str]) -> DataFrame:
+def score_docs(docs: DataFrame, order: int, table: DataFrame, values: list[str]) -> DataFrame:
     """docs: row (any value, repeated or null too), text. For each row of docs: row, n_tokens, and the sum of each value of table (gram, values) over all characters."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(symbols)
     schema = docs.select("row").schema.add("n_tokens", "long")
     for v in values:
         schema = schema.add(v, "double")
@@ -130,8 +103,8 @@ def score_docs(docs: DataFrame, symbols: Vocabulary, order: int, table: DataFram
             known, found = held.value
             for batch in batches:
                 n, sums = [], []
-                for text in batch.column(1).to_pylist():
-                    key = grams(text, shared.value, order)
+                for text in batch.column(1):  # one at a time: a batch's texts are many
+                    key = grams(text.as_py(), order)
                     key.sort()
                     n.append(len(key))
                     sums.append(found[np.searchsorted(known, key)].sum(0, dtype=np.float64) if len(key) else np.zeros(len(values)))
@@ -142,10 +115,19 @@ def score_docs(docs: DataFrame, symbols: Vocabulary, order: int, table: DataFram
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                gram, n = np.unique(grams(text, shared.value, order), return_counts=True)
-                if len(gram):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), k)), pa.array(gram), pa.array(n)], ["key", "gram", "times"])
+            held, size = [], 0
+            for k, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                gram, n = np.unique(grams(text.as_py(), order), return_counts=True)
+                held.append((np.full(len(gram), k), gram, n))
+                size += len(gram)
+                if size >= PORTION:
+                    yield together(held)
+                    held, size = [], 0
+            if size:
+                yield together(held)
+
+    def together(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], ["key", "gram", "times"])
 
     # Rows may be equal, so each gets a key; it is written with its text, as it may differ when it is computed again.
     keyed = materialize(docs.select(F.monotonically_increasing_id().alias("key"), "row", "text"), "keyed")
