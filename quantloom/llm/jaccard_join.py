@@ -426,7 +426,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         wide = first.join(second.select(F.col("doc_id").alias("b"), F.col("text").alias("t")).hint("shuffle_hash"), "b")
         true = materialize(wide.select("a", "b", "s", "t").mapInArrow(_verify(width, percent), "a long, b long"), "links")
         links = links.unionByName(true)
-        labels = components(links)
+        labels = components(links, None if salt is None else 1)  # before the last round it only tells which pairs need no test
         if salt is not None and true.count() * FEW < n_members:
             rounds = [None] if None in rounds else []  # more hubs would link few
     component = named.join(shared, "doc_id", "left").withColumn("rep", F.coalesce("rep", "first")).join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")

@@ -146,6 +146,16 @@ def test_jaccard_null_id_and_empty(spark, docs, empty):
     assert jaccard_join.jaccard_components(empty).count() == 0
 
 
+def test_partial_components_never_join_too_much(spark):
+    r = random.Random(8)
+    edges = [(i, i + 1) for i in range(0, 40)] + [(r.randint(100, 160), r.randint(100, 160)) for _ in range(40)] + [(7, 7)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    whole = {x.id: x.component for x in components(df).collect()}
+    for rounds in (1, 2):
+        part = components(df, rounds).collect()
+        assert len(part) == len(whole) and all(whole[x.id] == whole[x.component] for x in part)
+
+
 def test_jaccard_rows_of_one_id_are_one_document(spark):
     a, b = sentence(40, 70), sentence(40, 71)
     rows = [(3, a), (5, a), (5, b), (8, b), (8, None), (9, ""), (9, b + " x"), (11, sentence(30, 72)), (11, sentence(30, 73)), (None, b), (None, "")]
