@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import free_name, materialize, raw_texts, table
+from quantloom.llm.common import free_name, materialize, raw_texts, small_side, table
 
 #: ASCII bytes that end words become blanks, A-Z become a-z.
 FOLDED = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -228,8 +228,8 @@ def contamination(
 def decontaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the contaminated ones (documents of one id share the decision)."""
     name = free_name(docs, "bad")
-    bad = contamination(docs, benchmark, doc_id, text).where("contaminated").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(bad, F.col(doc_id).eqNullSafe(F.col(name)), "left_anti")
+    bad = materialize(contamination(docs, benchmark, doc_id, text).where("contaminated").select(F.col("doc_id").alias(name)).distinct(), "contaminated")
+    return docs.join(small_side(bad, 2_000_000), F.col(doc_id).eqNullSafe(F.col(name)), "left_anti")
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
