@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import materialize, table
+from quantloom.llm.common import materialize, small_side, table
 from quantloom.llm.decontamination import decontaminated
 from quantloom.llm.jaccard_join import jaccard_components
 from quantloom.llm.line_dedup import LineIndex
@@ -36,8 +36,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each group of near duplicates; of equal rows of one id, one stays."""
     groups = jaccard_components(docs.select("doc_id", "text"), width=5, percent=80)
-    gone = groups.where("component_id < doc_id").select(F.col("doc_id").alias("gone")).distinct()
-    left = docs.select(*COLUMNS).join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    gone = materialize(groups.where("component_id < doc_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    left = docs.select(*COLUMNS).join(small_side(gone, 2_000_000), F.col("doc_id") == F.col("gone"), "left_anti")
     twice = materialize(docs.groupBy(F.col("doc_id").alias("twice")).agg(F.count("*").alias("n")).where("n > 1 and twice is not null").select("twice"), "twice")
     if twice.isEmpty():
         return left
