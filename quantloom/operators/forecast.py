@@ -47,29 +47,45 @@ def chart(bars: DataFrame, forecast: DataFrame, tail: int = 60) -> DataFrame:
 RATIOS = ("g_ma5", "g_ma10", "g_ma20", "f_rsi", "f_volume", "f_momentum")
 
 
-def forest(bars: DataFrame, train_bars: int = 252, trees: int = 50, depth: int = 10, seed: int = 42, start: str = "observed") -> DataFrame:
-    """One forest for all symbols, on features free of scale, rolled out for 30 steps.
+def _scaled(df: DataFrame) -> DataFrame:
+    return df.withColumns({f"g_ma{k}": F.try_divide(f"f_ma{k}", "f_prev") for k in (5, 10, 20)})
 
-    Prices are divided by the close before, and the predicted ratio is multiplied back. A step replaces the
-    close and updates the means as if the prediction had been observed; the other features stay. start
-    'observed' begins at the features of the last bar, 'next' at those after it.
-    """
+
+def _packed(df: DataFrame) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
+
+    return VectorAssembler(inputCols=list(RATIOS), outputCol="features", handleInvalid="skip").transform(df)
+
+
+def fit_forest(bars: DataFrame, train_bars: int = 252, trees: int = 50, depth: int = 10, seed: int = 42):
+    """The model of the next close over the last, and the feature rows it was fitted on."""
     from pyspark.ml.regression import RandomForestRegressor
 
     panel = ind.feature_panel(bars).where(F.col("n") > F.col("cnt") - train_bars)
-    scaled = lambda df: df.withColumns({f"g_ma{k}": F.try_divide(f"f_ma{k}", "f_prev") for k in (5, 10, 20)})
-    rows = materialize(scaled(panel).withColumn("target", F.try_divide("label", "f_prev")).dropna(), "panel")
-    pack = VectorAssembler(inputCols=list(RATIOS), outputCol="features", handleInvalid="skip")
-    model = RandomForestRegressor(featuresCol="features", labelCol="target", numTrees=trees, maxDepth=depth, seed=seed).fit(pack.transform(rows))
+    rows = materialize(_scaled(panel).withColumn("target", F.try_divide("label", "f_prev")).dropna(), "panel")
+    return RandomForestRegressor(featuresCol="features", labelCol="target", numTrees=trees, maxDepth=depth, seed=seed).fit(_packed(rows)), rows
+
+
+def roll_out(model, rows: DataFrame, start: str = "observed") -> DataFrame:
+    """symbol, model, step, yhat: thirty steps from each symbol's last row."""
     now = ind.latest(rows).select("symbol", "f_prev", "f_ma5", "f_ma10", "f_ma20", "f_rsi", "f_volume", "f_momentum", "label")
     if start == "next":
         now = now.withColumns({"f_prev": F.col("label"), **{f"f_ma{k}": (F.col(f"f_ma{k}") * (k - 1) + F.col("label")) / k for k in (5, 10, 20)}})
     now = now.withColumn("path", F.array().cast("array<double>")).drop("label")
     keep = now.columns
     for step in range(1, STEPS + 1):
-        out = model.transform(pack.transform(scaled(now))).withColumn("yhat", F.col("prediction") * F.col("f_prev"))
+        out = model.transform(_packed(_scaled(now))).withColumn("yhat", F.col("prediction") * F.col("f_prev"))
         now = out.withColumns({"path": F.array_append("path", F.col("yhat")), "f_prev": F.col("yhat"), **{f"f_ma{k}": (F.col(f"f_ma{k}") * (k - 1) + F.col("yhat")) / k for k in (5, 10, 20)}}).select(*keep)
         if step % 5 == 0:
             now = materialize(now, "rollout")
     return now.select("symbol", F.lit("forest").alias("model"), F.posexplode("path").alias("step", "yhat")).withColumn("step", F.col("step") + 1)
+
+
+def forest(bars: DataFrame, train_bars: int = 252, trees: int = 50, depth: int = 10, seed: int = 42, start: str = "observed") -> DataFrame:
+    """One forest for all symbols, on features free of scale, rolled out for 30 steps.
+
+    Prices are divided by the close before, and the predicted ratio is multiplied back. A step replaces the
+    close and updates the means as if the prediction had been observed; the other features stay. start
+    'observed' begins at the features of the last bar, 'next' at those after it.
+    """
+    return roll_out(*fit_forest(bars, train_bars, trees, depth, seed), start)

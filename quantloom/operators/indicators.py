@@ -30,12 +30,13 @@ def lookback_bars(bars: DataFrame, k: int) -> DataFrame:
     return bars.withColumn("_back", F.row_number().over(back)).where(F.col("_back") <= k).drop("_back")
 
 
-def lookback(bars: DataFrame, period: str, asof: str) -> DataFrame:
-    """Bars of a period before asof: 5d (five bars), 1mo, 3mo, 6mo, 1y, 5y."""
-    if period == "5d":
-        return lookback_bars(bars, 5)
-    months = {"1mo": 1, "3mo": 3, "6mo": 6, "1y": 12, "5y": 60}[period]
-    return bars.where(F.col("d") >= F.add_months(F.to_date(F.lit(asof)), -months))
+def lookbacks(bars: DataFrame, periods: list[str], asof: str) -> DataFrame:
+    """period and the bars of each period before asof: 5d (five bars), 1mo, 3mo, 6mo, 1y, 5y. One pass for all periods."""
+    months = {"1mo": 1, "3mo": 3, "6mo": 6, "1y": 12, "5y": 60}
+    back = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("d")))
+    since = lambda p: back <= 5 if p == "5d" else F.col("d") >= F.add_months(F.to_date(F.lit(asof)), -months[p])
+    held = F.array_compact(F.array(*[F.when(since(p), p) for p in periods]))
+    return bars.withColumn("_held", held).withColumn("period", F.explode("_held")).drop("_held")
 
 
 def rsi(bars: DataFrame, period: int = 14, out: str = "rsi") -> DataFrame:

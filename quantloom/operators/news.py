@@ -1,7 +1,14 @@
-"""News: routing, filters, relevance, merging of feeds."""
+"""News: routing, filters, relevance, merging of feeds.
+
+Queries are a user's few: pairs of (query, count), at most ``MAX_QUERIES``. They are literals of the plan, so that no join brings them
+to the articles. What is scored is cut to the first articles of each query before it is scored.
+"""
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +31,8 @@ STOP_WORDS = (
 ).split()
 TERM = "[a-z0-9_]{2,}"
 MAX_TERMS = 100
+MAX_QUERIES = 1000
+Queries = list[tuple[str, int]]
 
 
 def route(query: Column) -> Column:
@@ -38,13 +47,27 @@ def route(query: Column) -> Column:
 
 
 def keywords(category: Column) -> Column:
-    """Keywords of a category, null if it is not filtered."""
-    out = F.lit(None).cast("array<string>")
+    """Words of which one must occur: those of a category, the symbol itself for a symbol's news; null if nothing is filtered."""
+    out = F.when(F.startswith(category, F.lit("symbol:")), F.array(F.lower(F.substr(category, F.lit(8)))))
     for name, words in KEYWORDS.items():
-        out = F.when(category == name, F.array(*map(F.lit, words))).otherwise(out)
+        out = out.when(category == name, F.array(*map(F.lit, words)))
     return out
 
 
+def query_terms(query: str) -> dict[str, int]:
+    found = Counter(t for t in re.findall(TERM, query.lower(), re.ASCII) if t not in STOP_WORDS)
+    return dict(sorted(found.items()))
+
+
+def asked(rows: DataFrame, queries: Queries) -> DataFrame:
+    """Each row for each query: query, count, keywords (by its route) and tq (its terms and how often it has them)."""
+    if len(queries) > MAX_QUERIES:
+        raise ValueError(f"at most {MAX_QUERIES} queries at once")
+    terms = lambda q: F.array(*[F.struct(F.lit(t).alias("term"), F.lit(n).cast("long").alias("n")) for t, n in query_terms(q).items()]).cast("array<struct<term:string,n:bigint>>")
+    one = [F.struct(F.lit(q).alias("query"), F.lit(n).alias("count"), keywords(route(F.lit(q))).alias("keywords"), terms(q).alias("tq")) for q, n in queries]
+    return rows.withColumn("_q", F.explode(F.array(*one))).select("*", "_q.*").drop("_q")
+
+
 def recent(articles: DataFrame, asof: str, days: int = 7) -> DataFrame:
     """Articles of the last days; undated ones pass."""
     at = fn.published(F.col("published_at"))
@@ -63,80 +86,87 @@ def card(articles: DataFrame, asof: str) -> DataFrame:
     return articles.select("article_id", F.coalesce("title", F.lit("No title")).alias("title"), F.coalesce("description", F.lit("")).alias("description"), F.coalesce(F.col("source.name"), F.lit("Unknown")).alias("source_name"), feed.alias("feed_name"), F.coalesce("published_at", F.lit(asof)).alias("published_at"))
 
 
-def fetched(articles: DataFrame, queries: DataFrame, asof: str) -> DataFrame:
-    """query, count and its primary articles: routed, recent, filtered, the first ``count`` by position.
-
-    queries (query, count, keywords) are a user's few; recency is filtered before they meet the articles.
-    """
-    rows = recent(articles.where("feed = 'primary'"), asof).join(F.broadcast(queries), matches(F.col("title"), F.col("description"), F.col("keywords")))
-    return first_rows(rows)
+def fetched(articles: DataFrame, queries: Queries, asof: str) -> DataFrame:
+    """query, count and its primary articles: routed, recent, filtered, the first ``count`` by position."""
+    rows = asked(recent(articles.where("feed = 'primary'"), asof), queries)
+    return first_rows(rows.where(matches(F.col("title"), F.col("description"), F.col("keywords"))), F.col("count"))
 
 
-def first_rows(rows: DataFrame) -> DataFrame:
+def first_rows(rows: DataFrame, n: Column) -> DataFrame:
     order = Window.partitionBy("query").orderBy("pos")
-    return rows.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= F.col("count")).drop("_k")
+    return rows.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= n).drop("_k")
 
 
-def similarity(articles: DataFrame, queries: DataFrame) -> DataFrame:
-    """query, article_id, similarity: TF-IDF cosine of each pair, fitted on the two texts alone.
+def with_terms(articles: DataFrame, queries: Queries) -> DataFrame:
+    """ta: of each article the MAX_TERMS terms it has most often, ties by term, and those of the queries; with how often it has them.
 
-    With two texts a term of both has weight 1 and any other ln(1.5) + 1. Of each pair the 100 terms with the
-    largest counts take part, ties by term. Terms are runs of at least two ASCII letters, digits or underscores.
+    Terms are runs of at least two ASCII letters, digits or underscores, but for stop words. They are counted apart from the
+    queries, so their number does not multiply the terms.
     """
-    stop = F.array(*map(F.lit, STOP_WORDS))
-
-    def terms(df: DataFrame, key: str, text: Column, n: str) -> DataFrame:
-        found = F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
-        return df.select(key, F.explode(found).alias("term")).where(~F.array_contains(stop, F.col("term"))).groupBy(key, "term").agg(F.count("*").alias(n))
-
-    a = terms(articles, "article_id", F.concat_ws(" ", "title", F.coalesce("description", F.lit(""))), "ta")
-    q = terms(queries.select("query").distinct(), "query", F.col("query"), "tq")
-    ids, names = articles.select("article_id").distinct(), F.broadcast(queries.select("query").distinct())
-    of_article = a.crossJoin(names).select("query", "article_id", "term", "ta", F.lit(0).cast("long").alias("tq"))
-    of_query = ids.crossJoin(F.broadcast(q)).select("query", "article_id", "term", F.lit(0).cast("long").alias("ta"), "tq")
-    both = of_article.unionByName(of_query).groupBy("query", "article_id", "term").agg(F.sum("ta").alias("ta"), F.sum("tq").alias("tq"))
-    order = Window.partitionBy("query", "article_id").orderBy(F.desc(F.col("ta") + F.col("tq")), "term")
-    kept = both.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= MAX_TERMS)
-    weight = F.when((F.col("ta") > 0) & (F.col("tq") > 0), 1.0).otherwise(F.log(F.lit(1.5)) + 1)
-    norms = kept.withColumn("w", weight).groupBy("query", "article_id").agg(
-        F.sum(F.col("ta") * F.col("tq")).alias("dot"), F.sum((F.col("ta") * F.col("w")) ** 2).alias("na"), F.sum((F.col("tq") * F.col("w")) ** 2).alias("nq")
-    )
-    cosine = F.when((F.col("na") > 0) & (F.col("nq") > 0), F.col("dot") / (F.sqrt("na") * F.sqrt("nq"))).otherwise(0.0)
-    pairs = ids.crossJoin(names)
-    return pairs.join(norms.select("query", "article_id", cosine.alias("similarity")), ["query", "article_id"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
+    stop, wanted = F.array(*map(F.lit, STOP_WORDS)), F.array(*map(F.lit, sorted({t for q, _ in queries for t in query_terms(q)} or {""})))
+    text = F.lower(F.concat_ws(" ", "title", F.coalesce("description", F.lit(""))))
+    each = articles.select("article_id", F.explode(F.regexp_extract_all(text, F.lit(TERM), F.lit(0))).alias("term")).where(~F.array_contains(stop, F.col("term")))
+    counted = each.groupBy("article_id", "term").agg(F.count("*").alias("n")).withColumn("_k", F.row_number().over(Window.partitionBy("article_id").orderBy(F.desc("n"), "term")))
+    kept = counted.where((F.col("_k") <= MAX_TERMS) | F.array_contains(wanted, F.col("term"))).groupBy("article_id").agg(F.collect_list(F.struct("term", "n")).alias("ta"))
+    return articles.join(kept, "article_id", "left").withColumn("ta", F.coalesce("ta", F.array().cast("array<struct<term:string,n:bigint>>")))
+
 
+def cosine(ta: Column, tq: Column) -> Column:
+    """TF-IDF cosine of an article's and a query's terms, fitted on the two texts alone.
 
-def relevance(articles: DataFrame, queries: DataFrame, asof: str) -> DataFrame:
-    """similarity plus boosts for query words and important words in the title, and for recency."""
-    rows = similarity(articles, queries).join(articles.select("article_id", "title", "published_at", "pos"), "article_id")
+    With two texts a term of both has weight 1 and any other ln(1.5) + 1. Of each pair the MAX_TERMS terms with the
+    largest counts take part, ties by term.
+    """
+    n_in = lambda terms, t: F.aggregate(terms, F.lit(0).cast("long"), lambda n, x: n + F.when(x["term"] == t, x["n"]).otherwise(0))
+    entry = lambda t, a, q: F.struct((-(a + q)).alias("rank"), t.alias("term"), a.alias("a"), q.alias("q"))
+    of_article = F.transform(ta, lambda x: entry(x["term"], x["n"], n_in(tq, x["term"])))
+    of_query = F.transform(F.filter(tq, lambda x: n_in(ta, x["term"]) == 0), lambda x: entry(x["term"], F.lit(0).cast("long"), x["n"]))
+    kept = F.slice(F.sort_array(F.concat(of_article, of_query)), 1, MAX_TERMS)
+    weight = lambda x: F.when((x["a"] > 0) & (x["q"] > 0), 1.0).otherwise(F.log(F.lit(1.5)) + 1)
+    total = lambda f: F.aggregate(kept, F.lit(0.0), lambda s, x: s + f(x))
+    dot, na, nq = total(lambda x: (x["a"] * x["q"]).cast("double")), total(lambda x: (x["a"] * weight(x)) ** 2), total(lambda x: (x["q"] * weight(x)) ** 2)
+    return F.when((na > 0) & (nq > 0), dot / (F.sqrt(na) * F.sqrt(nq))).otherwise(0.0)
+
+
+def similarity(articles: DataFrame, queries: Queries) -> DataFrame:
+    """query, article_id, similarity of each pair."""
+    return asked(with_terms(articles, queries), queries).select("query", "article_id", cosine(F.col("ta"), F.col("tq")).alias("similarity"))
+
+
+def scored(rows: DataFrame, asof: str) -> DataFrame:
+    """rows of asked() with ta: similarity and relevance, which adds boosts for query words and important words in the title, and for recency.
+
+    An article without title has relevance 0.5.
+    """
     title = F.lower("title")
     words = F.filter(F.split(F.lower("query"), r"\s+"), lambda w: (F.length(w) > 3) & F.contains(title, w))
     known = F.filter(F.array(*map(F.lit, IMPORTANT)), lambda w: F.contains(title, w))
-    at = fn.published(F.col("published_at"))
-    age = F.floor((F.unix_timestamp(F.to_timestamp(F.lit(asof))) - F.unix_timestamp(at)) / 86400)
+    age = F.floor((F.unix_timestamp(F.to_timestamp(F.lit(asof))) - F.unix_timestamp(fn.published(F.col("published_at")))) / 86400)
     boost = F.coalesce(F.when(age <= 1, 0.3).when(age <= 3, 0.2), F.lit(0.0))
-    return rows.withColumn("relevance", F.col("similarity") + 0.2 * F.size(words) + 0.1 * F.size(known) + boost)
+    rows = rows.withColumn("similarity", cosine(F.col("ta"), F.col("tq"))).drop("ta", "tq")
+    return rows.withColumn("relevance", F.when(F.col("title").isNull(), 0.5).otherwise(F.col("similarity") + 0.2 * F.size(words) + 0.1 * F.size(known) + boost))
+
+
+def relevance(articles: DataFrame, queries: Queries, asof: str) -> DataFrame:
+    """query, article_id, similarity, relevance of each pair, with the article's columns."""
+    return scored(asked(with_terms(articles, queries), queries), asof)
 
 
-def top_relevant(scored: DataFrame, k: int) -> DataFrame:
-    """Of each query's first 3 k articles by position, the k most relevant; ties by id."""
-    first = Window.partitionBy("query").orderBy("pos")
+def top_relevant(articles: DataFrame, queries: Queries, asof: str) -> DataFrame:
+    """Of each query's first 3 * count articles by position, the ``count`` most relevant; ties by id."""
+    # All queries have the same articles, so those beyond the largest count are left out before any are scored.
+    first = articles.orderBy("pos").limit(3 * max((n for _, n in queries), default=0))
+    rows = first_rows(asked(with_terms(first, queries), queries), 3 * F.col("count"))
     best = Window.partitionBy("query").orderBy(F.desc(F.round("relevance", 9)), "article_id")
-    few = scored.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= 3 * k)
-    return few.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("_k")
+    return scored(rows, asof).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= F.col("count"))
 
 
-def merged(articles: DataFrame, queries: DataFrame, asof: str, enough: int = 5) -> DataFrame:
+def merged(articles: DataFrame, queries: Queries, asof: str, enough: int = 5) -> DataFrame:
     """query, rank, article_id, feed: primary articles, and where they are few the backup feed's best after them, without repeated titles."""
-    primary = fetched(articles, queries, asof).select("query", "count", "article_id", "title", "feed", "pos")
-    n = primary.groupBy("query").agg(F.count("*").alias("n"))
-    few = queries.join(n, "query", "left").where((F.coalesce("n", F.lit(0)) < enough) & ~F.lower("query").isin(GENERAL)).select("query", "count")
-    scored = relevance(articles.where("feed = 'backup'"), queries, asof).join(F.broadcast(few), "query")
-    first, best = Window.partitionBy("query").orderBy("pos"), Window.partitionBy("query").orderBy(F.desc(F.round("relevance", 9)), "article_id")
-    backup = scored.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= 3 * F.col("count")).withColumn("pos", F.row_number().over(best).cast("long")).where(F.col("pos") <= F.col("count"))
-    both = primary.withColumn("r", F.lit(0)).unionByName(backup.select("query", "count", "article_id", "title", F.lit("backup").alias("feed"), "pos").withColumn("r", F.lit(1)))
-    both = both.join(F.broadcast(few.select("query", F.lit(True).alias("few"))), "query", "left")
+    query = Window.partitionBy("query")
+    primary = fetched(articles, queries, asof).select("query", "count", "article_id", "title", "pos", F.lit("primary").alias("feed"), F.lit(0).alias("r"))
+    backup = top_relevant(articles.where("feed = 'backup'"), queries, asof).select("query", "count", "article_id", "title", F.col("rank").cast("long").alias("pos"), F.lit("backup").alias("feed"), F.lit(1).alias("r"))
+    both = primary.unionByName(backup).withColumn("few", (F.count_if(F.col("r") == 0).over(query) < enough) & ~F.lower("query").isin(GENERAL)).where("r = 0 or few")
     same = Window.partitionBy("query", F.when(F.col("few"), F.lower("title")).otherwise(F.col("article_id").cast("string"))).orderBy("r", "pos")
     once = both.withColumn("_k", F.row_number().over(same)).where("_k = 1")
-    order = Window.partitionBy("query").orderBy("r", "pos")
-    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("count")).select("query", "rank", "article_id", "feed")
+    return once.withColumn("rank", F.row_number().over(query.orderBy("r", "pos"))).where(F.col("rank") <= F.col("count")).select("query", "rank", "article_id", "feed")

@@ -5,14 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_BROADCAST = 2_000_000
-
-
-def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST) -> DataFrame:
-    """Broadcast hint if df is counted to be small, else a shuffle join."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def price(default: Column) -> Column:
     return F.coalesce("currentPrice", "regularMarketPrice", default)
 
@@ -23,7 +15,7 @@ def valued(positions: DataFrame, quotes: DataFrame) -> DataFrame:
     A position whose quote has no price is valued at its buying price; one without any quote row is shown at
     cost and marked as not counted.
     """
-    q = small_side(quotes.select("symbol", "currentPrice", "regularMarketPrice").withColumn("counted", F.lit(True)))
+    q = quotes.select("symbol", "currentPrice", "regularMarketPrice").withColumn("counted", F.lit(True))
     df = positions.where("shares >= 0.001").join(q, "symbol", "left").withColumn("counted", F.coalesce("counted", F.lit(False)))
     df = df.withColumn("price", price(F.col("buy_price"))).withColumn("value", F.col("price") * F.col("shares")).withColumn("cost", F.col("buy_price") * F.col("shares"))
     gain = F.col("value") - F.col("cost")
@@ -71,7 +63,7 @@ def universe(constituents: DataFrame, fallback: list[tuple[str, str]], popular:
 def symbol_search(symbols: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """query, rank, symbol: the first k symbols in order that hold each query; none for an empty query."""
     q = queries.select("query", F.upper(F.trim("query")).alias("_q")).where("_q <> ''")
-    found = symbols.join(F.broadcast(q), F.col("symbol").contains(F.col("_q")))  # the queries are one user's few
+    found = symbols.join(q, F.col("symbol").contains(F.col("_q")))  # the queries are one user's few
     order = Window.partitionBy("query").orderBy("symbol")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", "rank", "symbol")
 

@@ -80,7 +80,7 @@ PARTS = {
         "q AS (SELECT s_suppkey AS symbol, s_name AS name, CASE WHEN s_suppkey % 5 <> 0 THEN last END AS cur, CASE WHEN s_suppkey % 10 <> 0 THEN last END AS reg, (last / prev - 1) * 100 AS change, volume, s_acctbal * 1e6 AS mcap, "
         "CASE WHEN s_suppkey % 9 <> 0 THEN s_acctbal / 200 END AS pe, s_acctbal / 1e3 AS eps, CASE WHEN s_suppkey % 7 <> 0 THEN (s_suppkey * 23 % 40) / 1e1 - 0.5e0 END AS peg, "
         "CASE WHEN s_suppkey % 11 <> 0 THEN (s_suppkey * 37 % 61 - 20) / 1e2 END AS growth, CASE WHEN s_suppkey % 13 <> 0 THEN (s_suppkey * 17 % 41 - 10) / 1e2 END AS margin, CASE WHEN s_suppkey % 3 <> 0 THEN (s_suppkey % 6) / 1e2 END AS yield, hi, lo, "
-        "r_name AS sector, n_name AS industry, CASE WHEN s_suppkey % 8 <> 0 THEN s_suppkey * 100 END AS staff FROM supplier LEFT JOIN recent ON symbol = s_suppkey LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey WHERE s_suppkey % 17 <> 16)"
+        "r_name AS sector, n_name AS industry, CASE WHEN s_suppkey % 8 <> 0 THEN s_suppkey * 100 END AS staff FROM supplier LEFT JOIN recent ON symbol = s_suppkey LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey)"
     ),
     "pos": "pos AS (SELECT o_custkey AS portfolio_id, l_suppkey AS symbol, l_quantity AS shares, px AS buy_price FROM lots JOIN orders ON l_orderkey = o_orderkey)",
     "val": (
@@ -98,7 +98,7 @@ PARTS = {
         "(SELECT ind.*, coalesce(q.cur, q.reg) AS price, q.pe FROM ind LEFT JOIN q ON q.symbol = ind.symbol WHERE n = cnt))"
     ),
     "art": (
-        f"art AS (SELECT doc_id AS article_id, substr(split_part(text, chr(10), 1), 1, 120) AS title, CASE WHEN doc_id % 3 = 0 THEN '<p>' || substr(text, 1, 400) || '</p>' WHEN doc_id % 5 = 0 THEN substr(text, 1, 10) ELSE substr(text, 1, 400) END AS description, "
+        f"art AS (SELECT doc_id AS article_id, split_part(text, chr(10), 1) AS title, CASE WHEN doc_id % 3 = 0 THEN '<p>' || text || '</p>' ELSE text END AS description, "
         f"CASE WHEN doc_id % 19 <> 0 THEN source END AS source_name, CASE WHEN doc_id % 23 <> 0 THEN TIMESTAMP '{ASOF_NEWS}' - to_hours(CAST(doc_id % 400 AS INTEGER)) END AS pub, doc_id % 400 AS hours, CASE WHEN doc_id % 2 = 0 THEN 'primary' ELSE 'backup' END AS feed, doc_id AS pos, lang, "
         f"CASE WHEN doc_id % 23 = 0 THEN 'unknown' WHEN doc_id % 4 = 1 THEN strftime(TIMESTAMP '{ASOF_NEWS}' - to_hours(CAST(doc_id % 400 AS INTEGER)), '%a, %d %b %Y %H:%M:%S GMT') ELSE strftime(TIMESTAMP '{ASOF_NEWS}' - to_hours(CAST(doc_id % 400 AS INTEGER)), '%Y-%m-%dT%H:%M:%SZ') END AS published_at FROM documents)"
     ),
@@ -126,11 +126,11 @@ def sql(names: str, body: str, more: str = "", recursive: bool = False) -> str:
     return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts) + "\n" + body
 
 
-def query_rows(rows: list[tuple]) -> str:
-    """VALUES of (query, count, keywords)."""
+def query_rows(rows: list[tuple[str, int]]) -> str:
+    """qs(query, count, keywords), with keywords by the route."""
     text = lambda s: "'" + s.replace("'", "''") + "'"
-    kw = lambda k: "CAST(NULL AS VARCHAR[])" if k is None else "[" + ", ".join(map(text, k)) + "]"
-    return "qs(query, count, keywords) AS (VALUES " + ", ".join(f"({text(a)}, {n}, {kw(k)})" for a, n, k in rows) + ")"
+    values = ", ".join(f"({text(q)}, {n})" for q, n in rows)
+    return f"qs AS (SELECT query, count, {keyword_sql('category')} AS keywords FROM (SELECT query, count, {route_sql('query')} AS category FROM (VALUES {values}) v(query, count)))"
 
 
 def route_sql(c: str) -> str:
@@ -142,7 +142,7 @@ def route_sql(c: str) -> str:
 
 
 def keyword_sql(c: str) -> str:
-    return _first([(f"{c} = '{k}'", "[" + ", ".join(f"'{w}'" for w in v) + "]") for k, v in KEYWORDS.items()], "NULL")
+    return _first([(f"starts_with({c}, 'symbol:')", f"[lower(substr({c}, 8))]")] + [(f"{c} = '{k}'", "[" + ", ".join(f"'{w}'" for w in v) + "]") for k, v in KEYWORDS.items()], "NULL")
 
 
 MATCH = "(keywords IS NULL OR len(list_filter(keywords, lambda k: contains(lower(coalesce(title, '')), k) OR contains(lower(coalesce(description, '')), k))) > 0)"
@@ -160,10 +160,10 @@ bt AS (SELECT query, article_id, term, sum(ta) AS ta, sum(tq) AS tq FROM (SELECT
 kt AS (SELECT *, CASE WHEN ta > 0 AND tq > 0 THEN 1e0 ELSE ln(1.5e0) + 1 END AS w FROM (SELECT *, row_number() OVER (PARTITION BY query, article_id ORDER BY ta + tq DESC, term) AS k FROM bt) WHERE k <= 100),
 nm AS (SELECT query, article_id, sum(ta * tq) AS dot, sum((ta * w) ** 2) AS na, sum((tq * w) ** 2) AS nq FROM kt GROUP BY ALL),
 sim AS (SELECT pr.query, pr.article_id, coalesce(CASE WHEN na > 0 AND nq > 0 THEN dot / (sqrt(na) * sqrt(nq)) ELSE 0e0 END, 0e0) AS similarity FROM pr LEFT JOIN nm ON nm.query = pr.query AND nm.article_id = pr.article_id),
-rel AS (SELECT sim.query, sim.article_id, similarity, title, pos, similarity
+rel AS (SELECT sim.query, sim.article_id, similarity, title, pos, CASE WHEN title IS NULL THEN 0.5e0 ELSE similarity
   + 0.2e0 * len(list_filter(regexp_split_to_array(lower(sim.query), '\\s+'), lambda w: length(w) > 3 AND contains(lower(title), w)))
   + 0.1e0 * len(list_filter([{", ".join(f"'{w}'" for w in IMPORTANT)}], lambda w: contains(lower(title), w)))
-  + coalesce(CASE WHEN pub IS NULL THEN NULL WHEN floor(hours / 24e0) <= 1 THEN 0.3e0 WHEN floor(hours / 24e0) <= 3 THEN 0.2e0 END, 0e0) AS relevance
+  + coalesce(CASE WHEN pub IS NULL THEN NULL WHEN floor(hours / 24e0) <= 1 THEN 0.3e0 WHEN floor(hours / 24e0) <= 3 THEN 0.2e0 END, 0e0) END AS relevance
   FROM sim JOIN {articles} a ON a.article_id = sim.article_id)"""
 
 

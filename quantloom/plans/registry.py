@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom import schemas
 from quantloom.functions import text as fn
 from quantloom.operators import cards, forecast, news, portfolio, scan
 from quantloom.operators import indicators as ind
@@ -21,8 +20,8 @@ SEARCHES = [" blue", "red", "AL", "", "zzz", "o-m"]
 POPULAR = ["PLTR", "COIN", "SNOW"]
 FALLBACK = [("dow", "AXP"), ("dow", "BA"), ("sp500", "MMM")]
 ROUTES = ["financial markets economy stocks", "technology stocks", "healthcare pharma stocks", "energy oil gas stocks", "banking finance stocks", "mergers acquisitions", "food beverage consumer stocks", "AAPL stock"]
-#: query, count, keywords: words that occur in the articles.
-NEWS = [("the reading that", 8, ["reading", "tion"]), ("thand erting with market", 20, None), ("all", 10, ["hea"]), ("no such words here", 10, ["qqqqqq"])]
+#: query, count: of categories, of all news, and of symbols that occur in the articles and that do not.
+NEWS = [("mergers acquisitions", 8), ("energy oil gas stocks", 20), ("all", 10), ("REA stock", 20), ("QQQQ stock with reading that", 10)]
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
@@ -77,12 +76,7 @@ def last_close(spark, sf):
     + ["SELECT '5d' AS period, symbol, d, open, high, low, close, volume FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY d DESC) AS b FROM bars) WHERE b <= 5"]
 )))
 def bars_lookback(spark, sf):
-    bars = src.bars_long(spark, sf)
-    every = [ind.lookback(bars, p, ASOF_BARS).select(F.lit(p).alias("period"), "symbol", "d", "open", "high", "low", "close", "volume") for p in ("1mo", "3mo", "6mo", "1y", "5y", "5d")]
-    out = every[0]
-    for df in every[1:]:
-        out = out.unionByName(df)
-    return out
+    return ind.lookbacks(src.bars_long(spark, sf), ["1mo", "3mo", "6mo", "1y", "5y", "5d"], ASOF_BARS).select("period", "symbol", "d", "open", "high", "low", "close", "volume")
 
 
 @query("quotes_snapshot", o.sql("q", f"SELECT symbol, name AS \"longName\", cur AS \"currentPrice\", reg AS \"regularMarketPrice\", {_r('change', 'change_pct')}, volume, pe, peg, hi, lo, sector, industry, CAST(staff AS DOUBLE) AS staff FROM q"))
@@ -274,7 +268,7 @@ def holdings_filter(spark, sf):
 @query("holdings_signals", o.sql("pos sig", f"SELECT portfolio_id, pos.symbol, shares, {_LABEL} FROM pos JOIN sig ON sig.symbol = pos.symbol"))
 def holdings_signals(spark, sf):
     signals = _signals(spark, sf).select("symbol", "signal")
-    return src.positions(spark, sf).join(portfolio.small_side(signals), "symbol").select("portfolio_id", "symbol", "shares", "signal")
+    return src.positions(spark, sf).join(signals, "symbol").select("portfolio_id", "symbol", "shares", "signal")
 
 
 @query("watchlist_semi", o.sql("pos watch", "SELECT pos.* FROM pos WHERE EXISTS (SELECT 1 FROM watch w WHERE w.portfolio_id = pos.portfolio_id AND w.symbol = pos.symbol)"))
@@ -292,15 +286,11 @@ def watchlist_state(spark, sf):
     return portfolio.watchlist_state(src.watchlist_log(spark, sf))
 
 
-@query("portfolio_json_roundtrip")
+@query("portfolio_json_roundtrip", o.sql("pos", "SELECT CAST(symbol AS VARCHAR) AS symbol, shares, buy_price FROM pos"))
 def portfolio_json_roundtrip(spark, sf):
     path = src.shared_path(spark, "portfolio-json")
-    record = F.struct(F.col("symbol").cast("string").alias("symbol"), "shares", "buy_price")
-    lists = src.positions(spark, sf).groupBy("portfolio_id").agg(F.to_json(F.collect_list(record)).alias("value"))
-    lists.select("value").write.text(path, lineSep="\n")
-    # One list a line here, so the tolerant reader's parse is applied to lines.
-    rows = spark.read.text(path).where(F.trim("value").startswith("[")).select(F.explode(F.from_json("value", schemas.POSITION_JSON)).alias("r"))
-    return rows.select("r.*")
+    src.write_json(src.positions(spark, sf).withColumn("symbol", F.col("symbol").cast("string")), path, "portfolio_id")
+    return src.json_list(spark, path, whole=False)
 
 
 # ---- universe
@@ -358,24 +348,15 @@ def market_open(spark, sf):
 _QS = o.query_rows(NEWS)
 
 
-def _news_queries(spark):
-    return spark.createDataFrame(NEWS, "query string, count int, keywords array<string>")
-
-
-def _english(spark, sf):
-    return src.articles(spark, sf).where("lang = 'en'")
-
-
 @query("news_recent", o.sql("art", f"SELECT article_id, feed FROM art WHERE {o.RECENT}"))
 def news_recent(spark, sf):
     return news.recent(src.articles(spark, sf), ASOF_NEWS).select("article_id", "feed")
 
 
-@query("news_route", "WITH r(query) AS (VALUES " + ", ".join(f"('{r}')" for r in ROUTES) + f"), c AS (SELECT query, {o.route_sql('query')} AS category FROM r), a AS (SELECT lang, count(*) AS articles FROM documents GROUP BY lang) SELECT query, category, array_to_string({o.keyword_sql('category')}, ',') AS keywords, lang, articles FROM c CROSS JOIN a")
+@query("news_route", o.sql("art", f"SELECT query, any_value({o.route_sql('query')}) AS category, array_to_string(any_value(keywords), ',') AS keywords, count(article_id) AS articles, coalesce(min(pos), -1) AS first_pos FROM qs LEFT JOIN art ON {o.MATCH} GROUP BY query", o.query_rows([(r, 10) for r in ROUTES])))
 def news_route(spark, sf):
-    queries_ = spark.createDataFrame([(r,) for r in ROUTES], "query string").withColumn("category", news.route(F.col("query")))
-    by_lang = src.articles(spark, sf).groupBy("lang").agg(F.count("*").alias("articles"))
-    return by_lang.crossJoin(F.broadcast(queries_)).select("query", "category", F.array_join(news.keywords(F.col("category")), ",").alias("keywords"), "lang", "articles")
+    found = news.asked(src.articles(spark, sf), [(r, 10) for r in ROUTES]).withColumn("ok", news.matches(F.col("title"), F.col("description"), F.col("keywords")))
+    return found.groupBy("query").agg(news.route(F.first("query")).alias("category"), F.array_join(F.first("keywords"), ",").alias("keywords"), F.count_if("ok").alias("articles"), F.coalesce(F.min(F.when(F.col("ok"), F.col("pos"))), F.lit(-1).cast("long")).alias("first_pos"))
 
 
 _FETCHED = f"fet AS (SELECT * FROM (SELECT query, count, article_id, title, pos, row_number() OVER (PARTITION BY query ORDER BY pos) AS k FROM art JOIN qs ON {o.MATCH} WHERE feed = 'primary' AND {o.RECENT}) WHERE k <= count)"
@@ -383,13 +364,13 @@ _FETCHED = f"fet AS (SELECT * FROM (SELECT query, count, article_id, title, pos,
 
 @query("news_category", o.sql("art", "SELECT query, article_id, CAST(pos AS BIGINT) AS pos FROM fet", _QS + ",\n" + _FETCHED))
 def news_category(spark, sf):
-    return news.fetched(src.articles(spark, sf), _news_queries(spark), ASOF_NEWS).select("query", "article_id", "pos")
+    return news.fetched(src.articles(spark, sf), NEWS, ASOF_NEWS).select("query", "article_id", "pos")
 
 
 @query("news_category_match", o.sql("art", f"SELECT article_id, query FROM art JOIN qs ON keywords IS NOT NULL AND {o.MATCH}", _QS))
 def news_category_match(spark, sf):
-    q = _news_queries(spark).where("keywords is not null")
-    return src.articles(spark, sf).join(F.broadcast(q), news.matches(F.col("title"), F.col("description"), F.col("keywords"))).select("article_id", "query")
+    rows = news.asked(src.articles(spark, sf), NEWS).where("keywords is not null")
+    return rows.where(news.matches(F.col("title"), F.col("description"), F.col("keywords"))).select("article_id", "query")
 
 
 _CLEAN = "replace(replace(replace(replace(replace(replace(description, '<![CDATA[', ''), ']]>', ''), '<p>', ''), '</p>', ''), '<br>', ' '), '<br/>', ' ')"
@@ -414,23 +395,22 @@ def news_card(spark, sf):
     return news.card(src.articles(spark, sf), ASOF_NEWS)
 
 
-_EN = "en AS (SELECT * FROM art WHERE lang = 'en')"
-_SIM = _QS + ",\n" + _EN + "," + o.similarity_parts("en")
+_SIM = _QS + "," + o.similarity_parts("art")
 
 
 @query("news_similarity", o.sql("art", f"SELECT query, article_id, {_r('similarity')} FROM sim", _SIM))
 def news_similarity(spark, sf):
-    return news.similarity(_english(spark, sf), _news_queries(spark)).select("query", "article_id", r4("similarity", "similarity"))
+    return news.similarity(src.articles(spark, sf), NEWS).select("query", "article_id", r4("similarity", "similarity"))
 
 
 @query("news_relevance", o.sql("art", f"SELECT query, article_id, {_r('relevance')} FROM rel", _SIM))
 def news_relevance(spark, sf):
-    return news.relevance(_english(spark, sf), _news_queries(spark), ASOF_NEWS).select("query", "article_id", r4("relevance", "relevance"))
+    return news.relevance(src.articles(spark, sf), NEWS, ASOF_NEWS).select("query", "article_id", r4("relevance", "relevance"))
 
 
-@query("news_relevance_topk", o.sql("art", "SELECT query, CAST(rank AS INTEGER) AS rank, article_id FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(relevance, 9) DESC, article_id) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY pos) AS k FROM rel) WHERE k <= 60) WHERE rank <= 20", _SIM))
+@query("news_relevance_topk", o.sql("art", "SELECT query, CAST(rank AS INTEGER) AS rank, article_id FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(relevance, 9) DESC, article_id) AS rank FROM (SELECT rel.*, count, row_number() OVER (PARTITION BY rel.query ORDER BY pos) AS k FROM rel JOIN qs ON qs.query = rel.query) WHERE k <= 3 * count) WHERE rank <= count", _SIM))
 def news_relevance_topk(spark, sf):
-    return news.top_relevant(news.relevance(_english(spark, sf), _news_queries(spark), ASOF_NEWS), 20).select("query", "rank", "article_id")
+    return news.top_relevant(src.articles(spark, sf), NEWS, ASOF_NEWS).select("query", "rank", "article_id")
 
 
 _MERGED = f""",
@@ -442,7 +422,7 @@ on_ AS (SELECT * FROM (SELECT un.*, row_number() OVER (PARTITION BY un.query, CA
 
 @query("news_merge", o.sql("art", "SELECT query, CAST(rank AS INTEGER) AS rank, article_id, feed FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY r, pos) AS rank FROM on_) WHERE rank <= count", _QS + ",\nbak AS (SELECT * FROM art WHERE feed = 'backup')," + o.similarity_parts("bak") + ",\n" + _FETCHED + _MERGED))
 def news_merge(spark, sf):
-    return news.merged(src.articles(spark, sf), _news_queries(spark), ASOF_NEWS)
+    return news.merged(src.articles(spark, sf), NEWS, ASOF_NEWS)
 
 
 # ---- forecasts
@@ -511,11 +491,11 @@ def stream_market_hours(spark, sf):
     return streams.run_to_files(streams.market_hours(streams.tick_stream(spark, sf)), "hours").select("event_id")
 
 
-@query("stream_news_dedup")
+@query("stream_news_dedup", o.sql("art", "SELECT DISTINCT 'all' AS query, lower(title) AS title_lc FROM art WHERE pub IS NOT NULL"))
 def stream_news_dedup(spark, sf):
     path = src.shared_path(spark, "news")
     rows = src.articles(spark, sf).withColumn("ts", fn.published(F.col("published_at"))).where("ts is not null")
     rows.select(F.lit("all").alias("query"), "article_id", "title", "ts").write.parquet(path)
     schema = "query string, article_id long, title string, ts timestamp"
     df = streams.run_to_files(streams.title_dedup(spark.readStream.schema(schema).parquet(path)), "news-once")
-    return df.select("query", "article_id", "title_lc")
+    return df.select("query", "title_lc")  # which of a title's articles comes first is up to the order of arrival

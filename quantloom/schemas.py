@@ -1,14 +1,5 @@
-"""Fixed schemas of the market and news tables."""
+"""Fixed schemas of the JSON files; Parquet tables bring their own."""
 
 from __future__ import annotations
 
-BARS = "symbol long, d date, open double, high double, low double, close double, volume double"
-QUOTES = (
-    "symbol long, longName string, currentPrice double, regularMarketPrice double, regularMarketChangePercent double, volume double, marketCap double, "
-    "trailingPE double, trailingEps double, pegRatio double, earningsGrowth double, profitMargins double, dividendYield double, fiftyTwoWeekHigh double, "
-    "fiftyTwoWeekLow double, sector string, industry string, fullTimeEmployees long"
-)
-POSITIONS = "portfolio_id long, symbol long, shares double, buy_price double"
-WATCHLIST = "portfolio_id long, symbol long"
-ARTICLES = "article_id long, title string, description string, source struct<name:string>, published_at string, feed string, pos long"
 POSITION_JSON = "array<struct<symbol:string,shares:double,buy_price:double>>"

@@ -18,8 +18,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; on one machine a folder of its own."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir, or setCheckpointDir); on one machine a folder of its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all machines share")
+    base = base or "file:///tmp/checkpoints"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -57,7 +60,7 @@ def _unless(condition: Column, value: Column) -> Column:
 
 
 def quotes(spark: SparkSession, sf_dir: str, bars: DataFrame | None = None) -> DataFrame:
-    """One snapshot row an instrument; some instruments have none, and any field can be missing."""
+    """One snapshot row an instrument; any field can be missing."""
     bars = bars_long(spark, sf_dir) if bars is None else bars
     back = Window.partitionBy("symbol").orderBy(F.desc("d"))
     recent = bars.withColumn("back", F.row_number().over(back)).where("back <= 252").groupBy("symbol").agg(
@@ -67,7 +70,7 @@ def quotes(spark: SparkSession, sf_dir: str, bars: DataFrame | None = None) -> D
     s = F.col("s_suppkey")
     nation, region = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
     places = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left").select("n_nationkey", "n_name", "r_name")  # 25 rows
-    rows = read(spark, sf_dir, "supplier").where(s % 17 != 16).join(recent, s == F.col("symbol"), "left").join(F.broadcast(places), F.col("s_nationkey") == F.col("n_nationkey"), "left")
+    rows = read(spark, sf_dir, "supplier").join(recent, s == F.col("symbol"), "left").join(F.broadcast(places), F.col("s_nationkey") == F.col("n_nationkey"), "left")
     return rows.select(
         s.alias("symbol"), F.col("s_name").alias("longName"), _unless(s % 5 == 0, F.col("last")).alias("currentPrice"), _unless(s % 10 == 0, F.col("last")).alias("regularMarketPrice"),
         ((F.try_divide("last", "prev") - 1) * 100).alias("regularMarketChangePercent"), "volume", (F.col("s_acctbal") * 1e6).alias("marketCap"),
@@ -107,8 +110,7 @@ def articles(spark: SparkSession, sf_dir: str, asof: str = ASOF_NEWS) -> DataFra
     i, text = F.col("doc_id"), F.col("text")
     at = F.to_timestamp(F.lit(asof)) - F.make_interval(hours=(i % 400).cast("int"))
     return read(spark, sf_dir, "documents").select(
-        i.alias("article_id"), F.substring(F.substring_index(text, "\n", 1), 1, 120).alias("title"),
-        F.when(i % 3 == 0, F.concat(F.lit("<p>"), F.substring(text, 1, 400), F.lit("</p>"))).when(i % 5 == 0, F.substring(text, 1, 10)).otherwise(F.substring(text, 1, 400)).alias("description"),
+        i.alias("article_id"), F.substring_index(text, "\n", 1).alias("title"), F.when(i % 3 == 0, F.concat(F.lit("<p>"), text, F.lit("</p>"))).otherwise(text).alias("description"),
         F.struct(F.when(i % 19 != 0, F.col("source")).alias("name")).alias("source"),
         F.when(i % 23 == 0, "unknown").when(i % 4 == 1, F.date_format(at, "EEE, dd MMM yyyy HH:mm:ss 'GMT'")).otherwise(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("published_at"),
         F.when(i % 2 == 0, "primary").otherwise("backup").alias("feed"), i.alias("pos"), "lang",
@@ -119,17 +121,18 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select(F.col("user_id").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), "event_id")
 
 
-def json_list(spark: SparkSession, path: str, schema: str = schemas.POSITION_JSON) -> DataFrame:
-    """Records of JSON files that hold one list each; missing, malformed or other content gives no rows."""
+def json_list(spark: SparkSession, path: str, schema: str = schemas.POSITION_JSON, whole: bool = True) -> DataFrame:
+    """Records of JSON lists, one a file, or one a line if not whole; missing, malformed or other content gives no rows."""
     empty = spark.createDataFrame([], "value string")
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-    text = spark.read.text(path, wholetext=True) if there else empty
+    text = spark.read.text(path, wholetext=whole) if there else empty
     rows = text.where(F.trim("value").startswith("[")).select(F.explode(F.from_json("value", schema, {"mode": "PERMISSIVE"})).alias("record"))
     return rows.select("record.*") if "struct" in schema else rows.select(F.col("record").alias("symbol"))
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    """Replace what is at path, which df must not read from."""
-    df.write.mode("overwrite").json(path)
+def write_json(df: DataFrame, path: str, by: str) -> None:
+    """One JSON list of records a line for each value of ``by``, such as a portfolio. Replaces what is at path, which df must not read from."""
+    records = F.to_json(F.collect_list(F.struct(*[c for c in df.columns if c != by])))
+    df.groupBy(by).agg(records.alias("value")).select("value").write.mode("overwrite").text(path)

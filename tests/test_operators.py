@@ -1,6 +1,10 @@
 """Golden cases, rule branches and properties of the analytics operators."""
 
 import datetime as dt
+import math
+import os
+import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +13,7 @@ from quantloom.functions import text as fn
 from quantloom.operators import cards, forecast, news, portfolio, scan
 from quantloom.operators import indicators as ind
 from quantloom.sources import market as src
+from quantloom.streaming import streams
 
 START = dt.date(2001, 1, 1)
 
@@ -154,11 +159,102 @@ def test_time_ago_future_is_now(spark):
 
 def test_relevance_without_terms_is_zero(spark):
     articles = spark.createDataFrame([(1, "the and", "of"), (2, "market news", None)], "article_id long, title string, description string")
-    queries = spark.createDataFrame([("market",)], "query string")
-    got = {r.article_id: r.similarity for r in news.similarity(articles, queries).collect()}
+    got = {r.article_id: r.similarity for r in news.similarity(articles, [("market", 5)]).collect()}
     assert got[1] == 0.0 and 0 < got[2] < 1
 
 
+ART = "article_id long, title string, description string, source struct<name:string>, published_at string, feed string, pos long"
+
+
+def test_news_for_queries_end_to_end(spark):
+    at = "2024-01-30T12:00:00Z"
+    rows = [(i, f"Oil and gas {i}", "x", None, at, "primary", i) for i in range(7)] + [(20, "AAPL rises", None, None, at, "primary", 20), (21, None, "Nothing of AAPL here", None, at, "backup", 21)]
+    rows += [(30 + i, t, "d", None, at, "backup", 30 + i) for i, t in enumerate(["Merger talk", "merger talk", "AAPL RISES", "Old", None])] + [(40, "AAPL old", "d", None, "2023-01-01T00:00:00Z", "primary", 40)]
+    df = spark.createDataFrame(rows, ART)
+    got = {}
+    for r in news.merged(df, [("energy oil gas stocks", 6), ("AAPL stock", 4), ("all", 3)], "2024-01-31 00:00:00").collect():
+        got.setdefault(r.query, []).append((r["rank"], r.article_id, r.feed))
+    assert sorted(got["energy oil gas stocks"]) == [(i + 1, i, "primary") for i in range(6)]  # enough, so no backup
+    assert sorted(got["all"]) == [(i + 1, i, "primary") for i in range(3)]
+    ours = sorted(got["AAPL stock"])
+    # Of the backup feed's best four (21, 30, 31, 32) two repeat a title.
+    assert ours == [(1, 20, "primary"), (2, 21, "backup"), (3, 30, "backup")]
+    assert news.fetched(df, [("AAPL stock", 4)], "2024-01-31 00:00:00").count() == 1
+    scored = {r.article_id: r.relevance for r in news.relevance(df, [("AAPL stock", 4)], "2024-01-31 00:00:00").collect()}
+    assert scored[21] == 0.5 and scored[20] > scored[30]
+    with pytest.raises(ValueError):
+        news.asked(df, [("a", 1)] * 1001)
+
+
+def test_merged_news_has_few_exchanges(spark, sf_dir):
+    plan = news.merged(src.articles(spark, sf_dir), [("all", 5), ("REA stock", 5)], "2024-01-31 00:00:00")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and plan.split("Initial Plan")[0].count("Exchange") <= 8
+
+
+def test_json_lists_come_back(spark, tmp_path):
+    rows = [(1, "A", 1.5, 2.0), (1, "B", 0.1, 3.25), (2, "A", 7.0, None)]
+    df = spark.createDataFrame(rows, "portfolio_id long, symbol string, shares double, buy_price double")
+    path = f"file://{tmp_path}/lists"
+    for _ in range(2):
+        src.write_json(df, path, "portfolio_id")
+    assert sorted(map(str, src.json_list(spark, path, whole=False).collect())) == sorted(str(r) for r in df.drop("portfolio_id").collect())
+
+
+@pytest.mark.parametrize("start", ["observed", "next"])
+def test_forest_rolls_out_like_plain_python(spark, start):
+    from pyspark.ml.linalg import Vectors
+
+    r = random.Random(4)
+    lines = {s: [100.0 + 5 * math.sin(i / 7 + k) + r.random() for i in range(70)] for k, s in enumerate("abc")}
+    model, rows = forecast.fit_forest(bars_of(spark, **lines), trees=4, depth=4)
+    last = {}
+    for row in rows.collect():
+        if row.symbol not in last or row.n > last[row.symbol].n:
+            last[row.symbol] = row
+    expected = {}
+    for s, row in last.items():
+        prev, means = row.f_prev, {k: row[f"f_ma{k}"] for k in (5, 10, 20)}
+        if start == "next":
+            prev, means = row.label, {k: (m * (k - 1) + row.label) / k for k, m in means.items()}
+        for step in range(1, 31):
+            y = model.predict(Vectors.dense([*(means[k] / prev for k in (5, 10, 20)), row.f_rsi, row.f_volume, row.f_momentum])) * prev
+            expected[s, step] = y
+            prev, means = y, {k: (m * (k - 1) + y) / k for k, m in means.items()}
+    got = {(x.symbol, x.step): x.yhat for x in forecast.roll_out(model, rows, start).collect()}
+    assert got.keys() == expected.keys() and all(got[k] == pytest.approx(v, rel=1e-9) for k, v in expected.items())
+    again = {(x.symbol, x.step): x.yhat for x in forecast.forest(bars_of(spark, **lines), trees=4, depth=4, start=start).collect()}
+    assert again.keys() == expected.keys()
+
+
+def arriving(spark, folder, files, schema):
+    """A stream that reads one file a batch, in order."""
+    for k, rows in enumerate(files):
+        path = f"{folder}/in/{k}"
+        spark.createDataFrame(rows, schema).selectExpr("*").coalesce(1).write.mode("overwrite").json(path)
+        for f in Path(path).glob("part-*"):
+            os.utime(f, (1_700_000_000 + k, 1_700_000_000 + k))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"{folder}/in/*")
+
+
+def at(day, hour=0):
+    return dt.datetime(2024, 1, day, hour, tzinfo=dt.timezone.utc)
+
+
+def test_late_ticks_are_dropped(spark, tmp_path):
+    schema = "symbol long, ts timestamp, price double, event_id long"
+    files = [[(1, at(1, 1), 5.0, 1), (1, at(1, 5), 7.0, 2)], [(1, at(1, 3), 9.0, 3), (1, at(6), 1.0, 4)], [(1, at(6, 1), 1.5, 9)], [(1, at(1, 4), 99.0, 5), (1, at(6, 2), 2.0, 6)], [(1, at(12), 3.0, 7)], [(1, at(20), 3.0, 8)]]
+    got = {r.start.day: (r.open, r.high, r.close, r.ticks) for r in streams.run_to_files(streams.bars(arriving(spark, tmp_path, files, schema)), "late-bars").collect()}
+    assert got[1] == (5.0, 9.0, 7.0, 3)  # the tick in the second file is in time, that in the fourth is not
+    assert got[6] == (1.0, 2.0, 2.0, 3)
+
+
+def test_titles_come_back_after_the_horizon(spark, tmp_path):
+    schema = "query string, article_id long, title string, ts timestamp"
+    files = [[("q", 1, "News", at(1))], [("q", 2, "NEWS", at(3)), ("p", 3, "News", at(3))], [("q", 4, "Other", at(15))], [("q", 5, "Last", at(16))], [("q", 6, "news", at(17)), ("q", 7, "last", at(18))]]
+    got = {r.article_id for r in streams.run_to_files(streams.title_dedup(arriving(spark, tmp_path, files, schema)), "late-titles").collect()}
+    assert got == {1, 3, 4, 5, 6}
+
+
 def test_market_value_text(spark):
     df = spark.createDataFrame([(1.0e9,), (1.5e9,), (None,)], "m double")
     assert [r[0] for r in df.select(cards.billions(F.col("m"))).collect()] == ["N/A", "$1.50B", "N/A"]
