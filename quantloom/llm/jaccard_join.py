@@ -40,6 +40,8 @@ MOST, UNLIMITED = 0xFFFF, 1 << 40
 LEAF = 32
 #: Members that all others of a group try in each of the first rounds, whose salts these are.
 HUBS, SALTS = 8, (1, 2, 3)
+#: Groups of its class that a row of the last round has with it.
+FIRST = 6
 #: Rounds with hubs end when one links less than one in so many members.
 FEW = 100
 #: In place of its block, for a hub that is sent to each block of its group.
@@ -273,15 +275,21 @@ def _hub_pairs(p: Points, own: np.ndarray, salt: int, percent: int) -> Iterator[
 def _candidates(percent: int, salt: int | None):
     """Rows sorted by (gid, i, j): pairs of each (gid, i, j), with a few hubs of the group if salt is given, else all.
 
-    A pair that meets in several groups comes from the one of smallest gid only. For that each row has its groups.
+    Near copies meet in many groups. Each row has the FIRST smallest groups of its class, and a pair is not sent from a group if both have a
+    smaller one in common, as it is sent from there; so nearly all pairs are sent once, and all at least once.
     """
 
-    def first_here(gid: np.ndarray, a: np.ndarray, b: np.ndarray, groups: list[np.ndarray | None]) -> np.ndarray:
-        """Which pairs of rows of group gid have no smaller group in common."""
-        below = {k: frozenset(groups[k][groups[k] < g].tolist()) for k, g in {*zip(a.tolist(), gid.tolist(), strict=True), *zip(b.tolist(), gid.tolist(), strict=True)} if groups[k] is not None}
-        return np.fromiter((x not in below or y not in below or below[x].isdisjoint(below[y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)), bool, len(a))
+    def first_here(gid: np.ndarray, a: np.ndarray, b: np.ndarray, groups: np.ndarray) -> np.ndarray:
+        """Which pairs of rows of group gid have no smaller group in common, as far as their first groups tell."""
+        out = np.ones(len(a), bool)
+        for at in range(0, len(a), 1 << 16):
+            part = slice(at, at + (1 << 16))
+            x, y = groups[a[part]], groups[b[part]]
+            both = (x[:, :, None] == y[:, None, :]).any(2) & (x < gid[part, None])
+            out[part] = ~both.any(1)
+        return out
 
-    def pairs(cols: list[np.ndarray], raw: list[bytes], groups: list[np.ndarray | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(cols: list[np.ndarray], raw: list[bytes], groups: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         gid, i, j, own, ids, labels, sizes = cols
         if (labels == labels[0]).all():
             return
@@ -297,9 +305,9 @@ def _candidates(percent: int, salt: int | None):
             yield p.ids[a[once]], p.ids[b[once]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        old: tuple[np.ndarray, list[bytes], list] = (np.zeros((7, 0), np.int64), [], [])
+        old: tuple[np.ndarray, list[bytes], np.ndarray] = (np.zeros((7, 0), np.int64), [], np.zeros((0, FIRST), np.int64))
 
-        def closed(cols: np.ndarray, raw: list[bytes], groups: list[np.ndarray | None]) -> Iterator[pa.RecordBatch]:
+        def closed(cols: np.ndarray, raw: list[bytes], groups: np.ndarray) -> Iterator[pa.RecordBatch]:
             new = np.concatenate([[True], (cols[:3, 1:] != cols[:3, :-1]).any(0)])
             first = np.flatnonzero(new)
             ends = np.append(first[1:], len(raw))
@@ -320,9 +328,7 @@ def _candidates(percent: int, salt: int | None):
         for batch in batches:
             cols = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(7)])
             cols, raw = np.concatenate([old[0], cols], axis=1), old[1] + batch.column(7).to_pylist()
-            lists, valid = batch.column(8), batch.column(8).is_valid().to_pylist()
-            flat, at = lists.values.to_numpy(), lists.offsets.to_numpy()
-            groups = old[2] + [flat[x:y] if v else None for x, y, v in zip(at[:-1].tolist(), at[1:].tolist(), valid, strict=True)]
+            groups = np.concatenate([old[2], batch.column(8).flatten().to_numpy().reshape(-1, FIRST)])
             if raw:
                 same = (cols[:3] == cols[:3, -1:]).all(0)
                 cut = int(np.argmax(same))
@@ -390,8 +396,9 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     points = classes.select("rep", "n", "point")
 
     links = named.join(small_side(shared, 2_000_000), "doc_id").where("rep != first").select(F.col("rep").alias("a"), F.col("first").alias("b"))
-    labels = tried = None
+    labels = None
     n_members = members.select("rep").distinct().count()
+    none = F.array_repeat(F.lit((1 << 63) - 1).cast("long"), FIRST)  # no group is below it
     rounds = [*SALTS, None]
     while rounds:
         salt = rounds.pop(0)
@@ -404,7 +411,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
             rows = rows.join(open_, "gid", "left_semi")
         if salt is None:
             rows = materialize(rows, "open")
-            of = rows.groupBy("rep").agg(F.array_sort(F.collect_set("gid")).alias("groups"))  # at most a fifth of the set and one
+            # At most a fifth of the set and one are collected.
+            of = rows.groupBy("rep").agg(F.slice(F.concat(F.array_sort(F.collect_set("gid")), none), 1, FIRST).alias("groups"))
             large = sizes.where(F.col("size") > block).select("gid", F.ceil(F.col("size") / block).alias("blocks"))
             rows = rows.join(large, "gid", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
             rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
@@ -415,11 +423,10 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
             most = F.max_by("gid", F.struct("size", "gid"))
             rows = rows.join(sizes, "gid").groupBy("rep").agg(most.alias("gid"), F.first("label").alias("label"), F.max("size").alias("size"))
             rows = materialize(rows.select("rep", "gid", "label", F.ceil(F.col("size") / block).alias("blocks")), "largest")
-            rows = _with_hubs(rows, salt).join(points, "rep").withColumn("groups", F.lit(None).cast("array<long>"))
+            rows = _with_hubs(rows, salt).join(points, "rep").withColumn("groups", none)
         rows = rows.select("gid", "i", "j", "own", "rep", "label", "n", "point", "groups")
-        found = rows.repartition("gid", "i", "j").sortWithinPartitions("gid", "i", "j").mapInArrow(_candidates(percent, salt), "a long, b long").distinct()
-        pairs = materialize(found if tried is None else found.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
+        # Of the pairs tried before only those that were not similar can come again; they are few.
+        pairs = materialize(rows.repartition("gid", "i", "j").sortWithinPartitions("gid", "i", "j").mapInArrow(_candidates(percent, salt), "a long, b long").distinct(), "pairs")
         # Texts of both sides: the first comes to the pairs where it lies if these are few, the second by a shuffle.
         first = slim.select(F.col("doc_id").alias("a"), F.col("text").alias("s")).join(small_side(pairs, 2_000_000), "a")
         second = slim.join(small_side(pairs.select(F.col("b").alias("doc_id")).distinct(), 2_000_000), "doc_id", "left_semi")
