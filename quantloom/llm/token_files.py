@@ -329,7 +329,9 @@ def _write(path: str, end_id: int):
 def write_tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int = 1, files: int | None = None) -> None:
     """Tokenize docs and write their ids to files in path, in ascending order of document id."""
     files = files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id")
+    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    order = [F.asc_nulls_first("doc_id"), F.xxhash64("text")]  # rows of one id, or without id, need not be in one file
+    ordered = slim.repartitionByRange(files, *order).sortWithinPartitions(*order)
     ordered.mapInArrow(_write(tokenizer or default_tokenizer(), end_id), RECORD).write.option("compression", "none").parquet(path)
 
 
