@@ -38,6 +38,9 @@ def scan_indicators(bars: DataFrame, lookback: int = LOOKBACK) -> DataFrame:
     return df.where((F.col("n") == F.col("cnt")) & (F.col("cnt") >= LEAST_BARS))
 
 
+# Fixed values in the three functions below: thresholds, points and texts of the rules.
+
+
 def tech_rules() -> list[list[tuple[Column, int, Column]]]:
     """Groups of rules (condition, points, reason); the first that holds in each group counts."""
     rsi, p, m20, m50 = (F.col(c) for c in ("rsi", "close", "ma_20", "ma_50"))

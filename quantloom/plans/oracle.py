@@ -40,6 +40,7 @@ def _tenth(expr: str) -> str:
     return f"printf('%.1f', floor({expr} * 10 + 0.5e0) / 10)"
 
 
+# Thresholds, points and texts of the rules.
 TECH = [
     [("rsi < 30", 3, "'RSI oversold (<30)'"), ("rsi < 40", 2, "'RSI below 40'"), ("rsi > 70", -3, "'RSI overbought (>70)'"), ("rsi > 60", -2, "'RSI above 60'")],
     [("close > ma_20 AND ma_20 > ma_50", 2, "'Bullish MA trend'"), ("close > ma_20", 1, "'Above MA(20)'"), ("close < ma_20", -1, "'Below MA(20)'")],
