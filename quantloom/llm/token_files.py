@@ -74,7 +74,7 @@ class _Model:
         unit = (SHARES - 64) / seen.sum(1)
         two = np.where(self.can2, (seen[:, 2] * unit).astype(np.int64), 0)
         self.shares = two | (two + np.where(self.can1, (seen[:, 1] * unit).astype(np.int64), 0)) << 16
-        below = np.zeros((n, self.width + 1), np.int64)
+        below = np.zeros((n, self.width + 1), np.int32)
         np.cumsum(self.counts, axis=1, out=below[:, 1:])
         self.total = below[:, -1].copy()
         self.below = below.reshape(-1)
