@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quantloom.llm import ann, decontamination, html_text, jaccard_join, line_dedup, lm_scoring, packing, quality, secrets, token_files
+from quantloom.llm import ann, decontamination, fill_in_middle, html_text, jaccard_join, line_dedup, lm_scoring, packing, periodic_runs, quality, secrets, token_files
 
 QUERIES = {
     "op1_html_extraction": html_text.op1_html_extraction,
@@ -15,10 +15,14 @@ QUERIES = {
     "op8_token_files": token_files.op8_token_files,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
+    "op12_periodic_runs": periodic_runs.op12_periodic_runs,
 }
 
 ORACLE_SQL = {
     "op2_jaccard_join": jaccard_join.SQL,
     "op6_benchmark_decontamination": decontamination.SQL,
     "op10_line_dedup": line_dedup.SQL,
+    "op11_fill_in_middle": fill_in_middle.SQL,
+    "op12_periodic_runs": periodic_runs.SQL,
 }
