@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quantloom.llm import ann, decontamination, fill_in_middle, html_text, jaccard_join, line_dedup, lm_scoring, packing, periodic_runs, quality, secrets, token_files
+from quantloom.llm import ann, decontamination, fill_in_middle, html_text, jaccard_join, language_id, line_dedup, lm_scoring, packing, periodic_runs, quality, secrets, token_files
 
 QUERIES = {
     "op1_html_extraction": html_text.op1_html_extraction,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
     "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+    "op13_language_id": language_id.op13_language_id,
 }
 
 ORACLE_SQL = {
