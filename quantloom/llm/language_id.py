@@ -25,9 +25,11 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,9 +37,8 @@ from quantloom.llm.common import materialize, table
 
 #: Runs of letters (and numbers that are no digits).
 WORD = re.compile(r"[^\W\d_]{1,40}").findall
-GAP = re.compile(r"[\W\d_]").search
-#: Characters of a text worked on at once, and different words a task counts before it sends its sums on.
-CHUNK, PORTION = 1 << 20, 200_000
+#: Bytes of text worked on at once, but for single longer documents, and different words a task counts before it sends its sums on.
+PORTION, MOST_WORDS = 8 << 20, 400_000
 #: Values (a language's score of a word) that are sent to every executor.
 HEAD_CELLS = 1_000_000
 MAX_LANGUAGES = 1000
@@ -55,15 +56,26 @@ class Model:
     longest: int
 
 
-def word_lists(text: str) -> Iterator[list[str]]:
+def portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of about PORTION bytes of text, the batch's last column."""
+    filled = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
-    while at < len(text):
-        gap = GAP(text, at + CHUNK) if at + CHUNK < len(text) else None
-        end = gap.end() if gap else len(text)
-        yield WORD(text[at:end].lower())
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(filled, (filled[at - 1] if at else 0) + PORTION)))
+        yield batch.slice(at, end - at)
         at = end
 
 
+def chunks(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct chunks between white space of all texts, and of each chunk in turn which of these it is and the number of its text.
+
+    Words never lie across white space, so each distinct chunk is split into words once.
+    """
+    split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+    coded = split.flatten().dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), pc.list_parent_indices(split).to_numpy()
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[int, Counter] = {}
 
@@ -75,11 +87,18 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(which), pa.array(times)], ["word", "language", "n"])
 
     for batch in batches:
-        for text, language in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            counter = held.setdefault(language, Counter())
-            for words in word_lists(text.as_py() or ""):
-                counter.update(words)
-            if sum(map(len, held.values())) >= PORTION:
+        for rows in portions(batch):
+            distinct, code, row = chunks(rows.column(1))
+            language = rows.column(0).to_numpy()[row].astype(np.int64)
+            pairs, times = np.unique(language * len(distinct) + code, return_counts=True)
+            for pair, n in zip(pairs.tolist(), times.tolist(), strict=True):
+                which, chunk = divmod(pair, len(distinct))
+                counter = held.get(which)
+                if counter is None:
+                    counter = held[which] = Counter()
+                for word in WORD(distinct[chunk].lower()):
+                    counter[word] += n
+            if sum(map(len, held.values())) >= MOST_WORDS:
                 yield summed()
     yield summed()
 
@@ -105,7 +124,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int
         return Model([], None, None, [], longest)
     names = _counts(languages)
     index = F.array_position(F.array(*map(F.lit, languages)), F.col("lang")).cast("int") - 1
-    counted = rows.where("text is not null").select("text", index.alias("language")).mapInArrow(_count, "word string, language int, n long")
+    counted = rows.where("text is not null").select(index.alias("language"), "text").mapInArrow(_count, "word string, language int, n long")
     words = materialize(counted.groupBy("word").agg(*[F.sum(F.when(F.col("language") == i, F.col("n")).otherwise(0)).alias(c) for i, c in enumerate(names)]), "language-words")
     every = F.concat(*[_grams(F.col("word"), n) for n in range(1, longest + 1)])
     grams = materialize(words.select(F.explode(every).alias("gram"), *names).groupBy("gram").agg(*[F.sum(c).alias(c) for c in names]), "language-grams")
@@ -140,26 +159,41 @@ def _most(df: DataFrame, of: Column, cells: int) -> int:
 
 
 def _look_up(held, width: int):
+    def portion(rows: pa.RecordBatch, place, scores: np.ndarray) -> pa.RecordBatch:
+        distinct, code, row = chunks(rows.column(2))
+        words = [WORD(c.lower()) for c in distinct]
+        flat = list(chain.from_iterable(words))
+        first = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
+        at = np.fromiter((place(w, -1) for w in flat), np.int64, len(flat))
+        letters = np.fromiter((any(c.isalpha() for w in said for c in w) for said in words), bool, len(words))
+        bounds = np.searchsorted(row, np.arange(rows.num_rows + 1))
+        # Sums over words of a chunk and over chunks of a text are differences of running sums; of whole numbers, so they are exact.
+        total = lambda values, ends: np.diff(np.concatenate([[0], np.cumsum(values)])[ends])
+        sums = np.stack([total(total(np.where(at >= 0, scores[at, i], 0), first)[code], bounds) for i in range(width)], axis=1)
+        found = np.concatenate([[0], np.cumsum(letters[code])])[bounds]
+        # Words beyond the broadcast ones, with how often each text has them.
+        unknown = np.concatenate([[0], np.cumsum(at < 0)])[first]
+        rest = np.flatnonzero((np.diff(unknown) > 0)[code])
+        tails: list[Counter] = [Counter() for _ in range(rows.num_rows)]
+        pairs, times = np.unique(row[rest] * len(distinct) + code[rest], return_counts=True)
+        for pair, n in zip(pairs.tolist(), times.tolist(), strict=True):
+            k, chunk = divmod(pair, len(distinct))
+            for i in range(first[chunk], first[chunk + 1]):
+                if at[i] < 0:
+                    tails[k][flat[i]] += n
+        names = [w for t in tails for w in t]
+        items = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.fromiter((n for t in tails for n in t.values()), np.int64, len(names)))], ["word", "times"])
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(rows.num_rows + 1) * width, pa.int32()), pa.array(sums.reshape(-1)))
+        ends = pa.array(np.concatenate([[0], np.cumsum([len(t) for t in tails])]), pa.int32())
+        return pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(np.diff(found) > 0), lists, pa.ListArray.from_arrays(ends, items)], ["doc_id", "tag", "letters", "sums", "tail"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, scores = held.value
         place = dict(zip(words, range(len(words)), strict=True)).get
+        scores = np.concatenate([scores, np.zeros((1, width), np.int64)])  # there is a row to point at if no word is known
         for batch in batches:
-            letters, sums, tails = [], np.zeros((batch.num_rows, width), np.int64), []
-            for k, text in enumerate(batch.column(2)):
-                found, tail = False, Counter()
-                for said in word_lists(text.as_py() or ""):
-                    found = found or any(map(str.isalpha, said)) or any(c.isalpha() for w in said for c in w)
-                    at = np.fromiter((place(w, -1) for w in said), np.int64, len(said))
-                    sums[k] += scores[at[at >= 0]].sum(0)
-                    tail.update(said[i] for i in np.flatnonzero(at < 0).tolist())
-                letters.append(found)
-                tails.append(tail)
-            names = [w for t in tails for w in t]
-            times = np.fromiter((n for t in tails for n in t.values()), np.int64, len(names))
-            items = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(times)], ["word", "times"])
-            offsets = np.concatenate([[0], np.cumsum([len(t) for t in tails])])
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * width, pa.int32()), pa.array(sums.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(letters), lists, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items)], ["doc_id", "tag", "letters", "sums", "tail"])
+            for rows in portions(batch):
+                yield portion(rows, place, scores)
 
     return run
 
