@@ -127,7 +127,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int
     counted = rows.where("text is not null").select(index.alias("language"), "text").mapInArrow(_count, "word string, language int, n long")
     words = materialize(counted.groupBy("word").agg(*[F.sum(F.when(F.col("language") == i, F.col("n")).otherwise(0)).alias(c) for i, c in enumerate(names)]), "language-words")
     every = F.concat(*[_grams(F.col("word"), n) for n in range(1, longest + 1)])
-    grams = materialize(words.select(F.explode(every).alias("gram"), *names).groupBy("gram").agg(*[F.sum(c).alias(c) for c in names]), "language-grams")
+    grams = materialize(words.select(F.explode_outer(every).alias("gram"), *names).groupBy("gram").agg(*[F.sum(c).alias(c) for c in names]), "language-grams")
     totals = words.agg(*[F.sum(c) for c in names]).first()
     return Model(languages, words, grams, [t or 0 for t in totals], longest)
 
@@ -211,7 +211,7 @@ def _backed_off(unseen: DataFrame, model: Model) -> DataFrame:
     few = known.count() * len(columns) <= HEAD_CELLS
 
     def at(rows: DataFrame, sizes: range) -> DataFrame:
-        grams = rows.select("word", F.explode(F.concat(*[_grams(F.col("word"), n) for n in sizes])).alias("gram"))
+        grams = rows.select("word", F.explode_outer(F.concat(*[_grams(F.col("word"), n) for n in sizes])).alias("gram"))
         side = known.where(F.col("size").isin(list(sizes)))
         hit = grams.join(F.broadcast(side) if few else side, "gram").groupBy("word", "size").agg(*[F.round(F.avg(c)).cast("long").alias(c) for c in columns])
         return hit.groupBy("word").agg(F.max_by(F.struct(*columns), "size").alias("s")).select("word", "s.*")
