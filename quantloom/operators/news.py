@@ -1,13 +1,15 @@
 """News: routing, filters, relevance, merging of feeds.
 
 Queries are a user's few: pairs of (query, count), at most ``MAX_QUERIES``. They are literals of the plan, so that no join brings them
-to the articles. What is scored is cut to the first articles of each query before it is scored.
+to the articles. A search finds the articles that have any of a query's terms, and its first ones are scored. These functions read all articles
+once; news_index keeps postings for searches that come again.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,6 +32,7 @@ STOP_WORDS = (
     "that the their them then there these they this those through to too under until up very was we were what when where which while who whom why will with you your"
 ).split()
 TERM = "[a-z0-9_]{2,}"
+TERMS = "array<struct<term:string,n:bigint>>"
 MAX_TERMS = 100
 MAX_QUERIES = 1000
 Queries = list[tuple[str, int]]
@@ -59,13 +62,18 @@ def query_terms(query: str) -> dict[str, int]:
     return dict(sorted(found.items()))
 
 
-def asked(rows: DataFrame, queries: Queries) -> DataFrame:
-    """Each row for each query: query, count, keywords (by its route) and tq (its terms and how often it has them)."""
+def asked(rows: DataFrame, queries: Queries, where: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Each row for each query that ``where`` (of a query's fields) holds for: query, count, keywords (by its route) and tq (its terms and how often it has them).
+
+    Queries are filtered within the row, so that it is repeated for those that want it only. Columns of rows with these names go.
+    """
     if len(queries) > MAX_QUERIES:
         raise ValueError(f"at most {MAX_QUERIES} queries at once")
-    terms = lambda q: F.array(*[F.struct(F.lit(t).alias("term"), F.lit(n).cast("long").alias("n")) for t, n in query_terms(q).items()]).cast("array<struct<term:string,n:bigint>>")
-    one = [F.struct(F.lit(q).alias("query"), F.lit(n).alias("count"), keywords(route(F.lit(q))).alias("keywords"), terms(q).alias("tq")) for q, n in queries]
-    return rows.withColumn("_q", F.explode(F.array(*one))).select("*", "_q.*").drop("_q")
+    terms = lambda q: F.array(*[F.struct(F.lit(t).alias("term"), F.lit(n).cast("long").alias("n")) for t, n in query_terms(q).items()]).cast(TERMS)
+    one = F.array(*[F.struct(F.lit(q).alias("query"), F.lit(n).alias("count"), keywords(route(F.lit(q))).alias("keywords"), terms(q).alias("tq")) for q, n in queries])
+    kept = [c for c in rows.columns if c.lower() not in ("query", "count", "keywords", "tq")]
+    # Explode itself would infer a filter from its array and compute this, with all it is made of, a second time.
+    return rows.withColumn("_q", F.explode_outer(one if where is None else F.filter(one, where))).where("_q is not null").select(*kept, "_q.*")
 
 
 def recent(articles: DataFrame, asof: str, days: int = 7) -> DataFrame:
@@ -88,8 +96,8 @@ def card(articles: DataFrame, asof: str) -> DataFrame:
 
 def fetched(articles: DataFrame, queries: Queries, asof: str) -> DataFrame:
     """query, count and its primary articles: routed, recent, filtered, the first ``count`` by position."""
-    rows = asked(recent(articles.where("feed = 'primary'"), asof), queries)
-    return first_rows(rows.where(matches(F.col("title"), F.col("description"), F.col("keywords"))), F.col("count"))
+    rows = asked(recent(articles.where("feed = 'primary'"), asof), queries, lambda q: matches(F.col("title"), F.col("description"), q["keywords"]))
+    return first_rows(rows, F.col("count"))
 
 
 def first_rows(rows: DataFrame, n: Column) -> DataFrame:
@@ -97,18 +105,30 @@ def first_rows(rows: DataFrame, n: Column) -> DataFrame:
     return rows.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= n).drop("_k")
 
 
-def with_terms(articles: DataFrame, queries: Queries) -> DataFrame:
-    """ta: of each article the MAX_TERMS terms it has most often, ties by term, and those of the queries; with how often it has them.
+def counted(articles: DataFrame) -> DataFrame:
+    """terms: all terms of each article by name, and how often it has them; counted within the row, without a shuffle.
 
-    Terms are runs of at least two ASCII letters, digits or underscores, but for stop words. They are counted apart from the
-    queries, so their number does not multiply the terms.
+    Terms are runs of at least two ASCII letters, digits or underscores, but for stop words.
     """
-    stop, wanted = F.array(*map(F.lit, STOP_WORDS)), F.array(*map(F.lit, sorted({t for q, _ in queries for t in query_terms(q)} or {""})))
     text = F.lower(F.concat_ws(" ", "title", F.coalesce("description", F.lit(""))))
-    each = articles.select("article_id", F.explode(F.regexp_extract_all(text, F.lit(TERM), F.lit(0))).alias("term")).where(~F.array_contains(stop, F.col("term")))
-    counted = each.groupBy("article_id", "term").agg(F.count("*").alias("n")).withColumn("_k", F.row_number().over(Window.partitionBy("article_id").orderBy(F.desc("n"), "term")))
-    kept = counted.where((F.col("_k") <= MAX_TERMS) | F.array_contains(wanted, F.col("term"))).groupBy("article_id").agg(F.collect_list(F.struct("term", "n")).alias("ta"))
-    return articles.join(kept, "article_id", "left").withColumn("ta", F.coalesce("ta", F.array().cast("array<struct<term:string,n:bigint>>")))
+    rows = articles.withColumn("_all", F.sort_array(F.filter(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda t: ~t.isin(*STOP_WORDS))))
+    first = F.filter(F.transform("_all", lambda t, i: i), lambda i: (i == 0) | (F.get("_all", i) != F.get("_all", i - 1)))
+    rows = rows.withColumn("_at", first)
+    times = lambda at, i: F.struct(F.get("_all", at).alias("term"), (F.coalesce(F.get("_at", i + 1), F.size("_all")) - at).cast("long").alias("n"))
+    return rows.withColumn("terms", F.transform("_at", times)).drop("_all", "_at")
+
+
+def most_frequent(terms: Column, wanted: Column) -> Column:
+    """Of terms the MAX_TERMS with the largest counts, ties by name, and the wanted ones."""
+    by_count = F.sort_array(F.transform(terms, lambda x: F.struct((-x["n"]).alias("rank"), x["term"].alias("term"))))
+    kept = F.filter(by_count, lambda x, i: (i < MAX_TERMS) | F.array_contains(wanted, x["term"]))
+    return F.transform(kept, lambda x: F.struct(x["term"].alias("term"), (-x["rank"]).alias("n")))
+
+
+def with_terms(articles: DataFrame, queries: Queries) -> DataFrame:
+    """ta: of each article its most frequent terms and those of the queries. They are counted apart from the queries, so the number of these does not multiply them."""
+    wanted = F.array(*map(F.lit, sorted({t for q, _ in queries for t in query_terms(q)} or {""})))
+    return counted(articles).withColumn("ta", most_frequent(F.col("terms"), wanted)).drop("terms")
 
 
 def cosine(ta: Column, tq: Column) -> Column:
@@ -130,7 +150,7 @@ def cosine(ta: Column, tq: Column) -> Column:
 
 def similarity(articles: DataFrame, queries: Queries) -> DataFrame:
     """query, article_id, similarity of each pair."""
-    return asked(with_terms(articles, queries), queries).select("query", "article_id", cosine(F.col("ta"), F.col("tq")).alias("similarity"))
+    return asked(with_terms(articles, queries).select("article_id", "ta"), queries).select("query", "article_id", cosine(F.col("ta"), F.col("tq")).alias("similarity"))
 
 
 def scored(rows: DataFrame, asof: str) -> DataFrame:
@@ -148,17 +168,25 @@ def scored(rows: DataFrame, asof: str) -> DataFrame:
 
 
 def relevance(articles: DataFrame, queries: Queries, asof: str) -> DataFrame:
-    """query, article_id, similarity, relevance of each pair, with the article's columns."""
-    return scored(asked(with_terms(articles, queries), queries), asof)
+    """query, article_id, similarity, relevance of each pair, with the article's columns but for its text."""
+    return scored(asked(with_terms(articles, queries).drop("description"), queries), asof)
+
+
+def searched(articles: DataFrame, queries: Queries) -> DataFrame:
+    """Each query with its first 3 * count articles, by position, of those that have any of its terms; none for a query without terms."""
+    has = lambda q: F.arrays_overlap(F.transform(q["tq"], lambda t: t["term"]), F.transform("ta", lambda t: t["term"]))
+    return first_rows(asked(with_terms(articles, queries).drop("description"), queries, has), 3 * F.col("count"))
+
+
+def best(rows: DataFrame, asof: str) -> DataFrame:
+    """Of the rows of a search the ``count`` most relevant of each query; ties by id."""
+    order = Window.partitionBy("query").orderBy(F.desc(F.round("relevance", 9)), "article_id")
+    return scored(rows, asof).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("count"))
 
 
 def top_relevant(articles: DataFrame, queries: Queries, asof: str) -> DataFrame:
-    """Of each query's first 3 * count articles by position, the ``count`` most relevant; ties by id."""
-    # All queries have the same articles, so those beyond the largest count are left out before any are scored.
-    first = articles.orderBy("pos").limit(3 * max((n for _, n in queries), default=0))
-    rows = first_rows(asked(with_terms(first, queries), queries), 3 * F.col("count"))
-    best = Window.partitionBy("query").orderBy(F.desc(F.round("relevance", 9)), "article_id")
-    return scored(rows, asof).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= F.col("count"))
+    """What a search finds for each query, the most relevant first."""
+    return best(searched(articles, queries), asof)
 
 
 def merged(articles: DataFrame, queries: Queries, asof: str, enough: int = 5) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantloom.operators import substring
+
+
 def price(default: Column) -> Column:
     return F.coalesce("currentPrice", "regularMarketPrice", default)
 
@@ -63,7 +66,7 @@ def universe(constituents: DataFrame, fallback: list[tuple[str, str]], popular:
 def symbol_search(symbols: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """query, rank, symbol: the first k symbols in order that hold each query; none for an empty query."""
     q = queries.select("query", F.upper(F.trim("query")).alias("_q")).where("_q <> ''")
-    found = symbols.join(q, F.col("symbol").contains(F.col("_q")))  # the queries are one user's few
+    found = substring.holding(symbols.select("symbol"), "symbol", q.select("_q"), "_q").join(q, "_q")
     order = Window.partitionBy("query").orderBy("symbol")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", "rank", "symbol")
 
