@@ -4,18 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from quantloom.functions.text import market_open
-from quantloom.operators.portfolio import totals, valued
+from quantloom.sources.changes import ChangeTable
 from quantloom.sources.market import shared_path
 
 
-def tick_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tick_stream(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """symbol, ts, price, event_id of the landed events, or other expressions of their columns."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern may match a file or a folder
-    return rows.select(F.col("user_id").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), "event_id")
+    return rows.withColumn("ts", F.col("ts").cast("timestamp")).selectExpr(*(columns or ("user_id as symbol", "ts", "value as price", "event_id")))
 
 
 def bars(ticks: DataFrame, width: str = "1 day", delay: str = "1 day") -> DataFrame:
@@ -27,6 +30,22 @@ def bars(ticks: DataFrame, width: str = "1 day", delay: str = "1 day") -> DataFr
     return df.select("symbol", F.col("window.start").alias("start"), "open", "high", "low", "close", "ticks")
 
 
+def rolled_up(ticks: DataFrame, fine: str = "1 hour", coarse: str = "1 day", delay: str = "1 day") -> tuple[DataFrame, DataFrame]:
+    """Fine and coarse bars under one watermark; coarse ones are made of the fine ones, so that their state is a row a symbol and window and not ticks anew.
+
+    Two windowed aggregations in a row, both in append mode: a coarse bar comes out when the fine bars of its window have.
+    """
+    order = F.struct("ts", "event_id")
+    each = ticks.withWatermark("ts", delay).groupBy(F.window("ts", fine), "symbol").agg(
+        F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"), F.count("*").alias("ticks")
+    )
+    each = each.select("symbol", F.window_time("window").alias("at"), F.col("window.start").alias("start"), "open", "high", "low", "close", "ticks")
+    rolled = each.groupBy(F.window("at", coarse), "symbol").agg(
+        F.min_by("open", "at").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "at").alias("close"), F.sum("ticks").alias("ticks")
+    )
+    return each.drop("at"), rolled.select("symbol", F.col("window.start").alias("start"), "open", "high", "low", "close", "ticks")
+
+
 def latest_quote(ticks: DataFrame) -> DataFrame:
     """One row of state a symbol; for update mode."""
     return ticks.groupBy("symbol").agg(F.max_by("price", F.struct("ts", "event_id")).alias("price"), F.max("ts").alias("ts"))
@@ -57,14 +76,135 @@ def run_batches(stream: DataFrame, name: str, each: Callable[[DataFrame, int, st
     return out
 
 
-def run_latest(stream: DataFrame, name: str) -> DataFrame:
-    """The last version of each symbol's quote over all batches of latest_quote()."""
-    out = run_batches(stream, name, lambda df, k, path: df.write.mode("overwrite").parquet(f"{path}/batch={k}"))
-    rows = stream.sparkSession.read.parquet(out)
-    return rows.groupBy("symbol").agg(F.max_by("price", "batch").alias("price"), F.max("ts").alias("ts"))
+def run_latest(stream: DataFrame, name: str, keep: int = 8) -> DataFrame:
+    """The last version of each symbol's quote over all batches of latest_quote(): a change table, compacted every ``keep`` batches."""
+    return run_to_table(stream, name, ["symbol"], keep).as_of()
+
+
+def run_to_table(stream: DataFrame, name: str, keys: list[str], keep: int = 8, mode: str = "update") -> ChangeTable:
+    """Work off what is there; the rows of each batch replace those of their keys in a change table."""
+    changes = ChangeTable(stream.sparkSession, shared_path(stream.sparkSession, name), stream.schema, keys)
+
+    def each(batch: DataFrame, number: int, _: str) -> None:
+        changes.write(batch, number)
+        if number % keep == keep - 1:
+            changes.compact(keep=1)
+
+    run_batches(stream, name, each, mode)
+    return changes
+
+
+class _Moves(StatefulProcessor):
+    """Of one symbol the last price: a batch of ticks becomes one move, from the price before to the latest."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "price double, at long, event_id long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        latest = max(rows, key=lambda r: (r.at, r.event_id))
+        before = self.last.get() if self.last.exists() else None
+        if before is None or tuple(before[1:]) < (latest.at, latest.event_id):
+            self.last.update((latest.price, latest.at, latest.event_id))
+            yield Row(symbol=key[0], price=latest.price, before=before[0] if before is not None else None)
+
+    def close(self) -> None:
+        pass
+
+
+class _Totals(StatefulProcessor):
+    """Running totals of one portfolio, to which each move adds its difference."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.totals = handle.getValueState("totals", "value double, cost double")
+
+    def handleInputRows(self, key, rows, timerValues):
+        value, cost = self.totals.get() if self.totals.exists() else (0.0, 0.0)
+        for r in rows:
+            value += r.shares * (r.price - (r.before or 0.0))
+            cost += r.cost if r.before is None else 0.0
+        self.totals.update((value, cost))
+        gain = value - cost
+        yield Row(portfolio_id=key[0], value=value, cost=cost, gain=gain, gain_pct=gain / cost * 100 if cost > 0 else 0.0)
+
+    def close(self) -> None:
+        pass
 
 
 def live_portfolio(ticks: DataFrame, positions: DataFrame) -> DataFrame:
-    """Portfolio totals at the latest streamed prices."""
-    quotes = run_latest(latest_quote(ticks), "quotes").select("symbol", F.col("price").alias("currentPrice"), F.col("price").alias("regularMarketPrice"))
-    return totals(valued(positions, quotes))
+    """A stream of the new totals of each portfolio whose prices have changed; run in append mode, as two states follow each other.
+
+    A position counts from its first tick on, as one without quote does not. The ticks of a batch become one move a symbol first, and positions of a portfolio in
+    one symbol are added up; a move then goes to the portfolios that hold its symbol, where it changes the totals by shares * (price - price
+    before), whatever else they hold. Ticks may be late: the price of greatest (ts, event_id) stays. A tick without symbol or price changes nothing.
+    """
+    held = positions.where("shares >= 0.001").groupBy("portfolio_id", F.col("symbol").cast("string").alias("symbol")).agg(F.sum("shares").alias("shares"), F.sum(F.col("shares") * F.col("buy_price")).alias("cost"))
+    slim = ticks.where("price is not null and symbol is not null").select(F.col("symbol").cast("string").alias("symbol"), "price", F.unix_micros("ts").alias("at"), F.col("event_id").cast("long").alias("event_id"))
+    move = StructType([StructField("symbol", StringType()), StructField("price", DoubleType()), StructField("before", DoubleType())])
+    moves = _stateful(slim.groupBy("symbol")).transformWithState(_Moves(), move, "Append", "None")
+    schema = StructType([positions.schema["portfolio_id"], *(StructField(c, DoubleType()) for c in ("value", "cost", "gain", "gain_pct"))])
+    return _stateful(moves.join(held, "symbol").groupBy("portfolio_id")).transformWithState(_Totals(), schema, "Append", "None")
+
+
+def _stateful(grouped):
+    """State with timers, lists and maps needs the store that can hold them."""
+    grouped._df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return grouped
+
+
+class _Answers(StatefulProcessor):
+    """Requests of one query in the order of their times: those within ``age`` of the last one answered take its answer."""
+
+    def __init__(self, age_ms: int):
+        self.age_ms = age_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at long, request_id long")
+        self.answered = handle.getValueState("answered", "at long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        new = [(r.at, r.request_id) for r in rows]
+        if new:
+            self.waiting.appendList(new)
+            self._wake_at(min(at for at, _ in new) // 1000 + 1)
+        return iter(())
+
+    def _wake_at(self, ms: int) -> None:
+        self.handle.registerTimer(ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        until = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted(self.waiting.get()) if self.waiting.exists() else []
+        due, later = [r for r in rows if r[0] < until], [r for r in rows if r[0] >= until]
+        last = self.answered.get()[0] if self.answered.exists() else None
+        for at, request_id in due:
+            fresh = last is None or at - last >= self.age_ms * 1000
+            last = at if fresh else last
+            yield Row(query=key[0], request_id=request_id, at=at, answered=fresh, answered_at=last)
+        if later:
+            self.waiting.put(later)
+            self._wake_at(later[0][0] // 1000 + 1)
+        elif rows:
+            self.waiting.clear()
+        if due:
+            self.answered.update((last,))
+            self._wake_at(last // 1000 + self.age_ms + 1)  # to forget it
+        elif last is not None and not rows and last + self.age_ms * 1000 < until:
+            self.answered.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def cached_queries(requests: DataFrame, age: str = "30 minutes", delay: str = "30 minutes") -> DataFrame:
+    """requests (query, request_id, ts), a stream: of each whether it is answered anew, and when its answer was made.
+
+    An answer serves the requests of its query less than ``age`` after the request that it was made for, whole days counted too; a served request doesn't make
+    it last longer. Requests are taken in the order of (ts, request_id) once the watermark has passed them, so that rows don't depend on batches, and each
+    key has a timer for it; later ones than ``delay`` are dropped. An answer that is too old is forgotten. A null query is one of its own.
+    """
+    slim = requests.withWatermark("ts", delay).select("query", F.col("request_id").cast("long").alias("request_id"), F.unix_micros("ts").alias("at"), "ts")
+    age_ms = round(requests.sparkSession.range(1).select(F.expr(f"interval {age}").cast("interval day to second").alias("i")).first().i.total_seconds() * 1000)
+    schema = StructType([StructField("query", StringType()), StructField("request_id", LongType()), StructField("at", LongType()), StructField("answered", BooleanType()), StructField("answered_at", LongType())])
+    found = _stateful(slim.groupBy("query")).transformWithState(_Answers(age_ms), schema, "Append", "EventTime")
+    return found.select("query", "request_id", F.timestamp_micros("at").alias("ts"), "answered", F.timestamp_micros("answered_at").alias("answered_at"))
