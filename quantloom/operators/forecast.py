@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.operators import indicators as ind
@@ -15,11 +17,21 @@ def _steps(df: DataFrame) -> DataFrame:
     return df.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(STEPS))))
 
 
+def normal(seed: int, symbol: Column, step: Column) -> Column:
+    """A standard normal number for each (seed, symbol, step), the same however rows are dealt out.
+
+    Two uniform numbers from the sha256 of the three, transformed as Box and Muller do. A null symbol counts as an empty one.
+    """
+    digest = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.coalesce(symbol.cast("string"), F.lit("")), step.cast("string")), 256)
+    uniform = lambda at: (F.conv(F.substring(digest, at, 8), 16, 10).cast("long") + 1) / F.lit(2.0**32 + 1)
+    return F.sqrt(-2 * F.log(uniform(1))) * F.cos(2 * math.pi * uniform(9))
+
+
 def moving_average(bars: DataFrame, seed: int | None = None) -> DataFrame:
-    """yhat is the 20-bar mean at every step, sigma one percent of the price; with a seed, noise is added."""
+    """yhat is the 20-bar mean at every step, sigma one percent of the price; with a seed, noise of this deviation is added."""
     last = ind.latest(ind.sma(ind.numbered(bars), 20))
     df = _steps(last.select("symbol", F.lit("ma").alias("model"), F.col("ma_20").alias("yhat"), (F.col("close") * 0.01).alias("sigma")))
-    return df if seed is None else df.withColumn("yhat", F.col("yhat") + F.col("sigma") * F.randn(seed))
+    return df if seed is None else df.withColumn("yhat", F.col("yhat") + F.col("sigma") * normal(seed, F.col("symbol"), F.col("step")))
 
 
 def linear(bars: DataFrame) -> DataFrame:
@@ -66,26 +78,31 @@ def fit_forest(bars: DataFrame, train_bars: int = 252, trees: int = 50, depth: i
     return RandomForestRegressor(featuresCol="features", labelCol="target", numTrees=trees, maxDepth=depth, seed=seed).fit(_packed(rows)), rows
 
 
-def roll_out(model, rows: DataFrame, start: str = "observed") -> DataFrame:
-    """symbol, model, step, yhat: thirty steps from each symbol's last row."""
-    now = ind.latest(rows).select("symbol", "f_prev", "f_ma5", "f_ma10", "f_ma20", "f_rsi", "f_volume", "f_momentum", "label")
+def roll_out(model, rows: DataFrame, start: str = "observed", noise: int | None = None, deviation: float = 0.015) -> DataFrame:
+    """symbol, model, step, yhat: thirty steps from each symbol's last row.
+
+    With a seed for noise, each step adds normal numbers of so many times the last close, and goes on from there.
+    """
+    now = ind.latest(rows).select("symbol", "f_prev", "f_ma5", "f_ma10", "f_ma20", "f_rsi", "f_volume", "f_momentum", "label", (F.col("label") * deviation).alias("sigma"))
     if start == "next":
         now = now.withColumns({"f_prev": F.col("label"), **{f"f_ma{k}": (F.col(f"f_ma{k}") * (k - 1) + F.col("label")) / k for k in (5, 10, 20)}})
     now = now.withColumn("path", F.array().cast("array<double>")).drop("label")
     keep = now.columns
     for step in range(1, STEPS + 1):
         out = model.transform(_packed(_scaled(now))).withColumn("yhat", F.col("prediction") * F.col("f_prev"))
+        if noise is not None:
+            out = out.withColumn("yhat", F.col("yhat") + F.col("sigma") * normal(noise, F.col("symbol"), F.lit(step)))
         now = out.withColumns({"path": F.array_append("path", F.col("yhat")), "f_prev": F.col("yhat"), **{f"f_ma{k}": (F.col(f"f_ma{k}") * (k - 1) + F.col("yhat")) / k for k in (5, 10, 20)}}).select(*keep)
         if step % 5 == 0:
             now = materialize(now, "rollout")
     return now.select("symbol", F.lit("forest").alias("model"), F.posexplode("path").alias("step", "yhat")).withColumn("step", F.col("step") + 1)
 
 
-def forest(bars: DataFrame, train_bars: int = 252, trees: int = 50, depth: int = 10, seed: int = 42, start: str = "observed") -> DataFrame:
+def forest(bars: DataFrame, train_bars: int = 252, trees: int = 50, depth: int = 10, seed: int = 42, start: str = "observed", noise: int | None = None) -> DataFrame:
     """One forest for all symbols, on features free of scale, rolled out for 30 steps.
 
     Prices are divided by the close before, and the predicted ratio is multiplied back. A step replaces the
     close and updates the means as if the prediction had been observed; the other features stay. start
-    'observed' begins at the features of the last bar, 'next' at those after it.
+    'observed' begins at the features of the last bar, 'next' at those after it. noise as in roll_out().
     """
-    return roll_out(*fit_forest(bars, train_bars, trees, depth, seed), start)
+    return roll_out(*fit_forest(bars, train_bars, trees, depth, seed), start, noise)

@@ -7,10 +7,10 @@ symbol's number of bars.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+
 def by_symbol() -> Window:
     return Window.partitionBy("symbol").orderBy("d")
 
@@ -30,11 +30,18 @@ def lookback_bars(bars: DataFrame, k: int) -> DataFrame:
     return bars.withColumn("_back", F.row_number().over(back)).where(F.col("_back") <= k).drop("_back")
 
 
+#: Calendar lookbacks.
+MONTHS = {"1mo": 1, "3mo": 3, "6mo": 6, "1y": 12, "5y": 60}
+
+
+def first_day(period: str, asof: str) -> Column:
+    return F.add_months(F.to_date(F.lit(asof)), -MONTHS[period])
+
+
 def lookbacks(bars: DataFrame, periods: list[str], asof: str) -> DataFrame:
     """period and the bars of each period before asof: 5d (five bars), 1mo, 3mo, 6mo, 1y, 5y. One pass for all periods."""
-    months = {"1mo": 1, "3mo": 3, "6mo": 6, "1y": 12, "5y": 60}
     back = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("d")))
-    since = lambda p: back <= 5 if p == "5d" else F.col("d") >= F.add_months(F.to_date(F.lit(asof)), -months[p])
+    since = lambda p: back <= 5 if p == "5d" else F.col("d") >= first_day(p, asof)
     held = F.array_compact(F.array(*[F.when(since(p), p) for p in periods]))
     return bars.withColumn("_held", held).withColumn("period", F.explode("_held")).drop("_held")
 
@@ -101,14 +108,78 @@ def macd_latest(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9
     return _ordered_closes(bars).withColumn("m", state).select("symbol", pick(line).alias("macd"), pick(mark).alias("macd_signal"), pick(line - mark).alias("macd_hist"))
 
 
+#: Days of a block of the recursive panels.
+BLOCK_DAYS = 32
+
+
+def _maps(x: str, keep: float, out: str) -> dict[str, Column]:
+    """<out>_a and <out>_b of each bar: the mean after it is a * (the mean before its block) + b.
+
+    A bar is the map e -> keep * e + (1 - keep) * x. A block has at most BLOCK_DAYS of them, so their composition is a sum over the block with weights
+    that stay in range.
+    """
+    block = Window.partitionBy("symbol", "_block").orderBy("d")
+    k = F.row_number().over(block)
+    power = F.pow(F.lit(keep), k)
+    return {f"{out}_a": power, f"{out}_b": power * F.sum(F.col(x) * (1 - keep) / power).over(block)}
+
+
+def _composed(blocks: DataFrame, keep: float, out: str) -> DataFrame:
+    """blocks: symbol, _block, and the maps <out>_a and <out>_b of whole blocks; adds <out>_in, the mean before each block; the first one starts at <out>_0.
+
+    Each round puts to a block's map the one of twice as many blocks before it. It ends when the factor of so many bars is 0 in double precision, as further
+    rounds would change nothing, however long the history.
+    """
+    order, a, b = Window.partitionBy("symbol").orderBy("_block"), f"{out}_a", f"{out}_b"
+    # The first block of a symbol has no mean before it but its first value.
+    first = F.lag("_block").over(order).isNull()
+    blocks = blocks.withColumn(b, F.when(first, F.col(a) * F.col(f"{out}_0") + F.col(b)).otherwise(F.col(b))).withColumn(a, F.when(first, 0.0).otherwise(F.col(a)))
+    step = 1
+    while keep**step > 0 or step == 1:
+        before = lambda c: F.lag(c, step).over(order)
+        blocks = blocks.withColumns({a: F.coalesce(F.col(a) * before(a), F.lit(0.0)), b: F.col(b) + F.coalesce(F.col(a) * before(b), F.lit(0.0))})
+        step *= 2
+    return blocks.withColumn(f"{out}_in", F.coalesce(F.lag(b).over(order), F.col(f"{out}_0")))
+
+
+def _with_means(rows: DataFrame, spans: dict[str, tuple[str, int]], counted: bool = False) -> DataFrame:
+    """rows (symbol, d, _block, ...) with exponential means: out -> (column, span). With counted also n, the number of each bar.
+
+    Bars are dealt by (symbol, block), so that a long history is split over tasks; only a row a block meets in the order of a symbol's blocks.
+    """
+    keeps = {out: 1 - 2.0 / (span + 1) for out, (_, span) in spans.items()}
+    maps: dict[str, Column] = {}
+    for out, (x, _) in spans.items():
+        maps |= _maps(x, keeps[out], out)
+    rows = rows.withColumns(maps | ({"_k": F.row_number().over(Window.partitionBy("symbol", "_block").orderBy("d"))} if counted else {}))
+    ends = [F.max_by(f"{out}_{m}", "d").alias(f"{out}_{m}") for out in spans for m in "ab"] + [F.min_by(x, "d").alias(f"{out}_0") for out, (x, _) in spans.items()]
+    blocks = rows.groupBy("symbol", "_block").agg(*ends, F.count("*").alias("_n"))
+    for out in spans:
+        blocks = _composed(blocks, keeps[out], out)
+    if counted:
+        before = Window.partitionBy("symbol").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    found = rows.join(blocks.select("symbol", "_block", *[f"{out}_in" for out in spans], *(["_before"] if counted else [])), ["symbol", "_block"])
+    found = found.withColumns({out: F.col(f"{out}_a") * F.col(f"{out}_in") + F.col(f"{out}_b") for out in spans})
+    found = found.drop(*[f"{out}_{m}" for out in spans for m in ("a", "b", "in")])
+    return found.withColumn("n", F.col("_before") + F.col("_k")).drop("_before", "_k") if counted else found
+
+
+def _blocks(bars: DataFrame) -> DataFrame:
+    return bars.select("symbol", "d", "close", F.floor(F.datediff("d", F.lit("1970-01-01").cast("date")) / BLOCK_DAYS).alias("_block"))
+
+
 def ema_panel(bars: DataFrame, span: int = 12) -> DataFrame:
-    """symbol, d, ema at every bar. Recursive, so each symbol's closes are folded in one pandas call."""
+    """symbol, d, ema: the exponential mean at every bar, from the first close on."""
+    return _with_means(_blocks(bars), {"ema": ("close", span)}).select("symbol", "d", "ema")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("d")
-        return pd.DataFrame({"symbol": pdf["symbol"], "d": pdf["d"], "ema": pdf["close"].ewm(span=span, adjust=False).mean()})
 
-    return bars.select("symbol", "d", "close").groupBy("symbol").applyInPandas(run, bars.select("symbol", "d").schema.add("ema", "double"))
+def macd_panel(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
+    """symbol, d, macd, macd_signal, macd_hist at every bar; zeros before a symbol's bar number ``slow``."""
+    rows = _with_means(_blocks(bars), {"_fast": ("close", fast), "_slow": ("close", slow)}, counted=True).withColumn("_line", F.col("_fast") - F.col("_slow"))
+    rows = _with_means(rows.select("symbol", "d", "_block", "_line", "n"), {"_mark": ("_line", signal)})
+    pick = lambda c: F.when(F.col("n") >= slow, c).otherwise(0.0)
+    return rows.select("symbol", "d", pick(F.col("_line")).alias("macd"), pick(F.col("_mark")).alias("macd_signal"), pick(F.col("_line") - F.col("_mark")).alias("macd_hist"))
 
 
 def feature_panel(bars: DataFrame) -> DataFrame:

@@ -1,5 +1,10 @@
-"""Fixed schemas of the JSON files; Parquet tables bring their own."""
+"""Fixed schemas of the tables that the library writes and of landed files; other Parquet tables bring their own."""
 
 from __future__ import annotations
 
 POSITION_JSON = "array<struct<symbol:string,shares:double,buy_price:double>>"
+#: Stored daily bars; month (yyyymm) is the folder.
+BARS = "symbol long, d date, open double, high double, low double, close double, volume double, month int"
+#: Positions as lots; a lot's key is all that a trade tells of it.
+LOTS = "portfolio_id long, symbol long, order_id long, line long, paid double, shares double, buy_price double"
+LOT_KEYS = ("portfolio_id", "symbol", "order_id", "line", "paid", "shares")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -86,6 +87,25 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("o_custkey").alias("portfolio_id"), F.col("l_suppkey").alias("symbol"), F.col("l_quantity").alias("shares"), F.col("px").alias("buy_price"))
 
 
+def lot_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of positions: a lot is put in the year it was bought, and those returned are removed in the next; with ``version``, the year."""
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    rows = lots(spark, sf_dir).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    changes = F.array(F.struct(F.lit("put").alias("op"), F.year("d").alias("version")), F.when(F.col("l_returnflag") == "R", F.struct(F.lit("remove").alias("op"), (F.year("d") + 1).alias("version"))))
+    return rows.select(
+        F.col("o_custkey").alias("portfolio_id"), F.col("l_suppkey").alias("symbol"), F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").cast("long").alias("line"), F.col("l_extendedprice").alias("paid"),
+        F.col("l_quantity").alias("shares"), F.col("px").alias("buy_price"), F.explode(F.array_compact(changes)).alias("c"),
+    ).select("*", "c.*").drop("c")
+
+
+def raw_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars as a careless source sends them: some prices missing, not numbers or negative, some days twice."""
+    h = F.pmod(F.col("symbol") * 31 + F.datediff("d", F.lit("1970-01-01").cast("date")), F.lit(97))
+    rows = bars_long(spark, sf_dir)
+    spoilt = rows.withColumn("close", F.when(h == 3, None).when(h == 5, float("nan")).when(h == 7, -F.col("close")).otherwise(F.col("close"))).withColumn("high", F.when(h == 11, F.col("low") - 1).otherwise(F.col("high"))).withColumn("volume", F.when(h == 13, -1.0).otherwise(F.col("volume")))
+    return spoilt.unionByName(rows.where(h == 17).withColumn("close", F.col("close") + 1))
+
+
 def watchlist_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes of watchlists, in the order of ``at``."""
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
@@ -123,11 +143,12 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def json_list(spark: SparkSession, path: str, schema: str = schemas.POSITION_JSON, whole: bool = True) -> DataFrame:
     """Records of JSON lists, one a file, or one a line if not whole; missing, malformed or other content gives no rows."""
-    empty = spark.createDataFrame([], "value string")
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-    text = spark.read.text(path, wholetext=whole) if there else empty
+    try:
+        text = spark.read.text(path, wholetext=whole)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        text = spark.createDataFrame([], "value string")
     rows = text.where(F.trim("value").startswith("[")).select(F.explode(F.from_json("value", schema, {"mode": "PERMISSIVE"})).alias("record"))
     return rows.select("record.*") if "struct" in schema else rows.select(F.col("record").alias("symbol"))
 
