@@ -103,10 +103,14 @@ PARTS = {
         f"CASE WHEN doc_id % 19 <> 0 THEN source END AS source_name, CASE WHEN doc_id % 23 <> 0 THEN TIMESTAMP '{ASOF_NEWS}' - to_hours(CAST(doc_id % 400 AS INTEGER)) END AS pub, doc_id % 400 AS hours, CASE WHEN doc_id % 2 = 0 THEN 'primary' ELSE 'backup' END AS feed, doc_id AS pos, lang, "
         f"CASE WHEN doc_id % 23 = 0 THEN 'unknown' WHEN doc_id % 4 = 1 THEN strftime(TIMESTAMP '{ASOF_NEWS}' - to_hours(CAST(doc_id % 400 AS INTEGER)), '%a, %d %b %Y %H:%M:%S GMT') ELSE strftime(TIMESTAMP '{ASOF_NEWS}' - to_hours(CAST(doc_id % 400 AS INTEGER)), '%Y-%m-%dT%H:%M:%SZ') END AS published_at FROM documents)"
     ),
+    "raw": (
+        "raw AS (SELECT symbol, d, open, CASE WHEN h = 11 THEN low - 1 ELSE high END AS high, low, CASE WHEN h = 3 THEN NULL WHEN h = 5 THEN 'nan'::DOUBLE WHEN h = 7 THEN -close ELSE close END AS close, CASE WHEN h = 13 THEN -1e0 ELSE volume END AS volume, h "
+        "FROM (SELECT *, (symbol * 31 + (d - DATE '1970-01-01')) % 97 AS h FROM bars) UNION ALL SELECT symbol, d, open, high, low, close + 1, volume, 1000 FROM bars WHERE (symbol * 31 + (d - DATE '1970-01-01')) % 97 = 17)"
+    ),
     "ticks": "ticks AS (SELECT user_id AS symbol, ts, value AS price, event_id FROM events)",
 }
 NEEDS = {
-    "bars": ["lots"], "shorts": ["lots"], "num": ["bars"], "snum": ["shorts"], "r": ["num"], "sr": ["snum"], "ind": ["r"], "back": ["bars"], "recent": ["back"], "q": ["recent"], "pos": ["lots"],
+    "bars": ["lots"], "shorts": ["lots"], "num": ["bars"], "snum": ["shorts"], "r": ["num"], "sr": ["snum"], "ind": ["r"], "back": ["bars"], "raw": ["bars"], "recent": ["back"], "q": ["recent"], "pos": ["lots"],
     "val": ["pos", "q"], "watch": ["lots"], "s63": ["back"], "s63n": ["s63"], "s63r": ["s63n"], "s63m": ["s63r"], "last": ["s63m", "q"], "scan": ["last"], "sig": ["ind", "q"],
 }
 

@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quantloom import schemas
 from quantloom.functions import text as fn
-from quantloom.operators import cards, forecast, news, portfolio, scan
+from quantloom.operators import cards, forecast, news, news_index, portfolio, scan
 from quantloom.operators import indicators as ind
 from quantloom.plans import oracle as o
+from quantloom.sources import bars as stored
+from quantloom.sources import feeds, quarantine
 from quantloom.sources import market as src
+from quantloom.sources.changes import ChangeTable
 from quantloom.streaming import streams
 
 ASOF_BARS, ASOF_NEWS = o.ASOF_BARS, o.ASOF_NEWS
@@ -20,8 +24,8 @@ SEARCHES = [" blue", "red", "AL", "", "zzz", "o-m"]
 POPULAR = ["PLTR", "COIN", "SNOW"]
 FALLBACK = [("dow", "AXP"), ("dow", "BA"), ("sp500", "MMM")]
 ROUTES = ["financial markets economy stocks", "technology stocks", "healthcare pharma stocks", "energy oil gas stocks", "banking finance stocks", "mergers acquisitions", "food beverage consumer stocks", "AAPL stock"]
-#: query, count: of categories, of all news, and of symbols that occur in the articles and that do not.
-NEWS = [("mergers acquisitions", 8), ("energy oil gas stocks", 20), ("all", 10), ("REA stock", 20), ("QQQQ stock with reading that", 10)]
+#: query, count: of categories, of all news, of symbols and words that occur in the articles, and of symbols that do not, with and without words that do.
+NEWS = [("mergers acquisitions", 8), ("energy oil gas stocks", 20), ("all", 10), ("THING stock", 20), ("attion ertion thing", 10), ("QQQQ thing onre", 10), ("QQQQ eren with that", 4), ("QQQQ stock with reading that", 10)]
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
@@ -79,12 +83,48 @@ def bars_lookback(spark, sf):
     return ind.lookbacks(src.bars_long(spark, sf), ["1mo", "3mo", "6mo", "1y", "5y", "5d"], ASOF_BARS).select("period", "symbol", "d", "open", "high", "low", "close", "volume")
 
 
+def _stored(spark, sf):
+    path = src.shared_path(spark, "bars")
+    stored.write(src.bars_long(spark, sf), path)
+    return path
+
+
+@query("bar_store_lookback", o.sql("bars", "\nUNION ALL ".join(
+    [f"SELECT '{p}' AS period, symbol, d, open, high, low, close, volume FROM bars WHERE d >= CAST(DATE '{ASOF_BARS}' - INTERVAL {m} MONTH AS DATE)" for p, m in (("1mo", 1), ("1y", 12))]
+    + ["SELECT '5d' AS period, symbol, d, open, high, low, close, volume FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY d DESC) AS b FROM bars) WHERE b <= 5"]
+)))
+def bar_store_lookback(spark, sf):
+    path = _stored(spark, sf)
+    one, year, few = (stored.lookback(spark, path, p, ASOF_BARS) for p in ("1mo", "1y", "5d"))
+    return one.unionByName(year).unionByName(few).select("period", "symbol", "d", "open", "high", "low", "close", "volume")
+
+
+@query("bar_store_scan", o.sql("scan", f"SELECT symbol, {_r('rsi')}, {_r('ma_20')}, {_r('ma_50')}, CAST(t AS INTEGER) AS tech_score FROM scan"))
+def bar_store_scan(spark, sf):
+    df = scan.scan_indicators(stored.last(spark, _stored(spark, sf), scan.LOOKBACK))
+    return df.select("symbol", r4("rsi", "rsi"), r4("ma_20", "ma_20"), r4("ma_50", "ma_50"), scan.score(scan.tech_rules()).alias("tech_score"))
+
+
 @query("quotes_snapshot", o.sql("q", f"SELECT symbol, name AS \"longName\", cur AS \"currentPrice\", reg AS \"regularMarketPrice\", {_r('change', 'change_pct')}, volume, pe, peg, hi, lo, sector, industry, CAST(staff AS DOUBLE) AS staff FROM q"))
 def quotes_snapshot(spark, sf):
     q = src.quotes(spark, sf)
     return q.select("symbol", "longName", "currentPrice", "regularMarketPrice", r4("regularMarketChangePercent", "change_pct"), "volume", F.col("trailingPE").alias("pe"), F.col("pegRatio").alias("peg"), F.col("fiftyTwoWeekHigh").alias("hi"), F.col("fiftyTwoWeekLow").alias("lo"), "sector", "industry", F.col("fullTimeEmployees").cast("double").alias("staff"))
 
 
+_BROKEN = "CASE WHEN h = 3 OR h = 5 THEN 'missing price' WHEN h = 7 THEN 'price not positive' WHEN h = 11 THEN 'high below low' WHEN h = 13 THEN 'bad volume' WHEN h = 1000 THEN 'repeated day' END"
+
+
+@query("bars_rejected", o.sql("raw", f"SELECT symbol, d, broken FROM (SELECT symbol, d, {_BROKEN} AS broken FROM raw) WHERE broken IS NOT NULL"))
+def bars_rejected(spark, sf):
+    return quarantine.rejected(quarantine.checked(src.raw_bars(spark, sf))).select("symbol", "d", F.array_join("broken", ", ").alias("broken"))
+
+
+@query("bars_clean", o.sql("raw", f"SELECT symbol, count(*) AS bars, {_r('avg(close)', 'mean_close')}, max(d) AS last_day FROM raw WHERE {_BROKEN} IS NULL GROUP BY symbol"))
+def bars_clean(spark, sf):
+    rows = quarantine.clean(quarantine.checked(src.raw_bars(spark, sf)))
+    return rows.groupBy("symbol").agg(F.count("*").alias("bars"), r4(F.avg("close"), "mean_close"), F.max("d").alias("last_day"))
+
+
 # ---- indicators
 
 @query("indicator_rsi", o.sql("r", f"SELECT symbol, d, {_r('rsi')} FROM r"))
@@ -152,6 +192,14 @@ def indicator_macd_short(spark, sf):
     return ind.macd_latest(src.bars_short(spark, sf)).select("symbol", *[r4(c, c) for c in ("macd", "macd_signal", "macd_hist")])
 
 
+_PANEL = f"SELECT symbol, d, {_r('CASE WHEN n >= 26 THEN f - s ELSE 0e0 END', 'macd')}, {_r('CASE WHEN n >= 26 THEN g ELSE 0e0 END', 'macd_signal')}, {_r('CASE WHEN n >= 26 THEN f - s - g ELSE 0e0 END', 'macd_hist')} FROM (SELECT e.*, d FROM e JOIN num USING (symbol, n))"
+
+
+@query("indicator_macd_panel", o.sql("num", _PANEL, _macd("num"), True))
+def indicator_macd_panel(spark, sf):
+    return ind.macd_panel(src.bars_long(spark, sf)).select("symbol", "d", *[r4(c, c) for c in ("macd", "macd_signal", "macd_hist")])
+
+
 _FEATURES = ["f_prev", "f_ma5", "f_ma10", "f_ma20", "f_rsi", "f_volume", "f_momentum", "label"]
 
 
@@ -286,6 +334,23 @@ def watchlist_state(spark, sf):
     return portfolio.watchlist_state(src.watchlist_log(spark, sf))
 
 
+_YEARS = (1996, 1998, 2001)
+
+
+@query("positions_as_of", o.sql("lots", f"""SELECT version, portfolio_id, count(*) AS positions, {_r('sum(shares)', 'shares')}, {_r('sum(shares * buy_price)', 'cost')}
+FROM (SELECT DISTINCT o_custkey AS portfolio_id, l_suppkey, l_orderkey, l_linenumber, l_extendedprice, l_quantity AS shares, px AS buy_price, l_returnflag AS f, year(d) AS y FROM lots JOIN orders ON l_orderkey = o_orderkey), (VALUES {', '.join(f'({y})' for y in _YEARS)}) v(version)
+WHERE y <= version AND NOT (f = 'R' AND y + 1 <= version) GROUP BY version, portfolio_id"""))
+def positions_as_of(spark, sf):
+    table = ChangeTable(spark, src.shared_path(spark, "lots"), schemas.LOTS, schemas.LOT_KEYS)
+    log = src.materialize(src.lot_log(spark, sf), "lot-log")
+    for y in [r.version for r in log.select("version").distinct().orderBy("version").collect()]:  # a row a year
+        table.write(log.where(F.col("version") == y), y, F.col("op"))
+    held = lambda y: table.as_of(y).groupBy("portfolio_id").agg(F.count("*").alias("positions"), r4(F.sum("shares"), "shares"), r4(F.sum(F.col("shares") * F.col("buy_price")), "cost")).select(F.lit(y).alias("version"), "*")
+    first = src.materialize(held(_YEARS[0]), "held")
+    table.compact(keep=table.version() - _YEARS[1])
+    return first.unionByName(held(_YEARS[1])).unionByName(held(_YEARS[2]))
+
+
 @query("portfolio_json_roundtrip", o.sql("pos", "SELECT CAST(symbol AS VARCHAR) AS symbol, shares, buy_price FROM pos"))
 def portfolio_json_roundtrip(spark, sf):
     path = src.shared_path(spark, "portfolio-json")
@@ -348,6 +413,13 @@ def market_open(spark, sf):
 _QS = o.query_rows(NEWS)
 
 
+@query("news_feed_files", o.sql("art", "SELECT article_id, title, description, source_name, published_at FROM art"))
+def news_feed_files(spark, sf):
+    path = src.shared_path(spark, "feed")
+    feeds.write(src.articles(spark, sf), path)
+    return feeds.read(spark, path, "primary").select("article_id", "title", "description", F.col("source.name").alias("source_name"), "published_at")
+
+
 @query("news_recent", o.sql("art", f"SELECT article_id, feed FROM art WHERE {o.RECENT}"))
 def news_recent(spark, sf):
     return news.recent(src.articles(spark, sf), ASOF_NEWS).select("article_id", "feed")
@@ -355,8 +427,10 @@ def news_recent(spark, sf):
 
 @query("news_route", o.sql("art", f"SELECT query, any_value({o.route_sql('query')}) AS category, array_to_string(any_value(keywords), ',') AS keywords, count(article_id) AS articles, coalesce(min(pos), -1) AS first_pos FROM qs LEFT JOIN art ON {o.MATCH} GROUP BY query", o.query_rows([(r, 10) for r in ROUTES])))
 def news_route(spark, sf):
-    found = news.asked(src.articles(spark, sf), [(r, 10) for r in ROUTES]).withColumn("ok", news.matches(F.col("title"), F.col("description"), F.col("keywords")))
-    return found.groupBy("query").agg(news.route(F.first("query")).alias("category"), F.array_join(F.first("keywords"), ",").alias("keywords"), F.count_if("ok").alias("articles"), F.coalesce(F.min(F.when(F.col("ok"), F.col("pos"))), F.lit(-1).cast("long")).alias("first_pos"))
+    routes = [(r, 10) for r in ROUTES]
+    found = news.asked(src.articles(spark, sf), routes, lambda q: news.matches(F.col("title"), F.col("description"), q["keywords"])).groupBy("query").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
+    rows = news.asked(spark.range(1), routes).select("query", news.route(F.col("query")).alias("category"), F.array_join("keywords", ",").alias("keywords"))  # one a route
+    return rows.join(found, "query", "left").select("query", "category", "keywords", F.coalesce("n", F.lit(0).cast("long")).alias("articles"), F.coalesce("pos", F.lit(-1).cast("long")).alias("first_pos"))
 
 
 _FETCHED = f"fet AS (SELECT * FROM (SELECT query, count, article_id, title, pos, row_number() OVER (PARTITION BY query ORDER BY pos) AS k FROM art JOIN qs ON {o.MATCH} WHERE feed = 'primary' AND {o.RECENT}) WHERE k <= count)"
@@ -369,8 +443,8 @@ def news_category(spark, sf):
 
 @query("news_category_match", o.sql("art", f"SELECT article_id, query FROM art JOIN qs ON keywords IS NOT NULL AND {o.MATCH}", _QS))
 def news_category_match(spark, sf):
-    rows = news.asked(src.articles(spark, sf), NEWS).where("keywords is not null")
-    return rows.where(news.matches(F.col("title"), F.col("description"), F.col("keywords"))).select("article_id", "query")
+    wanted = lambda q: q["keywords"].isNotNull() & news.matches(F.col("title"), F.col("description"), q["keywords"])
+    return news.asked(src.articles(spark, sf), NEWS, wanted).select("article_id", "query")
 
 
 _CLEAN = "replace(replace(replace(replace(replace(replace(description, '<![CDATA[', ''), ']]>', ''), '<p>', ''), '</p>', ''), '<br>', ' '), '<br/>', ' ')"
@@ -408,19 +482,30 @@ def news_relevance(spark, sf):
     return news.relevance(src.articles(spark, sf), NEWS, ASOF_NEWS).select("query", "article_id", r4("relevance", "relevance"))
 
 
-@query("news_relevance_topk", o.sql("art", "SELECT query, CAST(rank AS INTEGER) AS rank, article_id FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(relevance, 9) DESC, article_id) AS rank FROM (SELECT rel.*, count, row_number() OVER (PARTITION BY rel.query ORDER BY pos) AS k FROM rel JOIN qs ON qs.query = rel.query) WHERE k <= 3 * count) WHERE rank <= count", _SIM))
+_FOUND = "fnd AS (SELECT DISTINCT query, article_id FROM at_ JOIN qt USING (term))"
+_TOP = "SELECT query, CAST(rank AS INTEGER) AS rank, article_id FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(relevance, 9) DESC, article_id) AS rank FROM (SELECT rel.*, count, row_number() OVER (PARTITION BY rel.query ORDER BY pos) AS k FROM rel JOIN fnd USING (query, article_id) JOIN qs ON qs.query = rel.query) WHERE k <= 3 * count) WHERE rank <= count"
+
+
+@query("news_relevance_topk", o.sql("art", _TOP, _SIM + ",\n" + _FOUND))
 def news_relevance_topk(spark, sf):
     return news.top_relevant(src.articles(spark, sf), NEWS, ASOF_NEWS).select("query", "rank", "article_id")
 
 
+@query("news_index_search", o.sql("art", _TOP, _SIM + ",\n" + _FOUND))
+def news_index_search(spark, sf):
+    path = src.shared_path(spark, "news-index")
+    news_index.write(src.articles(spark, sf), path)
+    return news_index.top_relevant(spark, path, NEWS, ASOF_NEWS).select("query", "rank", "article_id")
+
+
 _MERGED = f""",
 few AS (SELECT query, count FROM qs LEFT JOIN (SELECT query, count(*) AS n FROM fet GROUP BY query) USING (query) WHERE coalesce(n, 0) < 5 AND lower(query) NOT IN ({o.GENERAL_SQL})),
-bk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(relevance, 9) DESC, article_id) AS p FROM (SELECT rel.*, few.count, row_number() OVER (PARTITION BY rel.query ORDER BY pos) AS k FROM rel JOIN few ON few.query = rel.query) WHERE k <= 3 * count) WHERE p <= count),
+bk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(relevance, 9) DESC, article_id) AS p FROM (SELECT rel.*, few.count, row_number() OVER (PARTITION BY rel.query ORDER BY pos) AS k FROM rel JOIN fnd USING (query, article_id) JOIN few ON few.query = rel.query) WHERE k <= 3 * count) WHERE p <= count),
 un AS (SELECT query, count, article_id, title, 'primary' AS feed, pos, 0 AS r FROM fet UNION ALL SELECT query, count, article_id, title, 'backup', p, 1 FROM bk),
 on_ AS (SELECT * FROM (SELECT un.*, row_number() OVER (PARTITION BY un.query, CASE WHEN few.query IS NOT NULL THEN lower(title) ELSE CAST(article_id AS VARCHAR) END ORDER BY r, pos) AS k FROM un LEFT JOIN few ON few.query = un.query) WHERE k = 1)"""
 
 
-@query("news_merge", o.sql("art", "SELECT query, CAST(rank AS INTEGER) AS rank, article_id, feed FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY r, pos) AS rank FROM on_) WHERE rank <= count", _QS + ",\nbak AS (SELECT * FROM art WHERE feed = 'backup')," + o.similarity_parts("bak") + ",\n" + _FETCHED + _MERGED))
+@query("news_merge", o.sql("art", "SELECT query, CAST(rank AS INTEGER) AS rank, article_id, feed FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY r, pos) AS rank FROM on_) WHERE rank <= count", _QS + ",\nbak AS (SELECT * FROM art WHERE feed = 'backup')," + o.similarity_parts("bak") + ",\n" + _FOUND + ",\n" + _FETCHED + _MERGED))
 def news_merge(spark, sf):
     return news.merged(src.articles(spark, sf), NEWS, ASOF_NEWS)
 
@@ -435,6 +520,15 @@ def forecast_ma(spark, sf):
     return forecast.moving_average(src.bars_long(spark, sf)).select("symbol", "model", "step", r4("yhat", "yhat"), r4("sigma", "sigma"))
 
 
+_UNIFORM = "(CAST('0x' || substr(h, {}, 8) AS BIGINT) + 1) / 4294967297e0"
+_NOISE = f"SELECT symbol, CAST(step AS INTEGER) AS step, {_r('ma_20 + close * 0.01e0 * sqrt(-2 * ln(' + _UNIFORM.format(1) + ')) * cos(2 * pi() * ' + _UNIFORM.format(9) + ')', 'yhat')} FROM (SELECT symbol, step, ma_20, close, sha256('7:' || symbol || ':' || step) AS h FROM ind CROSS JOIN {_STEP} WHERE n = cnt)"
+
+
+@query("forecast_ma_noise", o.sql("ind", _NOISE))
+def forecast_ma_noise(spark, sf):
+    return forecast.moving_average(src.bars_long(spark, sf), seed=7).select("symbol", "step", r4("yhat", "yhat"))
+
+
 _LIN = f"lin AS (SELECT symbol, CAST(step AS INTEGER) AS step, coalesce(a + b * (cnt + step - 1), last) AS yhat, last FROM (SELECT symbol, regr_slope(close, n - 1e0) AS b, regr_intercept(close, n - 1e0) AS a, count(*) AS cnt, max_by(close, d) AS last FROM num GROUP BY symbol) CROSS JOIN {_STEP})"
 
 
@@ -471,6 +565,12 @@ def stream_bars(spark, sf):
     return df.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+@query("stream_bars_rolled_up", o.sql("ticks", "SELECT symbol, CAST(start AS TIMESTAMP) AS start, open, high, low, close, ticks FROM b WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) FROM ticks) - INTERVAL 1 DAY", _DAYS))
+def stream_bars_rolled_up(spark, sf):
+    df = streams.run_to_files(streams.rolled_up(streams.tick_stream(spark, sf))[1], "rolled-up")
+    return df.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
 @query("stream_latest_quote", o.sql("ticks", "SELECT symbol, max_by(price, ROW(ts, event_id)) AS price, max(ts) AS ts FROM ticks GROUP BY symbol"))
 def stream_latest_quote(spark, sf):
     df = streams.run_latest(streams.latest_quote(streams.tick_stream(spark, sf)), "latest")
@@ -482,10 +582,21 @@ _LIVE = "lq AS (SELECT symbol, max_by(price, ROW(ts, event_id)) AS price FROM ti
 
 @query("stream_portfolio", o.sql("pos ticks", f"SELECT portfolio_id, {_r('v', 'value')}, {_r('c', 'cost')}, {_r('v - c', 'gain')}, {_r('CASE WHEN c > 0 THEN (v - c) / c * 100 ELSE 0e0 END', 'gain_pct')} FROM lv", _LIVE))
 def stream_portfolio(spark, sf):
-    df = streams.live_portfolio(streams.tick_stream(spark, sf), src.positions(spark, sf))
+    df = streams.run_to_table(streams.live_portfolio(streams.tick_stream(spark, sf), src.positions(spark, sf)), "totals", ["portfolio_id"], mode="append").as_of()
     return df.select("portfolio_id", *[r4(c, c) for c in ("value", "cost", "gain", "gain_pct")])
 
 
+_CACHED = """req AS (SELECT event_type AS query, event_id AS request_id, ts FROM events),
+an(query, ts) AS (SELECT query, min(ts) FROM req GROUP BY query UNION ALL SELECT an.query, min(req.ts) FROM an JOIN req ON req.query = an.query AND req.ts >= an.ts + INTERVAL 30 MINUTE GROUP BY an.query)"""
+
+
+@query("stream_query_cache", f"WITH RECURSIVE {_CACHED} SELECT req.query, request_id, req.ts, an.ts = req.ts AND row_number() OVER (PARTITION BY req.query, req.ts ORDER BY request_id) = 1 AS answered, an.ts AS answered_at FROM req ASOF JOIN an ON an.query = req.query AND an.ts <= req.ts WHERE req.ts < (SELECT date_trunc('milliseconds', max(ts)) FROM req) - INTERVAL 30 MINUTE")
+def stream_query_cache(spark, sf):
+    requests = streams.tick_stream(spark, sf, "event_type as query", "event_id as request_id", "ts")
+    df = streams.run_to_files(streams.cached_queries(requests), "answers")
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("ts", "answered_at")})
+
+
 @query("stream_market_hours", "SELECT event_id FROM (SELECT event_id, timezone('America/New_York', timezone('UTC', ts)) AS ny FROM events) WHERE isodow(ny) <= 5 AND hour(ny) * 60 + minute(ny) BETWEEN 570 AND 959")
 def stream_market_hours(spark, sf):
     return streams.run_to_files(streams.market_hours(streams.tick_stream(spark, sf)), "hours").select("event_id")
