@@ -1,9 +1,10 @@
 """Benchmark decontamination: Wu-Manber multi-pattern search over words.
 
 Patterns are the windows of the benchmark items. For each pattern length m a window slides over a document's
-words, and the block of two words that ends it is looked up in the shift table of that length: it says how far
-the window can move before that block could fit a pattern, m - 1 words if the block is in none. The tables are
-hashed into ``CELLS`` cells, each with the least shift of its blocks, so their size is fixed. Where the shift is zero, the bucket of patterns
+words, and the block of words that ends it is looked up in the shift table of that length: it says how far
+the window can move before that block could fit a pattern, to just behind it if the block is in none. The tables are
+hashed into cells, each with the least shift of its blocks. Blocks have two words while patterns are few and up to four when they are many, as
+the common pairs of words of a language then end some pattern; cells are sixteen a pattern, within bounds. Where the shift is zero, the bucket of patterns
 with this suffix block is compared word by word.
 
 Patterns of up to ``MAX_SHARED`` bytes go to every executor with their buckets. More of them stay a table: the
@@ -29,8 +30,12 @@ from quantloom.llm.common import free_name, materialize, raw_texts, small_side,
 
 #: ASCII bytes that end words become blanks, A-Z become a-z.
 FOLDED = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-#: Cells of a shift table, of a byte each.
-CELLS = 1 << 18
+#: Least and most cells of a shift table, of two bytes each.
+CELLS, MOST_CELLS = 1 << 18, 1 << 23
+#: Up to so many patterns blocks have two words, three, and beyond four.
+TWO_WORDS, THREE_WORDS = 1 << 15, 1 << 17
+#: Shifts are numbers of two bytes.
+MAX_WINDOW = 65_535
 #: Bytes of patterns that tasks may hold; as Python objects they take about four times as much.
 MAX_SHARED = 16 << 20
 
@@ -39,8 +44,15 @@ def words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(FOLDED).split()
 
 
-def cell(block: list[bytes]) -> int:
-    return xxhash.xxh3_64_intdigest(b" ".join(block)) & (CELLS - 1)
+def cell(block: list[bytes], cells: int = CELLS) -> int:
+    """cells is a power of two."""
+    return xxhash.xxh3_64_intdigest(b" ".join(block)) & (cells - 1)
+
+
+def sizes(patterns: int) -> tuple[int, int]:
+    """Words of a block and cells of a table."""
+    width = 2 if patterns <= TWO_WORDS else 3 if patterns <= THREE_WORDS else 4
+    return width, min(MOST_CELLS, max(CELLS, 1 << max(patterns * 16 - 1, 1).bit_length()))
 
 
 def windows(items: list[tuple[str, bytes | None]], window: int) -> Iterator[tuple[str, list[bytes]]]:
@@ -52,30 +64,31 @@ def windows(items: list[tuple[str, bytes | None]], window: int) -> Iterator[tupl
             yield item, own[i : i + size]
 
 
-def shifts(pattern: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Cell and shift of each block of a pattern; a pattern of one word is its own block."""
+def shifts(pattern: list[bytes], width: int = 2, cells: int = CELLS) -> Iterator[tuple[int, int]]:
+    """Cell and shift of each block of a pattern; a pattern shorter than a block is its own block."""
     m = len(pattern)
-    for end in range(min(2, m), m + 1):
-        yield cell(pattern[max(0, end - 2) : end]), m - end
+    for end in range(min(width, m), m + 1):
+        yield cell(pattern[max(0, end - width) : end], cells), m - end
 
 
 class WuManber:
     """Finds where patterns of given lengths may be, and with buckets of patterns where they are."""
 
-    def __init__(self, tables: dict[int, np.ndarray], patterns: list[tuple[bytes, list[str]]] | None):
-        self.tables = {m: t.tobytes() for m, t in tables.items()}
+    def __init__(self, tables: dict[int, np.ndarray], patterns: list[tuple[bytes, list[str]]] | None, width: int = 2):
+        self.width, self.tables = width, {m: memoryview(t) for m, t in tables.items()}
+        self.cells = len(next(iter(tables.values()), b"x" * CELLS))
         self.buckets: dict[tuple[int, int], list[tuple[list[bytes], list[str]]]] | None = None if patterns is None else {}
         for text, ids in patterns or ():
             p = text.split(b" ")
-            self.buckets.setdefault((len(p), cell(p[-2:])), []).append((p, ids))
+            self.buckets.setdefault((len(p), cell(p[-width:], self.cells)), []).append((p, ids))
 
     def find(self, text: list[bytes]) -> Iterator[tuple[int, int, list[str]]]:
         """Start, length and items of each occurrence; without buckets, of each place that the shifts let through, with no items."""
-        n = len(text)
+        n, width, cells = len(text), self.width, self.cells
         for m, shift in self.tables.items():
             at = m - 1
             while at < n:
-                block = cell(text[max(at - 1, at - m + 1) : at + 1])
+                block = cell(text[max(at - width, at - m) + 1 : at + 1], cells)
                 step = shift[block]
                 if step == 0:
                     step, start = 1, at - m + 1
@@ -105,24 +118,27 @@ def _patterns(window: int):
     return run
 
 
-def _shifts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        least: dict[tuple[int, int], int] = {}
-        for p in (p.split(b" ") for p in batch.column(0).to_pylist()):
-            for c, step in shifts(p):
-                least[len(p), c] = min(step, least.get((len(p), c), step))
-        if least:
-            m, c = zip(*least, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(m, pa.int32()), pa.array(c, pa.int32()), pa.array(least.values(), pa.int32())], ["m", "cell", "shift"])
-
-
-def _shift_tables(patterns: DataFrame) -> dict[int, np.ndarray]:
-    """For each length the shift of each cell; at most ``window`` lengths of CELLS rows come to the driver."""
-    rows = patterns.select("pattern").mapInArrow(_shifts, "m int, cell int, shift int").groupBy("m", "cell").agg(F.min("shift").alias("shift")).toArrow()
+def _shifts(width: int, cells: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least: dict[tuple[int, int], int] = {}
+            for p in (p.split(b" ") for p in batch.column(0).to_pylist()):
+                for c, step in shifts(p, width, cells):
+                    least[len(p), c] = min(step, least.get((len(p), c), step))
+            if least:
+                m, c = zip(*least, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(m, pa.int32()), pa.array(c, pa.int32()), pa.array(least.values(), pa.int32())], ["m", "cell", "shift"])
+
+    return run
+
+
+def _shift_tables(patterns: DataFrame, width: int, cells: int) -> dict[int, np.ndarray]:
+    """For each length the shift of each cell; at most ``window`` lengths of MOST_CELLS rows come to the driver, as Arrow columns."""
+    rows = patterns.select("pattern").mapInArrow(_shifts(width, cells), "m int, cell int, shift int").groupBy("m", "cell").agg(F.min("shift").alias("shift")).toArrow()
     m, at, shift = (rows[c].to_numpy() for c in ("m", "cell", "shift"))
     tables = {}
     for k in np.unique(m).tolist():
-        tables[k] = np.full(CELLS, max(1, k - 1), np.uint8)
+        tables[k] = np.full(cells, max(1, k - width + 1), np.uint16)
         tables[k][at[m == k]] = np.minimum(shift[m == k], tables[k][at[m == k]])
     return tables
 
@@ -204,21 +220,24 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def contamination(
     docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, least_share: float = 0.05,
 ) -> DataFrame:
-    """For each row of docs: doc_id, n_words, n_hit, items (sorted ids), spans (start and end word of hit runs), contaminated."""
+    """For each row of docs: doc_id, n_words, n_hit, items (sorted ids), spans (start and end word of hit runs), contaminated. window is at most MAX_WINDOW words."""
+    if not 0 < window <= MAX_WINDOW:
+        raise ValueError(f"windows have 1 to {MAX_WINDOW} words")
     spark = docs.sparkSession
     rows = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")).where("item is not null")
     found = rows.mapInArrow(_patterns(window), "item string, m int, pattern binary")
     patterns = materialize(found.groupBy("m", "pattern").agg(F.array_sort(F.collect_set("item")).alias("items")), "patterns")
-    size = patterns.agg(F.sum(F.length("pattern") + 40 + F.aggregate("items", F.lit(0), lambda n, i: n + F.length(i) + 8)).alias("n")).first().n or 0
-    tables = _shift_tables(patterns)
+    size, number = patterns.agg(F.coalesce(F.sum(F.length("pattern") + 40 + F.aggregate("items", F.lit(0), lambda n, i: n + F.length(i) + 8)), F.lit(0)), F.count("*")).first()
+    width, cells = sizes(number)
+    tables = _shift_tables(patterns, width, cells)
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     schema = slim.select("doc_id", *[F.lit(None).cast(t).alias(c) for c, t in RESULT.items()]).schema
     if size <= MAX_SHARED:
-        shared = spark.sparkContext.broadcast((tables, [(bytes(r.pattern), list(r["items"])) for r in patterns.select("pattern", "items").collect()]))
+        shared = spark.sparkContext.broadcast((tables, [(bytes(r.pattern), list(r["items"])) for r in patterns.select("pattern", "items").collect()], width))
         judged = slim.mapInArrow(_search(shared), schema)
     else:
         keyed = materialize(slim.withColumn("key", F.monotonically_increasing_id()), "keyed")  # ids may be repeated or missing
-        places = keyed.select("key", "text").mapInArrow(_places(spark.sparkContext.broadcast((tables, None))), "key long, start int, m int, pattern binary")
+        places = keyed.select("key", "text").mapInArrow(_places(spark.sparkContext.broadcast((tables, None, width))), "key long, start int, m int, pattern binary")
         hits = places.join(patterns, ["m", "pattern"]).groupBy("key").agg(F.collect_set(F.struct("start", "m")).alias("hits"), F.flatten(F.collect_set("items")).alias("items"))
         judged = keyed.join(hits, "key", "left").select("doc_id", "text", "hits", "items").mapInArrow(_gather, schema)
     bad = (F.col("n_hit") > 0) & (F.col("n_hit") >= least_share * F.col("n_words") - 1e-9)
