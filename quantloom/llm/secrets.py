@@ -2,7 +2,7 @@
 
 Two Markov models of order 2 give the probability of each character of a candidate after the two before it:
 one of random strings, one of ordinary identifiers. Both are trained from labelled samples of the corpus at
-hand: values that the fixed patterns find (label 1) and all words outside, also joined by underscores (label 0), counted
+hand: values that the fixed patterns find (label 1) and all words and numbers outside, also joined as compounds() does (label 0), counted
 over all documents; runs of 12 or more that mix letters and digits are no samples. Every run of 12 or more of
 ``[A-Za-z0-9+/_=-]`` with a letter is a candidate: it is a secret of kind ``markov`` if the ratio exceeds ``least_ratio`` nats
 a character and it overlaps no span of the fixed patterns, which always stay.
@@ -40,6 +40,8 @@ SIZE = len(SYMBOLS) + 1
 CODES = np.zeros(256, np.int64)
 CODES[[ord(c) for c in SYMBOLS]] = np.arange(1, SIZE)
 
+#: Nats a character above which a candidate is a secret, chosen on the labelled list of the tests: no ordinary string, nine of ten random keys of 16 characters.
+LEAST_RATIO = 3.0
 #: Characters counted at once.
 PORTION = 1 << 20
 
@@ -77,6 +79,11 @@ def transitions(values: bytes) -> np.ndarray:
     return ((earlier * SIZE + before) * SIZE + c)[c > 0]
 
 
+def compounds(words: bytes) -> list[bytes]:
+    """Ordinary words, and what identifiers, paths, dates and versions make of them and of numbers: joined by marks, or with capitals."""
+    return [words, *(words.replace(b" ", mark) for mark in (b"_", b"-", b"/")), words.title().replace(b" ", b""), words.upper().replace(b" ", b"_")]
+
+
 def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros((2, SIZE**3), np.int64)
     secrets: list[bytes] = []
@@ -84,8 +91,7 @@ def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def add() -> None:
         words = b" ".join(plain)
-        # Words joined by underscores stand for compound identifiers.
-        for label, values in ((0, words), (0, words.replace(b" ", b"_")), (1, b" ".join(secrets))):
+        for label, values in (*((0, v) for v in compounds(words)), (1, b" ".join(secrets))):
             for at in range(0, len(values), PORTION):
                 counts[label] += np.bincount(transitions(values[at : at + PORTION]), minlength=SIZE**3)
         plain.clear()
@@ -163,7 +169,7 @@ def _scan(model, least_ratio: float):
     return run
 
 
-def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: np.ndarray | None = None, least_ratio: float = 1.0) -> DataFrame:
+def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: np.ndarray | None = None, least_ratio: float = LEAST_RATIO) -> DataFrame:
     """doc_id and spans (array of kind, start, end) of each row; the model is trained on docs if none is given."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(train(docs, text) if model is None else model)
@@ -173,7 +179,7 @@ def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mo
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan_secrets(table(spark, sf_dir, "documents"), least_ratio=1.0)
+    found = scan_secrets(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     return found.select("doc_id", *map(count, KINDS), F.sha2(joined(F.filter("spans", lambda s: s["kind"] != "markov")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))

@@ -3,15 +3,17 @@
 import math
 import random
 import re
+import string
 from collections import Counter
 
 from quantloom.llm import secrets
+from quantloom.llm.common import table
 
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{12,}", re.ASCII)
 
 
 def samples(texts):
-    """Labelled values of the corpus: those of the fixed patterns, and all other words, plain and joined by underscores."""
+    """Labelled values of the corpus: those of the fixed patterns, and all other words, plain and as compounds."""
     random_, plain = [], []
     for text in texts:
         chars = list(text)
@@ -21,7 +23,8 @@ def samples(texts):
         rest = "".join(chars)
         plain.append(RUN.sub(lambda m: " " * len(m[0]) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) else m[0], rest))
     words = " ".join(plain)
-    return [words, words.replace(" ", "_")], [" ".join(random_)]
+    ascii_only = lambda f: f(words.encode("latin-1", "replace")).decode("latin-1")
+    return [words, *(words.replace(" ", c) for c in "_-/"), ascii_only(bytes.title).replace(" ", ""), ascii_only(bytes.upper).replace(" ", "_")], [" ".join(random_)]
 
 
 def trigrams(value):
@@ -75,3 +78,25 @@ def test_ratios_like_plain_python(spark):
                     n += 1
         assert {(s.kind, s.start, s.end) for s in row.spans} == expected
     assert n == 3  # the keys without a name
+
+
+ORDINARY = """
+2024-01-30T12-00-00Z 20240130T120000Z 2024-01-30/12-00-00/log1 IMG_20240130_120000 version-10-2-3-beta4 windows-10-x64-build-19045 x86_64-linux-gnu-gcc-12 spark-sql-kafka-0-10_2-13
+XMLHttpRequest2 getElementsByTagName ThreadPoolExecutor2 TestCase_0042_Part3 HTTP_STATUS_404_NOT_FOUND user_id_1234567 utf8mb4_general_ci_2 internationalization ISO-8859-15-variant
+application/json-patch application/vnd_ms-excel text/html-charset-utf-8 org/apache/commons/lang3 node_modules/react-dom/v18 /usr/local/lib/python3 1234567890123456a AAAAAAAAAAAAAAAA ----------BEGIN----------
+""".split()
+
+
+def test_precision_and_recall_on_a_labelled_list(spark):
+    """With the shipped threshold and models trained on the documents: ordinary strings are no secrets, random keys of 16 and more characters are."""
+    model = secrets.train(table(spark, "/root/testdata/sf0.01", "documents"))
+    r = random.Random(11)
+    letters = string.ascii_letters + string.digits
+    keys = {(kind, n): ["".join(r.choice(chars) for _ in range(n)) for _ in range(300)] for kind, chars in (("alphanumeric", letters), ("base64", letters + "+/"), ("hex", "0123456789abcdef")) for n in (16, 20, 24, 31)}
+    rows = [(i, f"see {w} there") for i, w in enumerate([*ORDINARY, *(k for v in keys.values() for k in v)])]
+    found = {x.doc_id: [s.kind for s in x.spans] for x in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string"), model=model, least_ratio=secrets.LEAST_RATIO).collect()}
+    assert [w for i, w in enumerate(ORDINARY) if found[i]] == []
+    at = len(ORDINARY)
+    for v in keys.values():
+        assert sum(found[i] == ["markov"] for i in range(at, at + len(v))) >= 0.9 * len(v)
+        at += len(v)
