@@ -181,15 +181,17 @@ b AS (SELECT doc_id, w, len(w) AS n, list_concat([4294967295], flatten(list_tran
 h AS (SELECT doc_id, w, n, xor(list_reduce(list_transform(bits, lambda v: CAST(v AS BIGINT)), lambda c, v: xor(c >> 1, 3988292384 * (xor(c, v) & 1))), 4294967295) AS h FROM b),
 a AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN h // 10 % n ELSE n END AS a FROM h),
 p AS (SELECT *, 1 + (n - a) // (3 + h // 10 % 8) AS p FROM a),
-d AS (SELECT doc_id, n, list_transform(range(n), lambda i: w[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END]) AS w FROM p),
-g AS (SELECT doc_id, n, unnest(range(n - 4)) AS i, unnest(list_transform(range(n - 4), lambda i: array_to_string(w[i + 1:i + 5], ' '))) AS g FROM d WHERE n >= 6),
+o AS (SELECT doc_id, unnest(range(n)) AS j, unnest(w) AS word FROM p),
+s AS (SELECT doc_id, i, CASE WHEN i >= a THEN a + (i - a) % p ELSE i END AS j FROM (SELECT doc_id, a, p, unnest(range(n)) AS i FROM p)),
+d AS (SELECT doc_id, i, word FROM s JOIN o USING (doc_id, j)),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id) AS n, word || ' ' || lead(word, 1) OVER v || ' ' || lead(word, 2) OVER v || ' ' || lead(word, 3) OVER v || ' ' || lead(word, 4) OVER v AS g FROM d WINDOW v AS (PARTITION BY doc_id ORDER BY i)),
 e AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM g x JOIN g y ON y.doc_id = x.doc_id AND y.g = x.g AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
 k AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM e),
 r AS (SELECT doc_id, min(i) AS start, count(*) + 4 + q AS length, q AS period FROM k GROUP BY doc_id, q, k HAVING count(*) + 4 + q >= greatest(6, 4 * q)),
 f AS (SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM r o WHERE o.doc_id = r.doc_id AND o.period < r.period AND o.start <= r.start AND o.start + o.length >= r.start + r.length)),
 u AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs, arg_min(struct_pack(start := start, length := length, period := period), ROW(-length / period, start, period)) AS best FROM f GROUP BY doc_id),
 x AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM f),
-y AS (SELECT doc_id, list(i) AS gone FROM x GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, CAST(best.start AS BIGINT) AS start, CAST(best.length AS BIGINT) AS length, CAST(best.period AS BIGINT) AS period, CAST(1000 * best.length // best.period AS BIGINT) AS exponent_milli,
-  sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(range(n), lambda i: NOT list_contains(gone, i)), lambda i: w[i + 1]) END, ' '), '')) AS collapsed_sha256
-FROM d LEFT JOIN u ON u.doc_id = d.doc_id LEFT JOIN y ON y.doc_id = d.doc_id"""
+y AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM d ANTI JOIN x USING (doc_id, i) GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, CAST(best.start AS BIGINT) AS start, CAST(best.length AS BIGINT) AS length, CAST(best.period AS BIGINT) AS period, CAST(1000 * best.length // best.period AS BIGINT) AS exponent_milli,
+  sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM t LEFT JOIN u ON u.doc_id = t.doc_id LEFT JOIN y ON y.doc_id = t.doc_id"""
