@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,28 @@ def shared_path(spark: SparkSession, name: str) -> str:
         base = OWN_FOLDER
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{_scratch[-1] if _scratch else base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+_scratch: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is written to the shared folder inside is removed at the end, so results must be written before it, to a path made outside."""
+    path = shared_path(spark, "scratch")
+    _scratch.append(path)
+    try:
+        yield
+    finally:
+        _scratch.remove(path)
+        remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """A folder of the shared one, by the file system that Spark knows for it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
