@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import materialize, small_side, table
+from quantloom.llm.common import materialize, remove, scratch, shared_path, small_side, table
 from quantloom.llm.decontamination import decontaminated
 from quantloom.llm.jaccard_join import jaccard_components
 from quantloom.llm.line_dedup import LineIndex
@@ -68,7 +68,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """What each stage writes for itself is removed at its end, and its input when the next has read it."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        path = shared_path(spark, name)
+        with scratch(spark):
+            found = stage(spark, docs, sf_dir)
+            found.write.parquet(path)
+        docs = spark.read.schema(found.schema).parquet(path)
+        if before is not None:
+            remove(spark, before)
+        before = path
     return docs
