@@ -110,9 +110,9 @@ def _ranked(few: DataFrame, descending: bool) -> DataFrame:
 
 
 def scan_coverage(bars: DataFrame, period: str, asof: str, least: int = LEAST_BARS) -> DataFrame:
-    """How many symbols a calendar lookback leaves analysable, and why others go."""
-    inside = ind.lookbacks(bars, [period], asof).groupBy("symbol").agg(F.count("*").alias("cnt"))
-    every = bars.select("symbol").distinct().join(inside, "symbol", "left")
+    """How many symbols a calendar lookback leaves analysable, and why others go. One scan and one aggregation."""
+    inside = F.count_if(F.col("d") >= ind.first_day(period, asof))
+    every = bars.groupBy("symbol").agg(F.when(inside > 0, inside).alias("cnt"))
     why = F.when(F.col("cnt").isNull(), "no_bars").when(F.col("cnt") < least, "short_history").otherwise("analysed")
     return every.groupBy(why.alias("status")).agg(F.count("*").alias("symbols"))
 

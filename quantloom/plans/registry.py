@@ -498,6 +498,13 @@ def news_index_search(spark, sf):
     return news_index.top_relevant(spark, path, NEWS, ASOF_NEWS).select("query", "rank", "article_id")
 
 
+@query("news_most_similar", o.sql("art", f"SELECT query, CAST(rank AS INTEGER) AS rank, article_id, {_r('similarity')} FROM (SELECT sim.*, count, row_number() OVER (PARTITION BY sim.query ORDER BY round(similarity, 9) DESC, article_id) AS rank FROM sim JOIN qs ON qs.query = sim.query WHERE similarity > 0) WHERE rank <= count", _SIM))
+def news_most_similar(spark, sf):
+    path = src.shared_path(spark, "news-index")
+    news_index.write(src.articles(spark, sf), path)
+    return news_index.most_similar(spark, path, NEWS).withColumn("similarity", r4("similarity"))
+
+
 _MERGED = f""",
 few AS (SELECT query, count FROM qs LEFT JOIN (SELECT query, count(*) AS n FROM fet GROUP BY query) USING (query) WHERE coalesce(n, 0) < 5 AND lower(query) NOT IN ({o.GENERAL_SQL})),
 bk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(relevance, 9) DESC, article_id) AS p FROM (SELECT rel.*, few.count, row_number() OVER (PARTITION BY rel.query ORDER BY pos) AS k FROM rel JOIN fnd USING (query, article_id) JOIN few ON few.query = rel.query) WHERE k <= 3 * count) WHERE p <= count),

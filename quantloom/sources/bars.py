@@ -35,8 +35,8 @@ def write(bars: DataFrame, path: str, mode: str = "overwrite") -> None:
     rows.hint("rebalance", "month").sortWithinPartitions("month", "symbol", "d").write.partitionBy("month").mode(mode).parquet(f"{path}/bars")
     stored = read(bars.sparkSession, path)
     if mode == "append":
-        known = bars.sparkSession.read.parquet(f"{path}/depth").select("month").distinct()
-        stored = stored.join(F.broadcast(known), "month", "left_anti")  # one row a month
+        known = [r.month for r in bars.sparkSession.read.parquet(f"{path}/depth").select("month").distinct().collect()]  # one a month
+        stored = stored.where(~F.col("month").isin(known))
     stored.groupBy("symbol", "month").agg(F.count("*").alias("n")).write.mode(mode).parquet(f"{path}/depth")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
+from quantloom import schemas
 from quantloom.functions.text import market_open
 from quantloom.sources.changes import ChangeTable
 from quantloom.sources.market import shared_path
@@ -16,8 +17,7 @@ from quantloom.sources.market import shared_path
 
 def tick_stream(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """symbol, ts, price, event_id of the landed events, or other expressions of their columns."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern may match a file or a folder
+    rows = spark.readStream.schema(schemas.LANDED["events"]).parquet(f"{sf_dir}/events.parque[t]")  # a pattern may match a file or a folder
     return rows.withColumn("ts", F.col("ts").cast("timestamp")).selectExpr(*(columns or ("user_id as symbol", "ts", "value as price", "event_id")))
 
 

@@ -173,3 +173,14 @@ def test_feed_files(spark, tmp_path):
     stream = feeds.read_stream(spark, path, "backup")
     stream.writeStream.format("memory").queryName("feed_rows").option("checkpointLocation", f"file://{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination()
     assert {(r.article_id, r.title) for r in spark.table("feed_rows").collect()} == got
+
+
+def test_landed_tables_have_declared_schemas_and_dates_reach_the_scan(spark, sf_dir):
+    from quantloom import schemas
+
+    for name in schemas.LANDED:
+        declared, found = src.read(spark, sf_dir, name).schema, spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+        assert {(f.name, f.dataType) for f in declared} == {(f.name, f.dataType) for f in found}
+    recent = src.bars_long(spark, sf_dir, "2001-10-01")
+    assert "GreaterThanOrEqual(l_shipdate" in plan_of(recent)
+    assert rows_of(recent) == rows_of(src.bars_long(spark, sf_dir).where("d >= '2001-10-01'"))

@@ -92,6 +92,23 @@ def test_index_reads_the_folders_of_its_terms(spark, articles, tmp_path):
     assert {r.term for r in df.collect()} == {WORDS[0], WORDS[1]}
 
 
+def test_most_similar_of_all_matches(spark, articles, tmp_path):
+    news_index.write(articles, f"{tmp_path}/index")
+    queries = [*QUERIES, (" ".join(WORDS[:60]), 7), (WORDS[5], 400)]
+    exact = collections.defaultdict(list)
+    for r in news.similarity(articles, queries).collect():
+        exact[r.query].append((-round(r.similarity, 9), r.article_id))
+    matches = news_index.matched(spark, f"{tmp_path}/index", queries).select("query", "article_id", news_index.bound().alias("bound")).collect()
+    known = {(q, i): -s for q, v in exact.items() for s, i in v}
+    assert all(r.bound >= known[r.query, r.article_id] - 1e-9 for r in matches) and len(matches) > 500
+    found = {(r.query, r.rank): (r.article_id, round(r.similarity, 9)) for r in news_index.most_similar(spark, f"{tmp_path}/index", queries).collect()}
+    expected = {}
+    for q, count in queries:
+        best = [x for x in sorted(exact[q]) if x[0] < 0][:count]
+        expected |= {(q, k + 1): (i, -s) for k, (s, i) in enumerate(best)}
+    assert found == expected
+
+
 def test_registered_queries_score_something(spark, sf_dir):
     """Queries of the registry have terms that occur, so that their rows are not all zeros."""
     found = news.similarity(src.articles(spark, sf_dir), registry.NEWS).groupBy("query").agg(F.avg((F.col("similarity") > 0).cast("int")).alias("share")).collect()
