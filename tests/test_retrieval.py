@@ -140,3 +140,15 @@ def test_symbol_search_has_no_cartesian_product(spark):
     assert sorted((r.query, r.rank, r.symbol) for r in found.collect()) == [(" pa", 1, "APA"), (" pa", 2, "PA"), ("a", 1, "AAPL"), ("a", 2, "AMZN"), ("apl", 1, "AAPL"), ("pa", 1, "APA"), ("pa", 2, "PA")]
     assert "CartesianProduct" not in plan_of(found) and "NestedLoop" not in plan_of(found)
     assert sorted((r.query, r.symbol) for r in portfolio.symbol_resolve(symbols, asked).collect())[:3] == [("", ""), (" pa", "APA"), ("a", "AAPL")]
+
+
+def test_terms_are_ranked_once_an_article(articles):
+    plan = plan_of(news.similarity(articles, QUERIES)).splitlines()
+    at = lambda name: next(i for i, x in enumerate(plan) if name in x)
+    assert at("Generate") < at("ArrowEvalPython")  # below it, so that rows of pairs need a division only
+    assert not any("namedlambdavariable" in x.lower() and "sort_array" in x for x in plan)
+    many = [{t: RNG.randint(1, 9) for t in RNG.sample(WORDS, k)} for k in (0, 1, 5, 120, 200)]
+    for n in (0, 3, 90, 900):
+        text = " ".join(RNG.choice(WORDS) for _ in range(n))
+        asked = [" ".join(t for t, k in q.items() for _ in range(k)) for q in many]
+        assert news.cosines(text, [news.query_terms(q) for q in asked]) == pytest.approx([plain_similarity(q, text, "")[0] for q in asked], abs=1e-12)
