@@ -152,3 +152,9 @@ def test_terms_are_ranked_once_an_article(articles):
         text = " ".join(RNG.choice(WORDS) for _ in range(n))
         asked = [" ".join(t for t, k in q.items() for _ in range(k)) for q in many]
         assert news.cosines(text, [news.query_terms(q) for q in asked]) == pytest.approx([plain_similarity(q, text, "")[0] for q in asked], abs=1e-12)
+
+
+def test_boosts_are_found_once_an_article(articles):
+    plan = plan_of(news.relevance(articles, QUERIES, ASOF)).splitlines()
+    generate = next(i for i, x in enumerate(plan) if "Generate" in x)
+    assert all(i > generate for i, x in enumerate(plan) if "gettimestamp" in x or "unix_timestamp" in x)
