@@ -158,3 +158,14 @@ def test_boosts_are_found_once_an_article(articles):
     plan = plan_of(news.relevance(articles, QUERIES, ASOF)).splitlines()
     generate = next(i for i, x in enumerate(plan) if "Generate" in x)
     assert all(i > generate for i, x in enumerate(plan) if "gettimestamp" in x or "unix_timestamp" in x)
+
+
+def test_a_search_cuts_before_matches_of_a_query_meet(articles):
+    for df in (news.searched(articles, QUERIES), news.fetched(articles.withColumn("published_at", F.lit(ASOF)), [("all", 7), ("energy", 3)], ASOF)):
+        plan = plan_of(df)
+        assert "WindowGroupLimit" in plan and "Partial" in plan
+    many = [(f"{WORDS[0]} {WORDS[1]}", 2), (f"{WORDS[0]} {WORDS[1]}", 2), ("the", 9), (WORDS[2], 700)]
+    found = news.searched(articles, many).groupBy("query").count().collect()
+    rows = articles.collect()
+    hits = sum(plain_similarity(WORDS[2], r.title or "", r.description)[1] for r in rows)
+    assert {r["query"]: r["count"] for r in found} == {many[0][0]: 6, WORDS[2]: hits}
