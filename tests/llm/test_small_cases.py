@@ -503,3 +503,15 @@ def test_main_text(spark):
 
 def test_digest_of_nothing():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_neighbours_do_not_depend_on_the_number_of_rows(spark):
+    """A pair that meets in a small table meets in a larger one that holds it."""
+    r = np.random.default_rng(11)
+    rows = [(i, v.tolist()) for i, v in enumerate(r.normal(size=(6000, 64)))]
+    found = lambda n: ann.nearest(spark.createDataFrame(rows[:n], "vec_id long, embedding array<double>"), F.col("vec_id") < 40, k=20).toPandas()
+    few, many = found(500), found(6000)
+    last = many.groupby("query_id").score.min().to_dict()
+    held = set(zip(many.query_id, many.vec_id, strict=True))
+    near = [(q, v) for q, v, s in few[["query_id", "vec_id", "score"]].itertuples(index=False) if s > last[q]]
+    assert len(near) > 20 and set(near) <= held
