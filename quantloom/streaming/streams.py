@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from quantloom import schemas
 from quantloom.functions.text import market_open
@@ -151,46 +152,86 @@ def _stateful(grouped):
     return grouped
 
 
-class _Answers(StatefulProcessor):
-    """Requests of one query in the order of their times: those within ``age`` of the last one answered take its answer."""
+#: Requests of a query that travel as one row.
+PIECE = 128
+
+
+class _Waiting(StatefulProcessor):
+    """Requests of one query and slot of ``age``, kept until the watermark has passed them; then they go on in their order, PIECE a row."""
 
-    def __init__(self, age_ms: int):
-        self.age_ms = age_ms
+    def __init__(self, age_us: int):
+        self.age_us = age_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", "at long, request_id long")
-        self.answered = handle.getValueState("answered", "at long")
 
     def handleInputRows(self, key, rows, timerValues):
         new = [(r.at, r.request_id) for r in rows]
         if new:
             self.waiting.appendList(new)
-            self._wake_at(min(at for at, _ in new) // 1000 + 1)
+            self._wake_at(min(at for at, _ in new))
         return iter(())
 
-    def _wake_at(self, ms: int) -> None:
-        self.handle.registerTimer(ms)
+    def _wake_at(self, us: int) -> None:
+        self.handle.registerTimer(us // 1000 + 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         until = timerValues.getCurrentWatermarkInMs() * 1000
         rows = sorted(self.waiting.get()) if self.waiting.exists() else []
         due, later = [r for r in rows if r[0] < until], [r for r in rows if r[0] >= until]
-        last = self.answered.get()[0] if self.answered.exists() else None
-        for at, request_id in due:
-            fresh = last is None or at - last >= self.age_ms * 1000
-            last = at if fresh else last
-            yield Row(query=key[0], request_id=request_id, at=at, answered=fresh, answered_at=last)
+        for no, first in enumerate(range(0, len(due), PIECE)):
+            ats, ids = zip(*due[first : first + PIECE], strict=True)
+            yield Row(query=key[0], no=no, ats=list(ats), ids=list(ids), until=until)
+        too_old = key[1] + 2 * self.age_us
         if later:
             self.waiting.put(later)
-            self._wake_at(later[0][0] // 1000 + 1)
+            self._wake_at(later[0][0])
         elif rows:
             self.waiting.clear()
         if due:
-            self.answered.update((last,))
-            self._wake_at(last // 1000 + self.age_ms + 1)  # to forget it
-        elif last is not None and not rows and last + self.age_ms * 1000 < until:
+            self._wake_at(too_old)  # an answer of this slot is then forgotten
+        elif not rows and too_old < until:
+            yield Row(query=key[0], no=0, ats=[], ids=[], until=until)
+
+    def close(self) -> None:
+        pass
+
+
+class _Answers(StatefulProcessor):
+    """Pieces of one query's requests in the order of their times: those within ``age`` of the last one answered take its answer.
+
+    A batch brings all that the watermark has newly passed. Its pieces are laid by in the state store, so that only one of them is held at a time.
+    """
+
+    def __init__(self, age_us: int):
+        self.age_us = age_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.pieces = handle.getMapState("pieces", "at long, request_id long, no long", "ats array<long>, ids array<long>")
+        self.answered = handle.getValueState("answered", "at long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        until = 0
+        for r in rows:
+            until = max(until, r.until)
+            if r.ats:
+                self.pieces.updateValue((r.ats[0], r.ids[0], r.no), (r.ats, r.ids))
+        last = self.answered.get()[0] if self.answered.exists() else None
+        for place in sorted(tuple(k) for k in self.pieces.keys()):
+            ats, ids = map(list, self.pieces.getValue(place))
+            first = 0
+            while first < len(ats):
+                fresh = last is None or ats[first] - last >= self.age_us
+                last = ats[first] if fresh else last
+                end = max(bisect_left(ats, last + self.age_us, first), first + 1)
+                yield Row(query=key[0], ats=ats[first:end], ids=ids[first:end], fresh=fresh, answered_at=last)
+                first = end
+        self.pieces.clear()
+        if last is not None and last + self.age_us < until:
             self.answered.clear()
+        elif last is not None:
+            self.answered.update((last,))
 
     def close(self) -> None:
         pass
@@ -200,11 +241,17 @@ def cached_queries(requests: DataFrame, age: str = "30 minutes", delay: str = "3
     """requests (query, request_id, ts), a stream: of each whether it is answered anew, and when its answer was made.
 
     An answer serves the requests of its query less than ``age`` after the request that it was made for, whole days counted too; a served request doesn't make
-    it last longer. Requests are taken in the order of (ts, request_id) once the watermark has passed them, so that rows don't depend on batches, and each
-    key has a timer for it; later ones than ``delay`` are dropped. An answer that is too old is forgotten. A null query is one of its own.
+    it last longer. Requests are taken in the order of (ts, request_id) once the watermark has passed them, so that rows don't depend on batches. They wait
+    by query and slot of ``age``, each with a timer, so that a popular query is spread over tasks; only pieces of them in order meet in the query's
+    own state. Later ones than ``delay`` are dropped. An answer that is too old is forgotten. A null query is one of its own.
     """
-    slim = requests.withWatermark("ts", delay).select("query", F.col("request_id").cast("long").alias("request_id"), F.unix_micros("ts").alias("at"), "ts")
-    age_ms = round(requests.sparkSession.range(1).select(F.expr(f"interval {age}").cast("interval day to second").alias("i")).first().i.total_seconds() * 1000)
-    schema = StructType([StructField("query", StringType()), StructField("request_id", LongType()), StructField("at", LongType()), StructField("answered", BooleanType()), StructField("answered_at", LongType())])
-    found = _stateful(slim.groupBy("query")).transformWithState(_Answers(age_ms), schema, "Append", "EventTime")
-    return found.select("query", "request_id", F.timestamp_micros("at").alias("ts"), "answered", F.timestamp_micros("answered_at").alias("answered_at"))
+    age_us = round(requests.sparkSession.range(1).select(F.expr(f"interval {age}").cast("interval day to second").alias("i")).first().i.total_seconds() * 1e6)
+    at = F.unix_micros("ts")
+    slim = requests.withWatermark("ts", delay).select("query", F.col("request_id").cast("long").alias("request_id"), at.alias("at"), "ts", (at - F.pmod(at, F.lit(max(age_us, 1)))).alias("slot"))
+    longs = ArrayType(LongType())
+    piece = StructType([StructField("query", StringType()), StructField("no", LongType()), StructField("ats", longs), StructField("ids", longs), StructField("until", LongType())])
+    served = StructType([StructField("query", StringType()), StructField("ats", longs), StructField("ids", longs), StructField("fresh", BooleanType()), StructField("answered_at", LongType())])
+    pieces = _stateful(slim.groupBy("query", "slot")).transformWithState(_Waiting(age_us), piece, "Append", "EventTime")
+    found = _stateful(pieces.groupBy("query")).transformWithState(_Answers(age_us), served, "Append", "None")
+    each = found.select("query", F.posexplode(F.arrays_zip("ats", "ids")).alias("i", "r"), "fresh", F.timestamp_micros("answered_at").alias("answered_at"))
+    return each.select("query", F.col("r.ids").alias("request_id"), F.timestamp_micros("r.ats").alias("ts"), (F.col("fresh") & (F.col("i") == 0)).alias("answered"), "answered_at")

@@ -57,6 +57,18 @@ def test_answers_do_not_depend_on_batches(spark, tmp_path):
         assert {(x.query, x.request_id, x.answered, aware(x.answered_at)) for x in found} == expected
 
 
+def test_a_popular_query_is_spread_over_its_slots(spark, tmp_path):
+    """Most requests of a query in one slot, more than travel as one row, and equal times."""
+    r = random.Random(4)
+    rows = [("a", i, at(1) + dt.timedelta(seconds=r.choice((r.randint(0, 20_000), r.randint(3600, 3700))))) for i in range(700)]
+    stream = streams.cached_queries(arriving(spark, tmp_path, [rows, [("z", 999, at(8))]], REQUEST))
+    plan = stream._jdf.queryExecution().analyzed().toString()
+    assert plan.count("TransformWithState") == 2 and "slot" in plan and streams.PIECE < 300
+    found = streams.run_to_files(stream, "answers").collect()
+    aware = lambda t: t.replace(tzinfo=dt.timezone.utc)
+    assert len(found) == 700 and {(x.query, x.request_id, x.answered, aware(x.answered_at)) for x in found} == answers_of(rows, dt.timedelta(minutes=30))
+
+
 TICK = "symbol string, ts timestamp, price double, event_id long"
 
 
