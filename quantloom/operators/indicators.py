@@ -124,22 +124,25 @@ def _maps(x: str, keep: float, out: str) -> dict[str, Column]:
     return {f"{out}_a": power, f"{out}_b": power * F.sum(F.col(x) * (1 - keep) / power).over(block)}
 
 
-def _composed(blocks: DataFrame, keep: float, out: str) -> DataFrame:
+def _composed(blocks: DataFrame, keeps: dict[str, float]) -> DataFrame:
     """blocks: symbol, _block, and the maps <out>_a and <out>_b of whole blocks; adds <out>_in, the mean before each block; the first one starts at <out>_0.
 
-    Each round puts to a block's map the one of twice as many blocks before it. It ends when the factor of so many bars is 0 in double precision, as further
-    rounds would change nothing, however long the history.
+    Each round puts to a block's map the one of twice as many blocks before it, for all means at once. A mean's rounds end when the factor of so many bars is 0 in
+    double precision, as further ones would change nothing, however long the history.
     """
-    order, a, b = Window.partitionBy("symbol").orderBy("_block"), f"{out}_a", f"{out}_b"
+    order = Window.partitionBy("symbol").orderBy("_block")
     # The first block of a symbol has no mean before it but its first value.
     first = F.lag("_block").over(order).isNull()
-    blocks = blocks.withColumn(b, F.when(first, F.col(a) * F.col(f"{out}_0") + F.col(b)).otherwise(F.col(b))).withColumn(a, F.when(first, 0.0).otherwise(F.col(a)))
-    step = 1
-    while keep**step > 0 or step == 1:
+    starts = {f"{out}_b": F.when(first, F.col(f"{out}_a") * F.col(f"{out}_0") + F.col(f"{out}_b")).otherwise(F.col(f"{out}_b")) for out in keeps}
+    blocks = blocks.withColumns(starts | {f"{out}_a": F.when(first, 0.0).otherwise(F.col(f"{out}_a")) for out in keeps})
+    step, open_ = 1, list(keeps)
+    while open_:
         before = lambda c: F.lag(c, step).over(order)
-        blocks = blocks.withColumns({a: F.coalesce(F.col(a) * before(a), F.lit(0.0)), b: F.col(b) + F.coalesce(F.col(a) * before(b), F.lit(0.0))})
+        factor = lambda out, c: F.coalesce(F.col(f"{out}_a") * before(c), F.lit(0.0))
+        blocks = blocks.withColumns({f"{out}_a": factor(out, f"{out}_a") for out in open_} | {f"{out}_b": F.col(f"{out}_b") + factor(out, f"{out}_b") for out in open_})
         step *= 2
-    return blocks.withColumn(f"{out}_in", F.coalesce(F.lag(b).over(order), F.col(f"{out}_0")))
+        open_ = [out for out in open_ if keeps[out] ** step > 0]
+    return blocks.withColumns({f"{out}_in": F.coalesce(F.lag(f"{out}_b").over(order), F.col(f"{out}_0")) for out in keeps})
 
 
 def _with_means(rows: DataFrame, spans: dict[str, tuple[str, int]], counted: bool = False) -> DataFrame:
@@ -154,8 +157,7 @@ def _with_means(rows: DataFrame, spans: dict[str, tuple[str, int]], counted: boo
     rows = rows.withColumns(maps | ({"_k": F.row_number().over(Window.partitionBy("symbol", "_block").orderBy("d"))} if counted else {}))
     ends = [F.max_by(f"{out}_{m}", "d").alias(f"{out}_{m}") for out in spans for m in "ab"] + [F.min_by(x, "d").alias(f"{out}_0") for out, (x, _) in spans.items()]
     blocks = rows.groupBy("symbol", "_block").agg(*ends, F.count("*").alias("_n"))
-    for out in spans:
-        blocks = _composed(blocks, keeps[out], out)
+    blocks = _composed(blocks, keeps)
     if counted:
         before = Window.partitionBy("symbol").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
         blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
@@ -166,7 +168,9 @@ def _with_means(rows: DataFrame, spans: dict[str, tuple[str, int]], counted: boo
 
 
 def _blocks(bars: DataFrame) -> DataFrame:
-    return bars.select("symbol", "d", "close", F.floor(F.datediff("d", F.lit("1970-01-01").cast("date")) / BLOCK_DAYS).alias("_block"))
+    """A bar without symbol or day is in no block. Left out here, rows and blocks of _with_means() have the same filters, so that they share one exchange."""
+    rows = bars.select("symbol", "d", "close", F.floor(F.datediff("d", F.lit("1970-01-01").cast("date")) / BLOCK_DAYS).alias("_block"))
+    return rows.where("symbol is not null and _block is not null")
 
 
 def ema_panel(bars: DataFrame, span: int = 12) -> DataFrame:
@@ -175,9 +179,24 @@ def ema_panel(bars: DataFrame, span: int = 12) -> DataFrame:
 
 
 def macd_panel(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    """symbol, d, macd, macd_signal, macd_hist at every bar; zeros before a symbol's bar number ``slow``."""
-    rows = _with_means(_blocks(bars), {"_fast": ("close", fast), "_slow": ("close", slow)}, counted=True).withColumn("_line", F.col("_fast") - F.col("_slow"))
-    rows = _with_means(rows.select("symbol", "d", "_block", "_line", "n"), {"_mark": ("_line", signal)})
+    """symbol, d, macd, macd_signal, macd_hist at every bar; zeros before a symbol's bar number ``slow``.
+
+    The mean of a mean is a sum of both spans' means of the closes, if the spans differ: with factors p and q it is (1 - q) * p / (p - q) times the mean
+    of p and (p - 1) * q / (p - q) times that of q. So the signal needs no second pass over the bars but a third mean in the first one.
+    """
+    closes, spans = _blocks(bars), {"_fast": ("close", fast), "_slow": ("close", slow)}
+    line = F.col("_fast") - F.col("_slow")
+    if signal in (fast, slow):
+        rows = _with_means(closes, spans, counted=True).withColumn("_line", line)
+        rows = _with_means(rows.select("symbol", "d", "_block", "_line", "n"), {"_mark": ("_line", signal)})
+    else:
+        q = 1 - 2.0 / (signal + 1)
+
+        def smoothed(out: str, span: int) -> Column:
+            p = 1 - 2.0 / (span + 1)
+            return F.col(out) * ((1 - q) * p / (p - q)) + F.col("_own") * ((p - 1) * q / (p - q))
+
+        rows = _with_means(closes, spans | {"_own": ("close", signal)}, counted=True).withColumns({"_line": line, "_mark": smoothed("_fast", fast) - smoothed("_slow", slow)})
     pick = lambda c: F.when(F.col("n") >= slow, c).otherwise(0.0)
     return rows.select("symbol", "d", pick(F.col("_line")).alias("macd"), pick(F.col("_mark")).alias("macd_signal"), pick(F.col("_line") - F.col("_mark")).alias("macd_hist"))
 

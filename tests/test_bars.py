@@ -106,6 +106,30 @@ def test_panels_deal_bars_by_block_and_without_python(spark):
     assert "hashpartitioning(symbol" in plan and "_block" in plan
 
 
+def test_panels_pass_over_the_bars_once(spark, sf_dir):
+    """One scan and one exchange of the bars for rows and blocks, and no second pass for the signal."""
+    df = ind.macd_panel(src.bars_long(spark, sf_dir))
+    found = df.collect()
+    plan = plan_of(df)
+    final = plan.split("Initial Plan")[0]
+    assert "ReusedExchange" in final and final.count("Scan parquet") == 1
+    two = ind.macd_panel(src.bars_long(spark, sf_dir), 9, 26, 9)  # equal spans: the mean of the line itself
+    assert two.count() == len(found) == src.bars_long(spark, sf_dir).count()
+
+
+def test_a_signal_of_the_span_of_a_mean(spark):
+    closes = [10.0 + (i * 7) % 11 for i in range(60)]
+    for fast, slow, signal in ((9, 26, 9), (12, 26, 26), (12, 26, 11)):
+        f = s = closes[0]
+        g, expected = 0.0, []
+        for n, x in enumerate(closes, 1):
+            f, s = f + (x - f) * 2 / (fast + 1), s + (x - s) * 2 / (slow + 1)
+            g += (f - s - g) * 2 / (signal + 1)
+            expected.append((f - s, g) if n >= slow else (0.0, 0.0))
+        got = [(x.macd, x.macd_signal) for x in ind.macd_panel(bars_of(spark, a=closes), fast, slow, signal).orderBy("d").collect()]
+        assert [y for x in got for y in x] == pytest.approx([y for x in expected for y in x], abs=1e-10)
+
+
 def test_noise_is_the_same_however_rows_are_dealt_out(spark):
     bars = bars_of(spark, **{f"s{i}": [10 + i] * 25 for i in range(8)})
     rows = [{(r.symbol, r.step): r.yhat for r in forecast.moving_average(bars.repartition(n), seed=3).collect()} for n in (4, 7)]
