@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -95,6 +97,39 @@ def run_to_table(stream: DataFrame, name: str, keys: list[str], keep: int = 8, m
     return changes
 
 
+#: Rows of a task that are combined at a time.
+COMBINED = 1 << 18
+
+
+def _combining(combine: Callable[[pa.Table], pa.Table]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= COMBINED:
+                yield from combine(pa.Table.from_batches(held)).to_batches()
+                held, n = [], 0
+        if n:
+            yield from combine(pa.Table.from_batches(held)).to_batches()
+
+    return run
+
+
+def _latest_ticks(ticks: pa.Table) -> pa.Table:
+    """Of each symbol the tick of greatest (at, event_id)."""
+    ticks = ticks.sort_by([("symbol", "ascending"), ("at", "descending"), ("event_id", "descending")]).combine_chunks()
+    symbol = ticks["symbol"]
+    first = pa.chunked_array([pa.array([True]), *pc.not_equal(symbol.slice(1), symbol.slice(0, len(symbol) - 1)).chunks])
+    return ticks.filter(first)
+
+
+def _sums(changes: pa.Table) -> pa.Table:
+    """Changes of each portfolio added up."""
+    found = changes.group_by("portfolio_id", use_threads=False).aggregate([("value", "sum"), ("cost", "sum")])
+    return found.select(["portfolio_id", "value_sum", "cost_sum"]).rename_columns(["portfolio_id", "value", "cost"])
+
+
 class _Moves(StatefulProcessor):
     """Of one symbol the last price: a batch of ticks becomes one move, from the price before to the latest."""
 
@@ -103,7 +138,7 @@ class _Moves(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         latest = max(rows, key=lambda r: (r.at, r.event_id))
-        before = self.last.get() if self.last.exists() else None
+        before = self.last.get()
         if before is None or tuple(before[1:]) < (latest.at, latest.event_id):
             self.last.update((latest.price, latest.at, latest.event_id))
             yield Row(symbol=key[0], price=latest.price, before=before[0] if before is not None else None)
@@ -113,16 +148,16 @@ class _Moves(StatefulProcessor):
 
 
 class _Totals(StatefulProcessor):
-    """Running totals of one portfolio, to which each move adds its difference."""
+    """Running totals of one portfolio, to which a batch's changes are added."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.totals = handle.getValueState("totals", "value double, cost double")
 
     def handleInputRows(self, key, rows, timerValues):
-        value, cost = self.totals.get() if self.totals.exists() else (0.0, 0.0)
+        value, cost = self.totals.get() or (0.0, 0.0)
         for r in rows:
-            value += r.shares * (r.price - (r.before or 0.0))
-            cost += r.cost if r.before is None else 0.0
+            value += r.value or 0.0
+            cost += r.cost or 0.0
         self.totals.update((value, cost))
         gain = value - cost
         yield Row(portfolio_id=key[0], value=value, cost=cost, gain=gain, gain_pct=gain / cost * 100 if cost > 0 else 0.0)
@@ -136,14 +171,19 @@ def live_portfolio(ticks: DataFrame, positions: DataFrame) -> DataFrame:
 
     A position counts from its first tick on, as one without quote does not. The ticks of a batch become one move a symbol first, and positions of a portfolio in
     one symbol are added up; a move then goes to the portfolios that hold its symbol, where it changes the totals by shares * (price - price
-    before), whatever else they hold. Ticks may be late: the price of greatest (ts, event_id) stays. A tick without symbol or price changes nothing.
+    before), whatever else they hold. Both states take a row at a time in Python, so ticks of a symbol and changes of a portfolio are combined over Arrow
+    arrays before. Ticks may be late: the price of greatest (ts, event_id) stays. A tick without symbol or price changes nothing.
     """
     held = positions.where("shares >= 0.001").groupBy("portfolio_id", F.col("symbol").cast("string").alias("symbol")).agg(F.sum("shares").alias("shares"), F.sum(F.col("shares") * F.col("buy_price")).alias("cost"))
     slim = ticks.where("price is not null and symbol is not null").select(F.col("symbol").cast("string").alias("symbol"), "price", F.unix_micros("ts").alias("at"), F.col("event_id").cast("long").alias("event_id"))
+    slim = slim.repartition("symbol").mapInArrow(_combining(_latest_ticks), slim.schema)
     move = StructType([StructField("symbol", StringType()), StructField("price", DoubleType()), StructField("before", DoubleType())])
     moves = _stateful(slim.groupBy("symbol")).transformWithState(_Moves(), move, "Append", "None")
     schema = StructType([positions.schema["portfolio_id"], *(StructField(c, DoubleType()) for c in ("value", "cost", "gain", "gain_pct"))])
-    return _stateful(moves.join(held, "symbol").groupBy("portfolio_id")).transformWithState(_Totals(), schema, "Append", "None")
+    before = F.col("before")
+    changes = moves.join(held, "symbol").select("portfolio_id", (F.col("shares") * (F.col("price") - F.coalesce(before, F.lit(0.0)))).alias("value"), F.when(before.isNull(), F.col("cost")).otherwise(0.0).alias("cost"))
+    changes = changes.repartition("portfolio_id").mapInArrow(_combining(_sums), changes.schema)
+    return _stateful(changes.groupBy("portfolio_id")).transformWithState(_Totals(), schema, "Append", "None")
 
 
 def _stateful(grouped):

@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_operators import arriving, at
@@ -96,6 +97,23 @@ def test_live_totals_follow_each_batch(spark, tmp_path):
         assert all(now[p] == pytest.approx(v, abs=1e-8) for p, v in batch.items())
 
 
+def test_states_of_live_totals_meet_combined_rows(spark, tmp_path):
+    """Ticks of a symbol and changes of a portfolio are added up over Arrow before the states, which take a row at a time."""
+    positions = spark.createDataFrame([(p, s, 1.0, 2.0) for p in range(3) for s in "ABC"], "portfolio_id long, symbol string, shares double, buy_price double")
+    live = streams.live_portfolio(arriving(spark, tmp_path, [[("A", at(1), 1.0, 1)]], TICK), positions)
+    plan = live._jdf.queryExecution().analyzed().toString()
+    assert plan.count("MapInArrow") == 2
+    r = random.Random(3)
+    ticks = [(r.choice("ABCD"), r.random(), r.randint(0, 20), i) for i in range(500)]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("symbol", "price", "at", "event_id"), t, strict=True)) for t in ticks[i : i + 90]]) for i in range(0, 500, 90)]
+    rows = [tuple(x.values()) for b in streams._combining(streams._latest_ticks)(iter(batches)) for x in b.to_pylist()]
+    assert sorted(rows) == sorted(max((t for t in ticks if t[0] == s), key=lambda t: t[2:]) for s in "ABCD")
+    changes = pa.RecordBatch.from_pylist([{"portfolio_id": p, "value": v, "cost": c} for p, v, c in [(1, 1.0, 2.0), (None, 4.0, None), (1, 0.5, None), (2, None, None)]])
+    rows = [tuple(x.values()) for b in streams._combining(streams._sums)(iter([changes, changes])) for x in b.to_pylist()]
+    assert sorted(rows, key=str) == [(1, 3.0, 4.0), (2, None, None), (None, 8.0, None)]
+    assert list(streams._combining(streams._sums)(iter([]))) == []
+
+
 ROW = "k long, part string, a double, b string"
 
 
