@@ -70,12 +70,15 @@ def _packed(df: DataFrame) -> DataFrame:
 
 
 def fit_forest(bars: DataFrame, train_bars: int = 252, trees: int = 50, depth: int = 10, seed: int = 42):
-    """The model of the next close over the last, and the feature rows it was fitted on."""
+    """The model of the next close over the last, and the feature rows it was fitted on.
+
+    Each level of the trees is a pass over the rows. Where a row stands in each tree is kept from one to the next, else it is sought from the root again.
+    """
     from pyspark.ml.regression import RandomForestRegressor
 
     panel = ind.feature_panel(bars).where(F.col("n") > F.col("cnt") - train_bars)
     rows = materialize(_scaled(panel).withColumn("target", F.try_divide("label", "f_prev")).dropna(), "panel")
-    return RandomForestRegressor(featuresCol="features", labelCol="target", numTrees=trees, maxDepth=depth, seed=seed).fit(_packed(rows)), rows
+    return RandomForestRegressor(featuresCol="features", labelCol="target", numTrees=trees, maxDepth=depth, seed=seed, cacheNodeIds=True).fit(_packed(rows)), rows
 
 
 def roll_out(model, rows: DataFrame, start: str = "observed", noise: int | None = None, deviation: float = 0.015) -> DataFrame:

@@ -226,6 +226,15 @@ def test_forest_rolls_out_like_plain_python(spark, start):
     assert again.keys() == expected.keys()
 
 
+def test_forest_keeps_places_in_trees_without_changing_them(spark):
+    from pyspark.ml.regression import RandomForestRegressor
+
+    r = random.Random(8)
+    model, rows = forecast.fit_forest(bars_of(spark, **{f"s{k}": [100.0 + 5 * math.sin(i / 7 + k) + r.random() for i in range(60)] for k in range(3)}), trees=4, depth=5)
+    plain = RandomForestRegressor(featuresCol="features", labelCol="target", numTrees=4, maxDepth=5, seed=42, cacheNodeIds=False).fit(forecast._packed(rows))
+    assert model.getCacheNodeIds() and plain.toDebugString.split("\n")[1:] == model.toDebugString.split("\n")[1:]
+
+
 def arriving(spark, folder, files, schema):
     """A stream that reads one file a batch, in order."""
     for k, rows in enumerate(files):
