@@ -1,16 +1,17 @@
-"""Token files: documents' ids in blocks, compressed by an adaptive context-mixing range coder.
+"""Token files: documents' ids in blocks, compressed by a context-mixing range coder.
 
-Format of a record (little-endian): b"QTB1", u32 documents, u32 blocks, u64 ids; i64 document ids, u8 flags
-of missing document ids, u32 ids of each document; then the blocks. A block holds up to 4096 ids and is
-coded by itself: u32 ids, u32 distinct ids, u32 CRC-32 of its ids as u32, u32 bytes of alphabet, u32 words
-of code; the alphabet (sorted ids as base-128 differences); u16 code words.
+Format of a record (little-endian): b"QTB2", u32 documents, u32 blocks, u64 ids; i64 document ids, u8 flags
+of missing document ids, u32 ids of each document; then the blocks. A block holds up to 4096 ids: u32 ids,
+u32 CRC-32 of its ids as u32, u32 words of code; u16 code words. Before each 1536 blocks stands what this group
+shares: u32 bytes, u32 their CRC-32, and base-128 numbers: distinct ids, places with a follower, the sorted ids as
+differences, their frequencies less 1, the places as differences, their followers, how sure these are, and shares.
 
-Within a block an id is a place in its alphabet. For each id three predictors share the coding interval:
-the id that last followed the two ids before it (order 2), the id that last followed the one before it
-(order 1), and the counts of ids so far (order 0). Every 512 ids the shares are renewed from how often each
-order was right at the same confidences, and the counts of order 0 from the block so far. The interval is
-coded by a range coder of 48 bits with 16-bit words. Blocks do not depend on one another, so numpy codes one
-id of many blocks at each step.
+An id is coded as its place by frequency in its group. Three predictors share the coding interval: the id that last
+followed the two ids before it within the block (order 2), the likeliest follower of the one before it in the group
+(order 1), and the frequencies of the group (order 0). The shares are how often each order is right in the group at
+the same confidences. The interval is coded by a range coder of 52 bits with 16-bit words. Given what the group
+shares, blocks do not depend on one another, so numpy codes one id of many blocks at each step; what is known of all
+ids before coding is computed for many steps at once.
 
 Null and empty texts have the end id only. Rows are written in ascending order of document id, missing ids
 first; rows of one id stay separate. A bad checksum raises ValueError. An empty table gives no records.
@@ -32,187 +33,187 @@ from pyspark.sql import functions as F
 from quantloom.llm.common import raw_texts, shared_path, small_side, table
 from quantloom.llm.tokens import default_tokenizer, encoder
 
-BLOCK, REFRESH, RECENT = 4096, 512, 4096
-#: Blocks coded side by side.
-LANES = 1536
-SHARE_BITS = 12
+BLOCK, RECENT = 4096, 4096
+#: Blocks of a group, coded side by side.
+GROUP = 1536
+#: Steps of which the intervals are found at once.
+ROWS = 128
+SHARE_BITS, LEAST_REST = 10, 16
 SHARES = 1 << SHARE_BITS
-MAGIC = b"QTB1"
-#: The interval is at least 2**32 units before each id, and a code word holds 16 bits.
-LEAST = 1 << 32
+#: No prediction; other places are below it.
+NONE = (1 << 24) - 1
+SURER = 1 << 24
+STATES = 64
+#: Contexts of two places are spread over RECENT cells.
+SPREAD = 2477
+MAGIC = b"QTB2"
+#: The interval is at least that before each id, and at most 2**52; a code word holds 16 bits.
+LEAST = 1 << 36
 #: Texts are tokenized in portions of about this size.
 PORTION_BYTES = 4 << 20
 RECORD = "part int, seq int, start long, n_ids long, record binary"
 
 
 class _Model:
-    """Predictors of many blocks at once; all arrays are flat, lane after lane.
+    """What the blocks of a group share: frequencies of order 0, the likeliest follower of each place, shares of the interval.
 
-    A prediction is confidence << 16 | id, confidence 0 (never used) to 3. A state is the confidences of
-    both predictions and whether they agree; ``right`` counts, by state, which order was right.
+    Places count from the most frequent id. A prediction is its confidence << 24 (order 2, 0 to 3) or << 26 (order 1,
+    0 to 7) | a place, or NONE. A state is both confidences and whether the places agree, a kind is the order that was
+    right (0 to 2). The interval of an id is begin + rest * below to begin + span + rest * (below + freq), by state and kind.
     """
 
-    def __init__(self, sizes: np.ndarray, slots: bool):
-        n, self.width = len(sizes), int(sizes.max())
-        lane = np.arange(n)
-        self.at0, self.at1, self.at2, self.at3 = lane * (self.width + 1), lane * self.width, lane * RECENT, lane * 32
-        self.first = np.zeros(n * self.width, np.int32)
-        self.second = np.zeros(n * RECENT, np.int32)
-        self.right = np.tile(np.array([4, 1, 1, 0], np.int32), n * 32)
-        self.counts = (np.arange(self.width)[None, :] < sizes[:, None]).astype(np.int32)
-        self.flat = self.counts.reshape(-1)
-        self.slots = slots
-        state = np.arange(32)
-        self.can2 = np.tile(state >> 3 > 0, n)
-        self.can1 = np.tile(((state >> 1) & 3 > 0) & ((state & 1 == 0) | (state >> 3 == 0)), n)
-        self.refresh()
-
-    def refresh(self) -> None:
-        """Shares of the interval from what was right so far, and order-0 counts."""
-        n = len(self.counts)
-        seen = self.right.reshape(-1, 4)
-        unit = (SHARES - 64) / seen.sum(1)
-        two = np.where(self.can2, (seen[:, 2] * unit).astype(np.int64), 0)
-        self.shares = two | (two + np.where(self.can1, (seen[:, 1] * unit).astype(np.int64), 0)) << 16
-        below = np.zeros((n, self.width + 1), np.int32)
-        np.cumsum(self.counts, axis=1, out=below[:, 1:])
-        self.total = below[:, -1].copy()
-        self.below = below.reshape(-1)
-        if self.slots:
-            self.slot = np.repeat(np.tile(np.arange(self.width, dtype=np.uint16), n), self.flat)
-            self.slot_at = np.cumsum(self.total) - self.total
-
-    def predict(self, m: int, one: np.ndarray, two: np.ndarray) -> None:
-        """For the first m lanes: both predictions, and where the shares of orders 2 and 1 end."""
-        self.i1 = self.at1[:m] + one
-        self.i2 = self.at2[:m] + ((two * 40503 + one * 2477) & (RECENT - 1))
-        self.p1, self.p2 = self.first.take(self.i1), self.second.take(self.i2)
-        self.c1, self.c2 = self.p1 & 0xFFFF, self.p2 & 0xFFFF
-        self.state = self.at3[:m] + (((self.p2 >> 16) << 3) | ((self.p1 >> 16) << 1) | (self.c1 == self.c2))
-        shares = self.shares.take(self.state)
-        self.end2, self.end1 = shares & 0xFFFF, shares >> 16
-
-    def learn(self, m: int, x: np.ndarray, kind: np.ndarray) -> None:
-        self.right[(self.state << 2) + kind] += 2
-        fresh = x.astype(np.int32) | 0x10000
-        self.first[self.i1] = np.where(self.c1 == x, np.minimum(self.p1 + 0x10000, self.c1 | 0x30000), fresh)
-        self.second[self.i2] = np.where(self.c2 == x, np.minimum(self.p2 + 0x10000, self.c2 | 0x30000), fresh)
-        self.flat[self.at1[:m] + x] += 1
-
-
-def _active(lengths: np.ndarray) -> list[int]:
-    """How many lanes have an id at each step; lengths descend."""
-    return np.searchsorted(-lengths, -np.arange(int(lengths[0])), "left").tolist()
-
-
-def _encode_lanes(ids: np.ndarray, sizes: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
-    """ids: places in the alphabet, a row for each block; lengths descend. The code words of each block."""
-    n, model = len(lengths), _Model(sizes, slots=False)
-    stride = 2 * int(lengths[0]) + 8
-    out, pos = np.zeros(n * stride, np.int32), np.arange(n) * stride + 1  # the first word only takes a carry
-    low, size = np.zeros(n, np.int64), np.full(n, (1 << 48) - 1)
-    columns = np.ascontiguousarray(ids.T)
-    one = two = np.zeros(n, np.int64)
-    for t, m in enumerate(_active(lengths)):
-        if t and t % REFRESH == 0:
-            model.refresh()
-        x, one, two = columns[t, :m], one[:m], two[:m]
-        model.predict(m, one, two)
-        end2, end1 = model.end2, model.end1
-        hit2 = (model.c2 == x) & (end2 > 0)
-        hit1 = hit2 | ((model.c1 == x) & (end1 > end2))
-        start = np.where(hit2, 0, np.where(hit1, end2, end1))
-        unit = size[:m] >> SHARE_BITS
-        low[:m] += unit * start
-        size[:m] = unit * (np.where(hit2, end2, np.where(hit1, end1, SHARES)) - start)
-        rest = np.flatnonzero(~hit1)
-        unit = size[rest] // model.total[rest]
-        at = model.at0[rest] + x[rest]
-        below = model.below.take(at)
-        low[rest] += unit * below
-        size[rest] = unit * (model.below.take(at + 1) - below)
-        due = np.flatnonzero(size[:m] < LEAST)
-        while due.size:
-            lo = low[due]
-            at = pos[due]
-            out[at] = lo >> 32  # with any carry, which _carried passes on
-            pos[due] = at + 1
-            low[due] = (lo & 0xFFFFFFFF) << 16
-            size[due] = sz = size[due] << 16
-            due = due[sz < LEAST]
-        model.learn(m, x, hit2.view(np.int8) + hit1)
-        one, two = x, one
-    for shift in (32, 16, 0):
-        out[pos] = low >> 32 if shift == 32 else (low >> shift) & 0xFFFF
-        pos += 1
-    return [out[i * stride : pos[i]] for i in range(n)]
+    def __init__(self, freq: np.ndarray, best: np.ndarray):
+        self.freq, self.best, self.below = freq, best, np.cumsum(freq) - freq
+        self.bits = int(freq.sum()).bit_length() - 1
+        self.unit_bits = self.bits + SHARE_BITS
+
+    def share(self, shares: np.ndarray) -> None:
+        """shares: those of orders 1 and 2 for each state. Tables are by case: state << 2 | kind."""
+        self.shares = shares
+        one, two = (shares << self.bits).T
+        none, left = np.zeros_like(one), SHARES - shares.sum(1)
+        self.begin = np.stack([one + two, two, none, none], 1).reshape(-1)
+        self.span = np.stack([none, one, two, none], 1).reshape(-1)
+        self.rest = np.stack([left, none, none, none], 1).reshape(-1)
+
+
+def _frequencies(counts: np.ndarray) -> np.ndarray:
+    """In proportion to counts, at least 1 each, with a power of two as their sum."""
+    k = len(counts)
+    bits = max(k.bit_length() + 1, min(20, k.bit_length() + 6))
+    ends = np.cumsum(counts) * ((1 << bits) - k) // max(1, int(counts.sum())) + np.arange(1, k + 1)
+    return np.diff(ends, prepend=0)
+
+
+def _followers(columns: np.ndarray, k: int) -> np.ndarray:
+    """The likeliest follower of each place by every eighth block; a wrong one costs bits, never a wrong id."""
+    some = columns[:, ::8]
+    pair = np.sort((some[:-1] * k + some[1:]).reshape(-1))
+    first = np.flatnonzero(np.diff(pair, prepend=-1))
+    count, (place, follower) = np.diff(first, append=len(pair)), np.divmod(pair[first], k)
+    total = np.bincount(place, count, k).astype(np.int64)[place]
+    good = np.flatnonzero((count >= 4) & (16 * count >= total))
+    good = good[np.argsort(count[good], kind="stable")]  # of one place, the commonest comes last
+    best = np.full(k, NONE)
+    best[place[good]] = (np.minimum(1 + 7 * count[good] // total[good], 7) << 26) | follower[good]
+    return best
+
+
+def _cells(one: np.ndarray, earlier: np.ndarray) -> np.ndarray:
+    """Where order 2 keeps what last followed two places."""
+    return (one + SPREAD * earlier) & (RECENT - 1)
+
+
+def _encode_lanes(columns: np.ndarray, model: _Model) -> list[np.ndarray]:
+    """columns: places, a column for each block below two rows of zeros. The code words of each block; sets the model's shares."""
+    length, n = len(columns) - 2, columns.shape[1]
+    lane, second, found = np.arange(n) * RECENT, np.full(n * RECENT, NONE, np.int32), np.zeros((length, n), np.int32)
+    cases, right = np.zeros((length, n), np.uint8), np.zeros(4 * STATES, np.int64)
+    for r in range(0, length, ROWS):
+        p2s = found[r : r + ROWS]
+        earlier, one, x = (columns[r + i : r + i + len(p2s)] for i in range(3))
+        places = x.astype(np.int32)
+        for at, p2, c, new, most in zip(_cells(one, earlier) + lane, p2s, places, places + SURER, places + 3 * SURER, strict=True):
+            second.take(at, out=p2, mode="clip")
+            second[at] = np.where((p2 & NONE) == c, np.minimum(p2 + SURER, most), new)
+        p1 = model.best.take(one)
+        c1, c2 = p1 & NONE, p2s & NONE
+        hit2 = c2 == x
+        case = (((p1 - c1 + p2s - c2) >> 24) << 3) + ((c1 == c2) << 2) + 2 * hit2 + (~hit2 & (c1 == x))
+        right += np.bincount(case.reshape(-1), minlength=4 * STATES)
+        cases[r : r + ROWS] = case
+    right = right.reshape(-1, 4)
+    shares = right[:, 1:3] * (SHARES - LEAST_REST) // np.maximum(1, right.sum(1))[:, None]
+    model.share(np.maximum(shares, right[:, 1:3] > 0))
+    low, size = np.zeros(n, np.int64), np.full(n, (1 << 52) - 1)
+    words, lanes = [], []
+    for r in range(0, length, ROWS):
+        case, x = cases[r : r + ROWS], columns[r + 2 : r + ROWS + 2]
+        rest = model.rest.take(case)
+        begins, widths = model.begin.take(case) + rest * model.below.take(x), model.span.take(case) + rest * model.freq.take(x)
+        for begin, width in zip(begins, widths, strict=True):
+            unit = size >> model.unit_bits
+            low += unit * begin
+            size = unit * width
+            due = (size < LEAST).nonzero()[0]
+            while due.size:
+                high = low.take(due)
+                words.append((high >> 36).astype(np.int32))  # with any carry, which _carried passes on
+                lanes.append(due.astype(np.uint16))
+                low[due] = (high & (LEAST - 1)) << 16
+                size[due] = wide = size.take(due) << 16
+                due = due[wide < LEAST]
+    words.append(((low + LEAST - 1) >> 36).astype(np.int32))
+    lanes.append(np.arange(n, dtype=np.uint16))
+    own = np.concatenate(lanes)
+    return np.split(np.concatenate(words)[np.argsort(own, kind="stable")], np.cumsum(np.bincount(own))[:-1])
 
 
 def _carried(words: np.ndarray) -> np.ndarray:
     while (over := words >> 16).any():
         words = words & 0xFFFF
         words[:-1] += over[1:]
-    return words[1:].astype("<u2")
+    return words.astype("<u2")
 
 
-def _decode_lanes(codes: list[np.ndarray], sizes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    n, model = len(lengths), _Model(sizes, slots=True)
-    stride = max(map(len, codes)) + 8
+def _decode_lanes(codes: list[np.ndarray], length: int, model: _Model) -> np.ndarray:
+    """A column of places for each block."""
+    n, stride = len(codes), max(map(len, codes)) + 8
     words = np.zeros((n, stride), np.int64)
     for row, c in zip(words, codes, strict=True):
         row[: len(c)] = c
     words = words.reshape(-1)
-    pos = np.arange(n) * stride
-    code = (words[pos] << 32) | (words[pos + 1] << 16) | words[pos + 2]
-    pos += 3
-    size = np.full(n, (1 << 48) - 1)
-    columns = np.zeros((int(lengths[0]), n), np.int64)
-    one = two = np.zeros(n, np.int64)
-    for t, m in enumerate(_active(lengths)):
-        if t and t % REFRESH == 0:
-            model.refresh()
-        one, two = one[:m], two[:m]
-        model.predict(m, one, two)
-        end2, end1 = model.end2, model.end1
-        unit = size[:m] >> SHARE_BITS
-        value = (code[:m] / unit).astype(np.int64)  # exact: both are below 2**48
-        hit2, hit1 = value < end2, value < end1
-        start = np.where(hit2, 0, np.where(hit1, end2, end1))
-        code[:m] -= unit * start
-        size[:m] = unit * (np.where(hit2, end2, np.where(hit1, end1, SHARES)) - start)
-        x = np.where(hit2, model.c2, model.c1).astype(np.int64)
-        rest = np.flatnonzero(~hit1)
-        total, left = model.total[rest], code[rest]
-        unit = size[rest] // total
-        value = np.minimum((left / unit).astype(np.int64), total - 1)
-        found = model.slot.take(model.slot_at[rest] + value)
-        at = model.at0[rest] + found
-        below = model.below.take(at)
-        code[rest] = left - unit * below
-        size[rest] = unit * (model.below.take(at + 1) - below)
-        x[rest] = found
-        due = np.flatnonzero(size[:m] < LEAST)
+    pos = np.arange(n) * stride + 3
+    code = (words[pos - 3] << 36) | (words[pos - 2] << 20) | (words[pos - 1] << 4) | (words[pos] >> 12)
+    words[:-1] = ((words[:-1] & 0xFFF) << 4) | (words[1:] >> 12)  # 52 bits are no whole number of words
+    slots = np.repeat(np.arange(len(model.freq)), model.freq).astype(np.uint16 if len(model.freq) < 1 << 16 else np.int32)
+    lane, second = np.arange(n), np.full(n * RECENT, NONE)
+    cell, size = lane * RECENT, np.full(n, (1 << 52) - 1)
+    inside, unit_bits, bits = np.array((1 << model.unit_bits) - 1), np.array(model.unit_bits), np.array(model.bits)
+    none, low24, sixteen, share_bits, least = (np.array(v) for v in (NONE, 24, 16, SHARE_BITS, LEAST))
+    case = np.arange(4 * STATES)
+    kind = case & 3
+    # The case of each share of each state; by case, where its place is found, what is divided by, and a cell's new confidence.
+    one, two = model.shares.T
+    cases = np.repeat(np.flatnonzero(kind < 3), np.stack([SHARES - one - two, one, two], 1).reshape(-1)).reshape(STATES, SHARES)
+    cases = np.ascontiguousarray(cases[:, ::-1]).reshape(-1)  # order 2 comes first
+    source, divisor = kind % 3 * n, np.maximum(model.rest, 1)
+    sure = np.where(kind == 2, np.minimum(((case >> 3) & 3) + 1, 3), 1) << 24
+    columns, found = np.zeros((length + 2, n), np.int64), np.zeros((3, n), np.int64)
+    place, c1, c2 = found
+    for earlier, one, x in zip(columns, columns[1:], columns[2:], strict=False):
+        at = _cells(one, earlier) + cell
+        p1, p2 = model.best.take(one), second.take(at)
+        np.bitwise_and(p1, none, out=c1)
+        np.bitwise_and(p2, none, out=c2)
+        state = (((p1 - c1 + p2 - c2) >> low24) << 1) + (c1 == c2)
+        unit = size >> unit_bits
+        value = code // unit & inside
+        case = cases.take((state << share_bits) + (value >> bits))
+        begin, rest = model.begin.take(case), model.rest.take(case)
+        place[:] = slots.take((value - begin) // divisor.take(case), mode="clip")
+        found.take(source.take(case) + lane, out=x, mode="clip")
+        code -= unit * (begin + rest * model.below.take(x))
+        size = unit * (model.span.take(case) + rest * model.freq.take(x))
+        due = (size < least).nonzero()[0]
         while due.size:
-            at = pos[due]
-            code[due] = (code[due] << 16) | words.take(at)
-            pos[due] = at + 1
-            size[due] = sz = size[due] << 16
-            due = due[sz < LEAST]
-        model.learn(m, x, hit2.view(np.int8) + hit1)
-        columns[t, :m] = x
-        one, two = x, one
-    return np.ascontiguousarray(columns.T)
-
-
-def _packed(alphabet: np.ndarray) -> bytes:
-    """Sorted ids as differences in base 128, low digits first, the last digit of each with its high bit clear."""
-    gaps = np.diff(alphabet.astype(np.int64), prepend=0)
-    digits = np.maximum(1, (np.floor(np.log2(np.maximum(gaps, 1))).astype(np.int64) + 7) // 7)
-    at = np.concatenate([[0], np.cumsum(digits)])
-    out = np.zeros(int(at[-1]), np.uint8)
+            next_word = pos.take(due)
+            code[due] = (code.take(due) << sixteen) | words.take(next_word, mode="clip")
+            pos[due] = next_word + 1
+            size[due] = wide = size.take(due) << sixteen
+            due = due[wide < least]
+        second[at] = x + sure.take(case)
+    return columns[2:]
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers in base 128, low digits first, the last digit of each with its high bit clear."""
+    digits = (np.floor(np.log2(np.maximum(values, 1))).astype(np.int64) + 7) // 7
+    at = np.cumsum(digits) - digits
+    out = np.zeros(int(digits.sum()), np.uint8)
     for k in range(int(digits.max(initial=0))):
         own = digits > k
-        out[at[:-1][own] + k] = ((gaps[own] >> (7 * k)) & 127) | ((digits[own] > k + 1) << 7)
+        out[at[own] + k] = ((values[own] >> (7 * k)) & 127) | ((digits[own] > k + 1) << 7)
     return out.tobytes()
 
 
@@ -221,46 +222,73 @@ def _unpacked(raw: bytes) -> np.ndarray:
     last = np.flatnonzero(b < 128)
     first = np.concatenate([[0], last[:-1] + 1])
     place = np.arange(len(b)) - np.repeat(first, last - first + 1)
-    return np.cumsum(np.add.reduceat((b & 127) << (7 * place), first))
+    return np.add.reduceat((b & 127) << (7 * place), first)
+
+
+def _encode_group(ids: np.ndarray) -> list[bytes]:
+    length = -(-len(ids) // -(-len(ids) // BLOCK))
+    blocks = [ids[i : i + length] for i in range(0, len(ids), length)]
+    if int(ids.max()) < 1 << 20:
+        counts = np.bincount(ids)
+        alphabet, at = np.flatnonzero(counts), (np.cumsum(counts > 0) - 1).astype(np.int32)[ids]
+        counts = counts[alphabet]
+    else:
+        alphabet, at, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    freq = _frequencies(counts)
+    order = np.argsort(-freq, kind="stable")
+    filled = np.zeros(len(blocks) * length, np.int32)  # with less than one id a block more
+    filled[: len(ids)] = np.argsort(order).astype(np.int32)[at]
+    columns = np.concatenate([np.zeros((2, len(blocks)), np.int64), filled.reshape(-1, length).T])
+    model = _Model(freq[order], _followers(columns[2:], len(order)))
+    codes = _encode_lanes(columns, model)
+    known = np.flatnonzero(model.best != NONE)
+    best = model.best[known]
+    gaps = np.diff(alphabet.astype(np.int64), prepend=0)
+    raw = _packed(np.concatenate([[len(order), len(known)], gaps, freq - 1, np.diff(known, prepend=0), best & NONE, best >> 26, model.shares.reshape(-1)]))
+    out = [struct.pack("<3I", len(b), zlib.crc32(b.astype("<u4").tobytes()), len(c)) + c.tobytes() for b, c in zip(blocks, map(_carried, codes), strict=True)]
+    out[0] = struct.pack("<2I", len(raw), zlib.crc32(raw)) + raw + out[0]
+    return out
 
 
 def encode_blocks(ids: np.ndarray) -> list[bytes]:
-    """The blocks of one row of ids."""
-    blocks = [ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)]
-    out: list[bytes] = [b""] * len(blocks)
-    for at in range(0, len(blocks), LANES):
-        part = sorted(range(at, min(at + LANES, len(blocks))), key=lambda i: -len(blocks[i]))
-        alphabets, places = zip(*(np.unique(blocks[i], return_inverse=True) for i in part), strict=True)
-        lengths = np.array([len(p) for p in places])
-        dense = np.zeros((len(part), int(lengths[0])), np.int64)
-        for row, p in zip(dense, places, strict=True):
-            row[: len(p)] = p
-        codes = _encode_lanes(dense, np.array([len(a) for a in alphabets]), lengths)
-        for i, a, c in zip(part, alphabets, map(_carried, codes), strict=True):
-            raw = _packed(a)
-            out[i] = struct.pack("<5I", len(blocks[i]), len(a), zlib.crc32(blocks[i].astype("<u4").tobytes()), len(raw), len(c)) + raw + c.tobytes()
-    return out
+    """The blocks of one row of ids; the first block of a group begins with what the group shares."""
+    return list(chain.from_iterable(_encode_group(ids[i : i + GROUP * BLOCK]) for i in range(0, len(ids), GROUP * BLOCK)))
+
+
+def _shared(raw: bytes) -> tuple[np.ndarray, _Model]:
+    """Ids by place, and the model of a group."""
+    values = _unpacked(raw)
+    k, n = values[:2].tolist()
+    alphabet, freq, known, follower, sure, shares = np.split(values[2:], np.cumsum([k, k, n, n, n]))
+    freq, best = freq + 1, np.full(k, NONE)
+    order = np.argsort(-freq, kind="stable")
+    best[np.cumsum(known)] = (sure << 26) | follower
+    model = _Model(freq[order], best)
+    model.share(shares.reshape(STATES, 2))
+    return np.cumsum(alphabet)[order].astype(np.uint32), model
 
 
 def decode_blocks(data: bytes, n_blocks: int) -> np.ndarray:
     """The ids of n_blocks blocks in a row; ValueError if a checksum is wrong."""
-    heads, at = [], 0
-    for _ in range(n_blocks):
-        n, k, crc, n_raw, n_code = struct.unpack_from("<5I", data, at)
-        at += 20
-        heads.append((n, k, crc, data[at : at + n_raw], np.frombuffer(data, "<u2", n_code, at + n_raw)))
-        at += n_raw + 2 * n_code
-    out: list[np.ndarray] = [np.zeros(0, np.uint32)] * n_blocks
-    for first in range(0, n_blocks, LANES):
-        part = sorted(range(first, min(first + LANES, n_blocks)), key=lambda i: -heads[i][0])
-        lengths, sizes = np.array([heads[i][0] for i in part]), np.array([heads[i][1] for i in part])
-        places = _decode_lanes([heads[i][4] for i in part], sizes, lengths)
-        for row, i in enumerate(part):
-            ids = _unpacked(heads[i][3])[np.minimum(places[row, : heads[i][0]], heads[i][1] - 1)].astype(np.uint32)
-            if zlib.crc32(ids.astype("<u4").tobytes()) != heads[i][2]:
+    out, at = [np.zeros(0, np.uint32)], 0
+    for first in range(0, n_blocks, GROUP):
+        n_raw, crc = struct.unpack_from("<2I", data, at)
+        raw, at = data[at + 8 : at + 8 + n_raw], at + 8 + n_raw
+        if zlib.crc32(raw) != crc:
+            raise ValueError(f"group of block {first}: wrong checksum")
+        alphabet, model = _shared(raw)
+        heads, codes = [], []
+        for _ in range(first, min(first + GROUP, n_blocks)):
+            n, crc, n_code = struct.unpack_from("<3I", data, at)
+            heads.append((n, crc))
+            codes.append(np.frombuffer(data, "<u2", n_code, at + 12))
+            at += 12 + 2 * n_code
+        columns = _decode_lanes(codes, min(BLOCK, max(n for n, _ in heads)), model)
+        for i, (row, (n, crc)) in enumerate(zip(alphabet[columns.T], heads, strict=True), first):
+            if zlib.crc32(row[:n].astype("<u4").tobytes()) != crc:
                 raise ValueError(f"block {i}: wrong checksum")
-            out[i] = ids
-    return np.concatenate(out) if out else np.zeros(0, np.uint32)
+            out.append(row[:n])
+    return np.concatenate(out)
 
 
 def encode_record(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
@@ -316,7 +344,7 @@ def _write(path: str, end_id: int):
                 keys += own
                 ids.append(coded)
                 lengths.append(sizes)
-                if sum(map(len, ids)) >= LANES * BLOCK:
+                if sum(map(len, ids)) >= GROUP * BLOCK:
                     yield record()
             if keys:
                 yield record()

@@ -4,6 +4,8 @@ import collections
 import hashlib
 import random
 import re
+import struct
+import time
 import zlib
 
 import numpy as np
@@ -327,6 +329,64 @@ def test_damaged_block_is_found():
         token_files.decode_blocks(bytes(raw), 1)
 
 
+def sentences(n, seed=0):
+    """Ids of uneven frequencies, a fifth of them followed by a fixed one."""
+    r = np.random.default_rng(seed)
+    x = (3000 * r.random(n) ** 3).astype(np.int64)
+    fixed = np.flatnonzero(r.random(n - 1) < 0.2)
+    x[fixed + 1] = x[fixed] * 7 % 3000
+    return x.astype(np.uint32)
+
+
+def test_blocks_take_fewer_bits_than_order_0():
+    x = sentences(400_000)
+    p = np.bincount(x)[np.unique(x)] / len(x)
+    assert 8 * sum(map(len, token_files.encode_blocks(x))) / len(x) < -(p * np.log2(p)).sum()
+
+
+def test_coding_takes_few_passes_over_ids():
+    x = sentences(1_200_000)
+    blocks = token_files.encode_blocks(x)
+    data = b"".join(blocks)
+
+    def least(work):
+        times = []
+        for _ in range(3):
+            start = time.process_time()
+            work()
+            times.append(time.process_time() - start)
+        return min(times)
+
+    rows = np.ascontiguousarray(x[: 4096 * 290].reshape(290, 4096).T).astype(np.int64)
+    table, at = np.zeros(290 * 4096, np.int64), np.arange(290) * 4096
+
+    def passes():
+        """One step of a gather, a product and a scatter over 290 blocks, for each place in a block."""
+        for row in rows:
+            table[at + row] = table.take(at + row) * row
+
+    assert least(lambda: (token_files.encode_blocks(x), token_files.decode_blocks(data, len(blocks)))) < 30 * least(passes)  # about 50 with all done a step at a time
+
+
+@pytest.mark.parametrize("n", [2, 4097, 8192, 30_011])
+def test_blocks_of_several_groups(n, monkeypatch):
+    monkeypatch.setattr(token_files, "GROUP", 3)
+    x = sentences(n)
+    blocks = token_files.encode_blocks(x)
+    assert len(blocks) == -(-n // 4096) and (token_files.decode_blocks(b"".join(blocks), len(blocks)) == x).all()
+
+
+def test_any_damage_to_blocks_is_found():
+    x, r = sentences(9000), np.random.default_rng(1)
+    blocks = token_files.encode_blocks(x)
+    raw = b"".join(blocks)
+    for i in r.integers(0, len(raw), 100).tolist():
+        bad = bytearray(raw)
+        bad[i] ^= 1 << int(r.integers(8))
+        with pytest.raises((ValueError, struct.error)):
+            token_files.decode_blocks(bytes(bad), len(blocks))
+
+
 def test_token_files_like_the_library(spark, docs, whole, empty):
     from quantloom.llm.common import shared_path
 
