@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantloom.operators import forest as grown
 from quantloom.operators import indicators as ind
 from quantloom.sources.market import materialize
 
@@ -69,15 +70,27 @@ def _packed(df: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=list(RATIOS), outputCol="features", handleInvalid="skip").transform(df)
 
 
+def _training_rows(bars: DataFrame, train_bars: int) -> DataFrame:
+    """Features and the next close over the last, of each symbol's last bars; what a division of two of them gives is not written."""
+    ready = lambda df: _scaled(df).withColumn("target", F.try_divide("label", "f_prev"))
+    panel = ind.feature_panel(bars, train_bars)
+    return ready(materialize(ready(panel).dropna().select(*panel.columns), "panel"))
+
+
+def grow_forest(bars: DataFrame, train_bars: int = 252, trees: int = 50, depth: int = 10, seed: int = 42) -> tuple[grown.Forest, DataFrame]:
+    """The model of the next close over the last, and the feature rows it was grown on."""
+    rows = _training_rows(bars, train_bars)
+    return grown.grow(rows, RATIOS, "target", [F.col("symbol"), F.col("d")], trees, depth, seed), rows
+
+
 def fit_forest(bars: DataFrame, train_bars: int = 252, trees: int = 50, depth: int = 10, seed: int = 42):
-    """The model of the next close over the last, and the feature rows it was fitted on.
+    """As grow_forest(), by MLlib, whose trees depend on how rows are dealt out.
 
-    Each level of the trees is a pass over the rows. Where a row stands in each tree is kept from one to the next, else it is sought from the root again.
+    MLlib keeps each row's count of draws for each tree and its place in it, about 800 bytes a row, so this is for tables that fit the memory of all executors.
     """
     from pyspark.ml.regression import RandomForestRegressor
 
-    panel = ind.feature_panel(bars).where(F.col("n") > F.col("cnt") - train_bars)
-    rows = materialize(_scaled(panel).withColumn("target", F.try_divide("label", "f_prev")).dropna(), "panel")
+    rows = _training_rows(bars, train_bars)
     return RandomForestRegressor(featuresCol="features", labelCol="target", numTrees=trees, maxDepth=depth, seed=seed, cacheNodeIds=True).fit(_packed(rows)), rows
 
 
@@ -108,4 +121,4 @@ def forest(bars: DataFrame, train_bars: int = 252, trees: int = 50, depth: int =
     close and updates the means as if the prediction had been observed; the other features stay. start
     'observed' begins at the features of the last bar, 'next' at those after it. noise as in roll_out().
     """
-    return roll_out(*fit_forest(bars, train_bars, trees, depth, seed), start, noise)
+    return roll_out(*grow_forest(bars, train_bars, trees, depth, seed), start, noise)

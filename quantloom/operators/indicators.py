@@ -7,8 +7,13 @@ symbol's number of bars.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 def by_symbol() -> Window:
@@ -201,18 +206,68 @@ def macd_panel(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9)
     return rows.select("symbol", "d", pick(F.col("_line")).alias("macd"), pick(F.col("_mark")).alias("macd_signal"), pick(F.col("_line") - F.col("_mark")).alias("macd_hist"))
 
 
-def feature_panel(bars: DataFrame) -> DataFrame:
-    """Seven features of each bar from the bars before it, and the close as label, from the 21st bar on."""
-    df = rsi(numbered(bars), out="_rsi")
-    prev = F.lag("close").over(by_symbol())
-    mean_volume = F.avg("volume").over(last_rows(10, 1))
-    five = F.lag("close", 5).over(by_symbol())
-    df = df.withColumn("f_prev", prev)
-    for k in (5, 10, 20):
-        df = df.withColumn(f"f_ma{k}", F.avg("close").over(last_rows(k, 1)))
-    df = df.withColumn("f_rsi", F.lag("_rsi").over(by_symbol())).withColumn("f_volume", F.when(mean_volume > 0, F.lag("volume").over(by_symbol()) / mean_volume).otherwise(1.0))
-    df = df.withColumn("f_momentum", F.when(five != 0, (prev - five) / five).otherwise(0.0)).withColumn("label", F.col("close"))
-    return df.where("n >= 21").select("symbol", "d", "n", "cnt", "f_prev", "f_ma5", "f_ma10", "f_ma20", "f_rsi", "f_volume", "f_momentum", "label")
+#: No feature looks further back than so many bars.
+LOOK_BACK = 20
+FEATURES = ("f_prev", "f_ma5", "f_ma10", "f_ma20", "f_rsi", "f_volume", "f_momentum", "label")
+
+
+def _features(last: int | None) -> Callable:
+    """Features of numbered bars that come in the order of symbol and n. The bars before one are the rows before it, so means are sums of shifted arrays, oldest first.
+
+    As in SQL, a mean leaves out missing values, and a change to or from one counts as none.
+    """
+
+    def column(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+        c = table.column(name).combine_chunks()
+        return c.fill_null(0).to_numpy(zero_copy_only=False), c.is_valid().to_numpy(zero_copy_only=False)
+
+    def before(x: np.ndarray, k: int) -> np.ndarray:
+        return np.concatenate([np.zeros(min(k, len(x)), x.dtype), x[: len(x) - k] if k < len(x) else x[:0]])
+
+    def mean(x: np.ndarray, known: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        total, times = (sum(before(y, j) for j in range(k, 0, -1)) for y in (x, known.astype(np.int64)))
+        return total / times, times > 0
+
+    def computed(rows: pa.Table) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        (close, known), (volume, counted) = column(rows, "close"), column(rows, "volume")
+        change = np.where(known & before(known, 1), close - before(close, 1), 0.0)
+        (gain, _), (loss, _) = (mean(np.maximum(c, 0.0), np.ones(len(c), bool), 14) for c in (change, -change))
+        usual, any_volume = mean(volume, counted, 10)
+        prev, five, traded = before(close, 1), before(close, 5), any_volume & ~(usual <= 0)  # NaN is above 0
+        moved = before(known, 5) & (five != 0)
+        return {
+            "f_prev": (prev, before(known, 1)), **{f"f_ma{k}": mean(close, known, k) for k in (5, 10, 20)},
+            "f_rsi": (np.where(loss == 0, 100.0, 100 - 100 / (1 + gain / loss)), np.ones(len(close), bool)),
+            "f_volume": (np.where(traded, before(volume, 1) / usual, 1.0), ~traded | before(counted, 1)),
+            "f_momentum": (np.where(moved, (prev - five) / five, 0.0), ~moved | before(known, 1)), "label": (close, known),
+        }
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            rows = pa.Table.from_batches([b] if held is None else [*held, b])
+            n, cnt = (rows.column(c).to_numpy() for c in ("n", "cnt"))
+            wanted = np.flatnonzero((n > LOOK_BACK) & ((n > cnt - last) if last is not None else True) & (np.arange(len(n)) >= len(n) - b.num_rows))
+            if (wanted < LOOK_BACK).any() or (n[wanted - LOOK_BACK] != n[wanted] - LOOK_BACK).any():
+                raise ValueError("bars do not come in the order of symbol and n")
+            with np.errstate(all="ignore"):
+                found = {name: pa.array(x[wanted], mask=~known[wanted]) for name, (x, known) in computed(rows).items()}
+            kept = rows.select(["symbol", "d", "n", "cnt"]).take(wanted)
+            yield from pa.table({name: kept.column(name) for name in kept.column_names} | found).to_batches()
+            held = rows.slice(max(0, len(rows) - LOOK_BACK)).to_batches()
+
+    return run
+
+
+def feature_panel(bars: DataFrame, last: int | None = None) -> DataFrame:
+    """Seven features of each bar from the bars before it, and the close as label, from the 21st bar on. With last, of so many bars at a symbol's end only.
+
+    Bars are numbered by windows, in whose order their features are then taken from Arrow arrays: seven frames of up to 20 bars would be summed anew for each row.
+    """
+    df = numbered(bars.select("symbol", "d", F.col("close").cast("double").alias("close"), F.col("volume").cast("double").alias("volume")))
+    df = df if last is None else df.where(F.col("n") > F.col("cnt") - last - LOOK_BACK)
+    rows = df.select("symbol", "d", "n", "cnt", "close", "volume")
+    return rows.mapInArrow(_features(last), StructType([*rows.schema.fields[:4], *[StructField(name, DoubleType()) for name in FEATURES]]))
 
 
 def latest(df: DataFrame) -> DataFrame:
